@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmill.llm import html_text, quality, secrets, simhash, toxicity, warc
+from fernmill.llm import html_text, mixing, pii, quality, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.joined(F.col("spans")).alias("spans"), "n_network")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source to target weights."""
+    return mixing.by_source(_table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
@@ -55,14 +60,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: fixed patterns and discovered identifiers."""
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op7_mixing": op7_mixing,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {
     "op5_quality": quality.SQL,
+    "op7_mixing": mixing.SQL,
 }
