@@ -247,10 +247,17 @@ def find(docs: DataFrame, text: str = "text", patterns: Patterns | None = None)
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """A text with every span replaced by its kind in brackets; of spans that overlap, the first."""
+    """A text with every span replaced by its kind in brackets; spans that overlap go as one, under the first's kind."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     piece = lambda a, s: F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct((-s["end"]).alias("at"), piece(a, s).alias("out")))
+    step = lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], -s["end"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct((-s["end"]).alias("at"), piece(a, s).alias("out")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     joined = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, joined).otherwise(text)
+
+
+def mask(docs: DataFrame, text: str = "text", patterns: Patterns | None = None) -> DataFrame:
+    """``docs`` with all personal data masked in ``text``; other columns and clean texts stay as they are."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"))
+    found = find(rows, "body", patterns or learn(rows, "body"))
+    return found.select(*(masked(F.col("body"), F.col("spans")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -11,13 +11,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmill.llm import html_text, mixing, pii, quality, secrets, simhash, toxicity, warc
+from fernmill.llm import decontaminate, html_text, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of its lines: the heading line, the rest, and what crosses lines."""
+    found = tokens.section_tokens(_table(spark, sf_dir, "documents"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y.cast("long"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "n_tokens",
+        F.size("tokens").cast("long").alias("n_sections"),
+        F.get("tokens", F.lit(0)).cast("long").alias("first_tokens"),
+        F.array_max("tokens").cast("long").alias("longest_tokens"),
+        total(F.col("tokens")).alias("allocated_tokens"),
+        total(F.col("crossed")).alias("crossing_tokens"),
+    )
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds, also with other numbers or names."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document by SimHash."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -68,6 +89,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
+    "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,

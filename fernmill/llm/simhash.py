@@ -113,8 +113,7 @@ def _links_within(members: np.ndarray, max_distance: int) -> tuple[list[np.ndarr
     src: list[np.ndarray] = []
     dst: list[np.ndarray] = []
     while len(left) > 1:
-        queue, left, rings = [(left[0], int(ring[0]))], left[1:], ring[1:]
-        ring = rings
+        queue, left, ring = [(left[0], int(ring[0]))], left[1:], ring[1:]
         while queue and len(left):
             x, r = queue.pop()
             lo, hi = np.searchsorted(ring, r - max_distance, "left"), np.searchsorted(ring, r + max_distance, "right")
@@ -200,3 +199,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("copies"))
     named = rooted.join(classes, "root").select("fp", "component_id", "copies")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", "copies")
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: that of the smallest doc_id.
+
+    Where a class has several rows of that id, the one of the smallest text hash
+    stays, and of rows that agree in both, any one. A null id stays only in a
+    class without another. All columns are kept as they are.
+    """
+    key = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    light = docs.select(F.col(doc_id).alias("doc_id"), key().alias("key"), fingerprint(F.col(text), shingle).alias("fp"))
+    marked = written(light, "fingerprints")
+    reps = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best"))
+    reps = written(reps, "distinct")
+    roots = components(links(reps.select("fp"), max_distance))
+    best = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    # How often a kept (id, text) occurs: rows that repeat are rare and handled apart.
+    times = marked.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key"))
+    kept = kept.join(times, F.col("kept_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_key") == F.col("key"))).select("kept_id", "kept_key", "times")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), key().alias("key"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    once = rows.where("times = 1").select("row")
+    again = rows.where("times > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    return once.unionAll(again).select("row.*")
