@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from fernmill.functions import fixed
 from fernmill.functions.fixed import rx
@@ -74,7 +75,7 @@ def is_blocked(url: Column) -> Column:
     return host(url).rlike(rf"(?:^|\.)(?:{names})$")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_safe(url: pd.Series) -> pd.Series:
     """Web addresses outside local networks; addresses in numbers must be globally reachable."""
 
