@@ -180,6 +180,17 @@ def _region(blocks: list[tuple[str, int, int, int, bool]], seeds: np.ndarray, pa
     return outer if outer >= 0 else best
 
 
+def _complete(html: str) -> str:
+    """A page without a comment or tag that its end cuts off."""
+    opened = html.rfind("<!--")
+    if opened >= 0 and html.find("-->", opened) < 0:
+        html = html[:opened]
+    opened = html.rfind("<")
+    if opened >= 0 and html.find(">", opened) < 0 and (html[opened + 1 : opened + 2].isalpha() or html[opened + 1 : opened + 2] in ("/", "!")):
+        html = html[:opened]
+    return html
+
+
 def main_text(html: str | None) -> str:
     """Text of a page's article; blocks in page order, joined by a line end.
 
@@ -188,7 +199,7 @@ def main_text(html: str | None) -> str:
     without content, give an empty string. Broken markup is read as far as it goes.
     """
     parser = _Blocks()
-    parser.feed(html or "")
+    parser.feed(_complete(html or ""))
     parser.close()
     parser.flush()
     blocks = [b for b in parser.blocks if not b[4]]
