@@ -147,7 +147,7 @@ def due_areas(states: DataFrame, now: Column, most: int = 1, activate_days: int
     last = F.col("last_refreshed").cast("timestamp")
     stale = last.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last) >= refresh_days * 86400)
     if force:
-        chosen, rank = F.when(F.col("queued") > 0, queued).otherwise(active), F.lit(0)
+        chosen, rank = F.when(F.col("queued") > 0, queued).otherwise(active), F.col("ord")
     else:
         chosen, rank = F.when(activation, queued).otherwise(active & stale), F.when(activation, F.lit(0)).otherwise(F.coalesce(F.unix_timestamp(last), F.lit(-1)))
     return rows.where(chosen).orderBy(rank, "ord").limit(max(1, most)).select(*states.columns)

@@ -11,6 +11,6 @@ from fernmill.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    session = local_session(4, "3g", **{"spark.checkpoint.dir": f"file://{shared}", "spark.sql.shuffle.partitions": "4"})
+    session = local_session(8, "3g", **{"spark.checkpoint.dir": f"file://{shared}", "spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
