@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from fernmill.functions import fixed
 from fernmill.functions import text as T
-from fernmill.operators import dedupe, discovery, queues, serve, state, windows
+from fernmill.operators import dedupe, discovery, queues, reports, serve, state, windows
 from fernmill.operators import offers as O
+from fernmill.plans import jobs
 from fernmill.sources import documents, fetch
 
 def now():
@@ -289,3 +290,67 @@ def test_streams(spark, tmp_path):
     assert sorted((r.n, r.total) for r in spark.table("days").collect()) == [(1, 2.5), (2, 2.0)]
     feed.keep_latest(stream(), str(tmp_path / "out"), str(tmp_path / "cp"), "id", "seen_at").awaitTermination()
     assert sorted((r.id, r.value) for r in spark.read.parquet(str(tmp_path / "out/batch=0")).collect()) == [("1", 1.0), ("2", 2.5)]
+
+
+def test_reports_and_summaries(spark):
+    page = "struct<url:string,confidence:string,publish:boolean>"
+    inv = spark.createDataFrame(
+        [(0, "p", "Uno", "X", "OPERATIONAL", "https://uno.com", None, [("https://uno.com/deals", "high", True), ("https://uno.com/s", "medium", True)]), (1, "q", "Duo", "Y", "CLOSED", "", "2024", [("https://duo.com/deals", "high", True)])],
+        f"ord int, place_id string, name string, city string, business_status string, website_url string, specials_checked_at string, specials_pages array<{page}>",
+    )
+    assert [r.url for r in reports.publishable_pages(inv).collect()] == ["https://uno.com/deals"]
+    asked = spark.createDataFrame([("p", "Uno", "https://uno.com/deals", 7)], "place_id string, name string, url string, issue int")
+    assert {(r.url, r.confidence) for r in reports.candidate_pages(asked, inv).collect()} == {("https://uno.com/deals", "reported"), ("https://uno.com/s", "medium")}
+    assert reports.coverage(inv).first().asDict() == {"restaurants": 2, "operational": 1, "with_website": 1, "with_specials": 2, "specials_pages": 3, "cities": 2}
+    assert [r.place_id for r in reports.source_refresh(inv).collect()] == ["p"]
+    found = spark.createDataFrame([("p", [("https://n", "high", True)], True), ("q", [], False)], f"place_id string, pages array<{page}>, ok boolean")
+    after = {r.place_id: r for r in reports.with_found_pages(inv, found, now()).collect()}
+    assert after["p"].specials_pages[0].url == "https://n" and after["p"].specials_checked_at and after["q"].specials_pages[0].url == "https://duo.com/deals" and after["q"].specials_checked_at == "2024"
+    sources = spark.createDataFrame([("Uno", "X", "u1", "curated"), ("Duo", "Y", "u2", "discovered")], "name string, city string, url string, origin string")
+    tried = spark.createDataFrame([("u1", 3, None), ("u2", None, "down")], "url string, n int, error string")
+    status = reports.source_status(sources, tried, now())
+    assert {(r.url, r.mode, r.ok, r.candidate_count) for r in status.collect()} == {("u1", "curated", True, 3), ("u2", "failed", False, 0)}
+    assert [r.url for r in reports.failed(status, sources.limit(0)).collect()] == ["u2"]
+    assert reports.scope(sources, inv).first().cities == ["X", "Y"]
+    got = spark.range(1).select(reports.is_delayed(F.lit(dt.datetime(2024, 1, 29)), now()).alias("a"), reports.is_delayed(F.lit(None).cast("timestamp"), now()).alias("b"), reports.brand_background(F.array(F.lit("#fff"), F.lit("#123")), F.lit("x")).alias("c"), reports.brand_background(F.array().cast("array<string>"), F.lit("beachwoodpizza.com")).alias("d")).first()
+    assert tuple(got) == (True, True, "#112233", "#09a1bf")
+    states = spark.createDataFrame([("a", 0, "active", "2024-01-01T00:00:00Z"), ("b", 1, "queued", None), ("c", 2, "queued", None)], "city string, ord int, status string, activated_at string")
+    assert {r.city: r.expected_at for r in reports.activation_estimates(states).collect()} == {"b": dt.datetime(2024, 1, 8), "c": dt.datetime(2024, 1, 15)}
+    assert fetch.robots_sitemaps("User-agent: *\nSitemap: https://a.com/s.xml\nsitemap:  https://a.com/t.xml x") == ["https://a.com/s.xml", "https://a.com/t.xml"]
+
+
+def test_unique_extracted(spark):
+    deal = "struct<summary:string,source_evidence:array<string>>"
+    rows = [("p", "Uno", "b", "high", "ok", [("Happy hour", ["$5 Beers!"]), ("Other", [])]), ("p", "Uno", "a", "reported", "ok", [("Beers", ["$5 beers"])]), ("q", "Duo", "c", "high", "ok", [("Beers", ["$5 beers"])])]
+    got = reports.unique_extracted(spark.createDataFrame(rows, f"place_id string, name string, url string, confidence string, status string, deals array<{deal}>")).collect()
+    assert sorted((r.place_id, r.deal.summary) for r in got) == [("p", "Beers"), ("p", "Other"), ("q", "Beers")]
+
+
+def test_jobs(spark):
+    body = "<p>Happy hour $5 beers</p><p>Mon-Fri 3-6 pm</p><p>Contact us</p>"
+    sources = spark.createDataFrame([("A", "X", "https://a.com", "")], "name string, city string, url string, notes string")
+    made = jobs.crawl(sources, lambda url: body, F.lit("2024-01-30T00:00:00Z")).collect()
+    assert "Happy hour $5 beers" in {r.summary for r in made} and all(r.restaurant == "A" for r in made)
+    pages = spark.createDataFrame([("k1", "A", "https://a.com", "high"), ("k2", "B", "https://b.com", "high"), ("k3", "C", "https://c.com", "high")], "key string, name string, url string, confidence string")
+
+    def get(url):
+        if "c.com" in url:
+            raise OSError("down")
+        return body
+
+    def model(prompt):
+        deal = {"summary": "$5 beers", "details": [], "applies_days": ["monday"], "applies_month_days": [], "time_window": "3-6 pm", "categories": ["drink"], "valid_through": "", "evidence": ["Happy hour $5 beers", "Mon-Fri 3-6 pm"], "confidence": 0.95}
+        return json.dumps({"deals": [deal, deal | {"confidence": 0.1}]})
+
+    none = spark.createDataFrame([], "key string, content_hash string, status string, deals array<string>")
+    got = {r.key: r for r in jobs.extract(pages, none, get, model, now(), most=1).collect()}
+    assert {k: r.status for k, r in got.items()} == {"k1": "ok", "k2": "pending", "k3": "fetch_failed"} and [d.summary for d in got["k1"].deals] == ["$5 beers"]
+    old = spark.createDataFrame([("k1", got["k1"].content_hash, "ok", ["kept"])], "key string, content_hash string, status string, deals array<string>")
+    again = {r.key: r for r in jobs.extract(pages, old, get, lambda p: "broken", now()).collect()}
+    assert again["k1"].cached_deals == ["kept"] and again["k2"].status == "extract_failed"
+    area = spark.createDataFrame([("Irvine", 33.0, 33.01, -117.0, -117.0)], "city string, south double, north double, west double, east double")
+    place = json.dumps({"id": "p", "displayName": {"text": "Uno"}, "formattedAddress": "1 A St, Irvine, CA"})
+    known = spark.createDataFrame([("old", "Irvine"), ("far", "Tustin")], "place_id string, city string")
+    assert sorted(r.place_id for r in jobs.scan_area(area, known, lambda cell: json.dumps([place]), 0.012, 0.014).collect()) == ["far", "p"]
+    with pytest.raises(RuntimeError, match="too few"):
+        jobs.scan_area(area, known, lambda cell: 1 / 0, 0.012, 0.014)
