@@ -101,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {
+    "op4_warc": warc.SQL,
     "op5_quality": quality.SQL,
     "op7_mixing": mixing.SQL,
 }

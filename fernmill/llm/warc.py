@@ -251,3 +251,15 @@ def round_trip(pages: DataFrame, label: str = "warc", payloads: bool = True, **o
     made = write_archives(pages, new_path(spark, label), **options).collect()
     manifest = spark.createDataFrame(made, "path string, records long, bytes long")
     return read_archives(manifest.repartition(max(1, len(made))), payloads)
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGIT = "substr('" + _BASE32 + "', (x // {0} % 32 + 1)::BIGINT, 1)"
+#: The registered query in DuckDB's SQL: the digest's base32 digits are taken from five hexadecimal digits at a time.
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+c AS (SELECT *, list_transform([1, 6, 11, 16, 21, 26, 31, 36], lambda i: ('0x' || substr(h, i, 5))::BIGINT) AS v FROM d),
+b AS (SELECT *, array_to_string(list_transform(v, lambda x: {" || ".join(_DIGIT.format(n) for n in (32768, 1024, 32, 1))}), '') AS payload_digest FROM c),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""

@@ -6,8 +6,10 @@ import hashlib
 import io
 
 import pytest
+from helpers import DATA, duck_rows, spark_rows
 
 from fernmill.llm import warc as W
+from fernmill.llm.queries import QUERIES
 
 SCHEMA = "page_id long, url string, html string, payload string"
 ROWS = [(3, "http://a/ x", "<p>é</p>", "p"), (1, "http://b", "<p>é</p>", "p"), (2, None, "", "p"), (4, "u", None, "p"), (5, "u\r\nX: y", "z" * 3_000_000, "p"), (None, "n", "q", "p"), (6, "u", "q", "p"), (7, "u", "once", "p"), (7, "u", "once", "p")]
@@ -28,6 +30,10 @@ def test_round_trip(spark):
         assert r.payload == (texts[r.page_id].encode() if r.record_type == "response" else None)
 
 
+def test_matches_duckdb(spark):
+    assert spark_rows(QUERIES["op4_warc"](spark, str(DATA))) == duck_rows(W.SQL)
+
+
 def test_small_payloads_stay_responses(spark):
     got = W.round_trip(spark.createDataFrame(ROWS, SCHEMA), min_revisit_bytes=100, payloads=False).collect()
     assert {r.record_type for r in got} == {"response"} and all(r.payload is None for r in got)
