@@ -51,30 +51,30 @@ class Reader:
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.flags: list[int] = []
+        self.ids = np.empty(_REMEMBERED, np.uint64)
+        self.flags = np.empty(_REMEMBERED, np.int8)
 
     def _learn(self, token: str) -> int:
         lower = token.lower()
         flag = _END if token in ".!?…\n" else _NUMBER if token[0].isdigit() or lower in NUMBER_WORDS else _UNIT_WORD if lower in UNITS else 0
         if not flag and token[0].isupper() and not token.isupper():
             flag = _CAP
-        self.known[token] = len(self.ids)
-        self.ids.append(xxhash.xxh64_intdigest(lower))
-        self.flags.append(flag)
-        return len(self.ids) - 1
+        at = self.known[token] = len(self.known)
+        if at >= len(self.ids):
+            self.ids, self.flags = (np.resize(x, 2 * at) for x in (self.ids, self.flags))
+        self.ids[at], self.flags[at] = xxhash.xxh64_intdigest(lower), flag
+        return at
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(plain, template, slot): slot marks where the template has a placeholder."""
-        if len(self.ids) > _REMEMBERED:
-            self.__init__()
+        if len(self.known) > _REMEMBERED:
+            self.known = {}
         tokens = TOKEN.findall(text or "")
         known, learn = self.known, self._learn
         at = np.array([known[t] if t in known else learn(t) for t in tokens], np.int64)
         if not len(at):
             return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
-        flags = np.array(self.flags)[at] if len(at) * 8 > len(self.flags) else np.array([self.flags[i] for i in at])
-        plain = np.array(self.ids, np.uint64)[at] if len(at) * 8 > len(self.ids) else np.array([self.ids[i] for i in at], np.uint64)
+        flags, plain = self.flags[at], self.ids[at]
         ends = flags == _END
         first = np.concatenate(([True], ends[:-1]))
         number, unit, name = flags == _NUMBER, flags == _UNIT_WORD, (flags == _CAP) & ~first
@@ -160,7 +160,10 @@ def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int |
         if not len(exact):
             continue
         bits = index.bits[size]
-        for hashes, same in ((exact, True), (window_hashes(template, size), False)):
+        forms = [(exact, True)]
+        if slot.any():  # else the template is the text
+            forms.append((window_hashes(template, size), False))
+        for hashes, same in forms:
             for at in np.flatnonzero(bits[hashes >> np.uint64(42)]).tolist():
                 for row, start in table.get(int(hashes[at]), ()):
                     if index.items[row][1] == size:
