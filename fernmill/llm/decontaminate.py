@@ -38,7 +38,7 @@ PASS_WORDS = 500_000
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
 UNITS = set("mm cm m km inch inches foot feet ft yard yards mile miles g kg mg lb lbs pound pounds ounce ounces oz ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit kmh mph volt volts watt watts".split())
 
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?…\n]")
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_][^\W_]*(?:['’][^\W\d_]+)*|[.!?…\n]")
 _NUM, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in ("<number>", "<unit>", "<name>"))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _END, _CAP, _NUMBER, _UNIT_WORD = 1, 2, 4, 8
