@@ -101,8 +101,8 @@ def month_days(text: Column) -> Column:
 
 
 def recurring_month_days(explicit: Column, text: Column) -> Column:
-    valid = F.filter(F.coalesce(explicit, F.array().cast("array<int>")), lambda x: x.between(1, 31))
-    return F.when(F.size(valid) > 0, F.array_sort(F.array_distinct(valid))).otherwise(month_days(text))
+    valid = F.filter(explicit, lambda x: x.between(1, 31))
+    return let(valid, lambda own: F.when(F.size(own) > 0, F.array_sort(F.array_distinct(own))).otherwise(month_days(text)))
 
 
 def _clock(hour: Column, minute: Column, period: Column) -> Column:
@@ -256,12 +256,12 @@ def today_name(now: Column) -> Column:
 
 def matches_day(days: Column, day: Column) -> Column:
     """No days match every day, and all seven match any."""
-    own = strings(days)
-    return (F.size(own) == 0) | F.array_contains(own, day) | (F.size(F.array_except(days_literal(DAYS), own)) == 0)
+    # Bound once: a filter moves below the projection that derives the days, and would derive them at every mention.
+    return let(strings(days), lambda own: (F.size(own) == 0) | F.array_contains(own, day) | (F.size(F.array_except(days_literal(DAYS), own)) == 0))
 
 
 def matches_month_day(recurring: Column, now: Column) -> Column:
-    return (F.size(recurring) == 0) | F.array_contains(recurring, F.dayofmonth(now))
+    return let(recurring, lambda own: (F.size(own) == 0) | F.array_contains(own, F.dayofmonth(now)))
 
 
 def week_minute(now: Column) -> Column:

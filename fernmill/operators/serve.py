@@ -99,11 +99,13 @@ FEED = {
 
 
 def whole(feed: DataFrame) -> DataFrame:
-    """``feed`` with every column that serving reads."""
-    return feed.withColumns({c: F.lit("active") if c == "status" else F.lit(None).cast(k) for c, k in FEED.items() if c not in feed.columns})
+    """``feed`` with every column that serving reads, and the text that searches look into."""
+    rows = feed.withColumns({c: F.lit("active") if c == "status" else F.lit(None).cast(k) for c, k in FEED.items() if c not in feed.columns})
+    rows = rows.withColumn("_words", _said())
+    return rows.withColumn("_month_days", dates.recurring_month_days(F.col("applies_month_days"), F.col("_words")))
 
 
-def _text() -> Column:
+def _said() -> Column:
     return T.search_text(F.col("restaurant"), F.col("city"), F.col("summary"), F.col("candidate_text"), F.col("validity"), F.col("address"), F.col("details"), F.col("tags"), F.col("categories"))
 
 
@@ -115,12 +117,8 @@ def _day(spec: QuerySpec, now: Column) -> Column:
     return dates.today_name(now) if spec.day == "today" else F.lit(spec.day)
 
 
-def _recurring() -> Column:
-    return dates.recurring_month_days(F.col("applies_month_days"), _text())
-
-
 def _available(now: Column, correct: bool) -> Column:
-    return dates.available_now(F.col("applies_days"), _recurring(), F.col("time_window"), F.col("hours"), now, correct)
+    return dates.available_now(F.col("applies_days"), F.col("_month_days"), F.col("time_window"), F.col("hours"), now, correct)
 
 
 def _distance(spec: QuerySpec) -> Column:
@@ -137,12 +135,12 @@ def conditions(spec: QuerySpec, now: Column, correct: bool = True) -> list[Colum
     if spec.cities:
         out.append(F.col("city").isin(list(spec.cities)))
     if spec.query:
-        out.append(_text().contains(spec.query.lower()))
+        out.append(F.col("_words").contains(spec.query.lower()))
     known = F.filter(F.coalesce(F.col("categories"), F.array(F.lit("general"))), lambda c: c.isin(list(TYPES)))
     if spec.types != TYPES:
         out.append(F.when(F.size(known) > 0, F.exists(known, lambda c: c.isin(list(spec.types)) if spec.types else F.lit(False))).otherwise(F.lit(set(spec.types) == set(TYPES))))
     if spec.kinds != KINDS:
-        hour = F.array_contains(T.strings(F.col("tags")), "happy_hour") | _text().rlike(r"happy\s*hour")
+        hour = F.array_contains(T.strings(F.col("tags")), "happy_hour") | F.col("_words").rlike(r"happy\s*hour")
         out.append(F.when(hour, F.lit("happy_hour" in spec.kinds)).otherwise(F.lit("other" in spec.kinds)))
     if not spec.chains:
         out.append(~T.matches(T.text_or_empty(F.col("restaurant")), fixed.CHAINS))
@@ -157,12 +155,16 @@ def conditions(spec: QuerySpec, now: Column, correct: bool = True) -> list[Colum
     if spec.day:
         out.append(dates.matches_day(F.col("applies_days"), _day(spec, now)))
         if spec.day == "today":
-            out.append(dates.matches_month_day(_recurring(), now))
+            out.append(dates.matches_month_day(F.col("_month_days"), now))
     return out
 
 
 def select(feed: DataFrame, spec: QuerySpec, now: Column, correct: bool = True) -> DataFrame:
     """The offers that a query asks for."""
+    return _selected(feed, spec, now, correct).drop("_words", "_month_days")
+
+
+def _selected(feed: DataFrame, spec: QuerySpec, now: Column, correct: bool) -> DataFrame:
     return whole(feed).where(reduce(lambda a, b: a & b, conditions(spec.settled(), now, correct)))
 
 
@@ -174,7 +176,7 @@ def groups(feed: DataFrame, spec: QuerySpec, now: Column, best: int = 2, correct
     spec = spec.settled()
     score = prices.deal_score(F.col("quality_score"), F.col("tags"), F.col("applies_days"), F.col("time_window"))
     status = dates.open_status(F.col("hours"), now, correct)
-    rows = select(feed, spec, now, correct).withColumns(
+    rows = _selected(feed, spec, now, correct).withColumns(
         {"_key": _place(), "_score": score, "_available": _available(now, correct), "_open": status.startswith("Open"), "_miles": _distance(spec), "_today": F.array_contains(T.strings(F.col("applies_days")), _day(spec, now)), "_seen": F.col("first_seen").cast("timestamp")}
     )
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_score"), "summary")))
