@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmill.llm import decontaminate, mixing, pii, simhash, toxicity
+from fernmill.llm import decontaminate, minhash, mixing, pii, toxicity
 from fernmill.llm.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by SimHash: that of the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document of each group that five-word Jaccard similarities of 0.8 or more join: that of the smallest id."""
+    return minhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

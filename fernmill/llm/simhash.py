@@ -38,23 +38,27 @@ BLOCK = 4096
 SEED = 42
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of a text: the majority bits of its shingles' XXH64.
+def shingles(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 of each run of ``shingle`` words.
 
     A-Z is lower-cased; words are runs of anything but ASCII white space. Fewer
-    words than a shingle make one shingle of them all; no words (or null) make 0.
+    words than a shingle make one shingle of them all; no words (or null) make none.
     """
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned fingerprint of a text: the majority bits of its :func:`shingles`; without words (or null) 0."""
+    hashes = shingles(text, shingle)
+    if not hashes:
+        return 0
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], np.uint64)
@@ -213,7 +217,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     marked = written(light, "fingerprints")
     reps = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best"))
     reps = written(reps, "distinct")
-    roots = components(links(reps.select("fp"), max_distance))
+    return best_of_classes(docs, marked, reps, components(links(reps.select("fp"), max_distance)), doc_id, text)
+
+
+def best_of_classes(docs: DataFrame, marked: DataFrame, reps: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stay, given the class (node, root) of every linked fp.
+
+    ``marked`` holds (doc_id, key, fp) of every row, key being the text's hash,
+    and ``reps`` (fp, best) the best row of each fp.
+    """
+    key = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     best = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     # How often a kept (id, text) occurs: rows that repeat are rare and handled apart.
     times = marked.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
