@@ -6,7 +6,10 @@ laid along diagonals (document position less item position). On a diagonal each
 value of the item's slots must become one value of the document's, so a question
 asked again with other numbers or names is caught, and chance matches of
 templates are not. Plain lower-case windows are joined as well: there a copy
-matches whatever its case.
+matches whatever its case. A folded form goes with them: there a run of one
+placeholder is one slot, capitalised words are names where sentences open too,
+and a document's words that no item has as plain words are names whatever their
+case, as they could match nothing else.
 """
 
 from __future__ import annotations
@@ -67,22 +70,27 @@ class Reader:
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(plain, template, slot): slot marks where the template has a placeholder."""
+        return self.read_all(text)[:3]
+
+    def read_all(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``read`` gives, with where sentences begin and which words are capitalised."""
         if len(self.known) > _REMEMBERED:
             self.known = {}
         tokens = TOKEN.findall(text or "")
         known, learn = self.known, self._learn
         at = np.array([known[t] if t in known else learn(t) for t in tokens], np.int64)
         if not len(at):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool), np.empty(0, bool)
         flags, plain = self.flags[at], self.ids[at]
         ends = flags == _END
         first = np.concatenate(([True], ends[:-1]))
-        number, unit, name = flags == _NUMBER, flags == _UNIT_WORD, (flags == _CAP) & ~first
+        number, unit, cap = flags == _NUMBER, flags == _UNIT_WORD, flags == _CAP
+        name = cap & ~first
         unit &= np.concatenate(([False], number[:-1]))  # a unit follows its number
         template = plain.copy()
         template[number], template[unit], template[name] = _NUM, _UNIT, _NAME
         words = ~ends
-        return plain[words], template[words], (number | unit | name)[words]
+        return plain[words], template[words], (number | unit | name)[words], first[words], cap[words]
 
 
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -90,9 +98,10 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     n = len(ids) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * _MULTIPLIER + ids[k : k + n]
+    out = ids[:n].copy()
+    for k in range(1, size):
+        out *= _MULTIPLIER
+        out += ids[k : k + n]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
@@ -104,6 +113,26 @@ def _literal(slot: np.ndarray, size: int) -> np.ndarray:
     return sums[size:] - sums[:-size] >= min(MIN_LITERAL, size)
 
 
+def fold(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, first: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values, template, slot, starts) with ``names`` as slots too and runs of a placeholder within a sentence as one.
+
+    A word that opens a sentence and a run ("If Tom") belongs to the name only if it is one elsewhere.
+    """
+    names = names & ~slot
+    if names.any():
+        template, slot = np.where(names, _NAME, template), slot | names
+    goes_on = slot[1:] & (template[1:] == template[:-1]) & ~first[1:]
+    if not goes_on.any():
+        return plain, template, slot, np.arange(len(plain))
+    starts = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    opens = np.flatnonzero(first[:-1] & goes_on & (template[:-1] == _NAME))
+    if len(opens):
+        sure = np.isin(plain[opens], plain[(template == _NAME) & ~first])
+        plain = plain.copy()
+        plain[opens[~sure]] = 0
+    return np.add.reduceat(plain, starts), template[starts], slot[starts], starts
+
+
 @dataclass
 class Index:
     """Windows of benchmark items by size and hash, for one pass."""
@@ -111,6 +140,9 @@ class Index:
     items: dict[int, tuple[int, int, int, np.ndarray, np.ndarray]] = field(default_factory=dict)  # row: item_id, window, windows, plain, slots
     sizes: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
     bits: dict[int, np.ndarray] = field(default_factory=dict)
+    folds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # row, values, slots, starts and the end
+    folded: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # plain words of folded items, sorted
 
     def close(self) -> Index:
         """Make the bitmaps that tell most windows of documents apart at once."""
@@ -118,13 +150,22 @@ class Index:
             bits = np.zeros(1 << 22, bool)
             bits[np.fromiter(table, np.uint64, len(table)) >> np.uint64(42)] = True
             self.bits[size] = bits
+        self.bits[0] = np.zeros(1 << 22, bool)  # of the folded form
+        self.bits[0][np.fromiter(self.folded, np.uint64, len(self.folded)) >> np.uint64(42)] = True
         return self
 
+    def unknown(self, plain: np.ndarray) -> np.ndarray:
+        """Which words no folded item has as plain words."""
+        if not len(self.words):
+            return np.ones(len(plain), bool)
+        return self.words[np.minimum(np.searchsorted(self.words, plain), len(self.words) - 1)] != plain
+
 
 def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     index, reader = Index(), Reader()
+    literals: set[int] = set()
     for row, (item_id, text) in enumerate(items):
-        plain, template, slot = reader.read(text)
+        plain, template, slot, first, cap = reader.read_all(text)
         if len(plain) < MIN_ITEM:
             continue
         size = min(WINDOW, len(plain))
@@ -135,6 +176,15 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
             own.setdefault(a, []).append((row, at))
             if solid[at] and a != b:
                 own.setdefault(b, []).append((row, at))
+        for names in (cap, np.zeros(len(cap), bool)) if (cap & ~slot).any() else (cap,):
+            values, shape, slots, starts = fold(plain, template, slot, first, names)
+            if len(values) < WINDOW or not slots.any():
+                continue
+            literals.update(plain[~(slot | cap)].tolist())
+            for at in np.flatnonzero(_literal(slots, WINDOW)).tolist():
+                index.folded.setdefault(int(window_hashes(shape[at : at + WINDOW], WINDOW)[0]), []).append((len(index.folds), at))
+            index.folds.append((row, values, slots, np.append(starts, len(plain))))
+    index.words = np.array(sorted(literals), np.uint64)
     return index.close()
 
 
@@ -151,9 +201,35 @@ def _consistent(item: np.ndarray, slots: np.ndarray, doc: np.ndarray, offset: in
     return [s for s in starts if wrong.isdisjoint(range(s, s + size))]
 
 
+def _match_folded(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, first: np.ndarray, names: np.ndarray, index: Index, best: dict[int, tuple[set[int], bool]]) -> None:
+    """Add to ``best`` the windows of items that a text holds in its folded form, ``names`` being slots too."""
+    names = names & ~slot
+    shape = template.copy()
+    shape[names] = _NAME
+    goes_on = (shape[1:] == shape[:-1]) & (slot | names)[1:] & ~first[1:]
+    hashes = window_hashes(shape[np.concatenate(([True], ~goes_on))], WINDOW)
+    hits = np.flatnonzero(index.bits[0][hashes >> np.uint64(42)]).tolist()
+    hits = [at for at in hits if int(hashes[at]) in index.folded]
+    if not hits:
+        return
+    values = fold(plain, template, slot, first, names)[0]
+    found: dict[tuple[int, int], set[int]] = {}
+    for at in hits:
+        for k, start in index.folded.get(int(hashes[at]), ()):
+            found.setdefault((k, at - start), set()).add(start)
+    for (k, offset), starts in found.items():
+        row, item, slots, edges = index.folds[k]
+        size = index.items[row][1]
+        good = _consistent(item, slots, values, offset, WINDOW, sorted(starts))
+        # A folded window holds all plain ones between its ends.
+        more = {p for s in good for p in range(edges[s], edges[s + WINDOW] - size + 1)}
+        held, same = best.get(row, (set(), True))
+        best[row] = (held | more, same and more <= held)
+
+
 def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int | None, int, int, bool]]:
     """(item_id, windows found, windows of the item, found as it is) for every item a text touches."""
-    plain, template, slot = reader.read(text)
+    plain, template, slot, first, cap = reader.read_all(text)
     found: dict[tuple[int, int], dict[int, bool]] = {}
     for size, table in index.sizes.items():
         exact = window_hashes(plain, size)
@@ -175,6 +251,8 @@ def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int |
         good = _consistent(item, slots, plain, offset, size, sorted(starts))
         held, same = best.get(row, (set(), True))
         best[row] = (held | set(good), same and all(starts[s] for s in good))
+    if index.folded and len(plain) >= WINDOW:
+        _match_folded(plain, template, slot, first, cap | index.unknown(plain), index, best)
     return [(index.items[row][0], len(held), index.items[row][2], same) for row, (held, same) in best.items() if held]
 
 
@@ -204,7 +282,7 @@ def _holds(index, min_coverage: float):
 
 def _shipped(docs: DataFrame, index: Index):
     """The index as a broadcast of plain values, so that workers need no copy of this package."""
-    return docs.sparkSession.sparkContext.broadcast((index.items, index.sizes, index.bits))
+    return docs.sparkSession.sparkContext.broadcast((index.items, index.sizes, index.bits, index.folds, index.folded, index.words))
 
 
 def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pass_words: int = PASS_WORDS) -> Iterator[Index]:

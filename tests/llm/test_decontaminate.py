@@ -30,6 +30,29 @@ def test_slots_must_agree():
     assert coverage(asked)[1][0] < coverage(ITEM.replace("Tom", "Anna").replace("12", "31"))[1][0]
 
 
+NAMED = "Alice has 12 apples. Bob has 5 more apples than Alice. Carol gives 3 apples to Bob. How many apples does Carol have?"
+ASKED = "Dora has 31 apples. Emil has 7 more apples than Dora. Frida gives 9 apples to Emil. How many apples does Frida have?"
+
+
+def test_names_that_open_sentences():
+    index = D.build_index([(1, NAMED)])
+    found, exact = coverage("Some words before. " + ASKED, index)[1]
+    assert found == 1.0 and not exact
+    assert coverage(NAMED, index)[1] == (1.0, True)
+    # Slots must still agree: nobody is asked about twice here.
+    mixed = ASKED.replace("than Dora", "than Gina").replace("to Emil", "to Hugo").replace("does Frida", "does Ida")
+    assert coverage(mixed, index).get(1, (0, 0))[0] < found
+
+
+def test_names_whatever_the_case_and_slots_of_several_words():
+    index = D.build_index([(1, NAMED)])
+    assert coverage(ASKED.lower(), index)[1][0] >= 0.5
+    assert coverage(ASKED.upper(), index)[1][0] >= 0.5
+    longer = ASKED.replace("Emil", "Mary Ann").replace("31", "thirty one").replace("Frida", "Jean Luc Moreau")
+    assert coverage(longer, index)[1][0] == 1.0
+    assert D.matches("Every tree has many leaves. People have more leaves than trees. The wind gives leaves to people. How many does it have?", index, D.Reader()) == []
+
+
 def test_clean_texts_stay():
     rng = random.Random(1)
     words = "the of and to in is it that was for on are with he as his they at be this from".split()
