@@ -33,6 +33,12 @@ MIN_ITEM = 4
 MIN_LITERAL = 3
 #: Share of an item's windows that a document must hold.
 MIN_COVERAGE = 0.5
+#: Plain words of an item in one consistent run that are reported whatever the coverage.
+MIN_RUN = 13
+#: Share of an item's words, and of its plain words, that agree on a diagonal when single edits break its windows.
+MIN_AGREED = 0.8
+#: Items that one edit can leave without a window, by words, and the shorter seeds they are looked for by.
+SHORT_ITEM, SEED_WINDOW = range(11, 17), 5
 #: Words of benchmark items looked for in one pass over the documents. A larger
 #: benchmark takes more passes, so what is broadcast stays bounded.
 PASS_WORDS = 500_000
@@ -142,6 +148,8 @@ class Index:
     bits: dict[int, np.ndarray] = field(default_factory=dict)
     folds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # row, values, slots, starts and the end
     folded: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    shapes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # row: template, which windows are indexed by template
+    seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # plain words of folded items, sorted
 
     def close(self) -> Index:
@@ -150,8 +158,9 @@ class Index:
             bits = np.zeros(1 << 22, bool)
             bits[np.fromiter(table, np.uint64, len(table)) >> np.uint64(42)] = True
             self.bits[size] = bits
-        self.bits[0] = np.zeros(1 << 22, bool)  # of the folded form
-        self.bits[0][np.fromiter(self.folded, np.uint64, len(self.folded)) >> np.uint64(42)] = True
+        for key, table in ((0, self.folded), (-1, self.seeds)):
+            self.bits[key] = np.zeros(1 << 22, bool)
+            self.bits[key][np.fromiter(table, np.uint64, len(table)) >> np.uint64(42)] = True
         return self
 
     def unknown(self, plain: np.ndarray) -> np.ndarray:
@@ -176,6 +185,10 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
             own.setdefault(a, []).append((row, at))
             if solid[at] and a != b:
                 own.setdefault(b, []).append((row, at))
+        by_shape = solid.copy()
+        if len(plain) in SHORT_ITEM:
+            for at, a in enumerate(window_hashes(plain, SEED_WINDOW).tolist()):
+                index.seeds.setdefault(a, []).append((row, at))
         for names in (cap, np.zeros(len(cap), bool)) if (cap & ~slot).any() else (cap,):
             values, shape, slots, starts = fold(plain, template, slot, first, names)
             if len(values) < WINDOW or not slots.any():
@@ -183,7 +196,9 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
             literals.update(plain[~(slot | cap)].tolist())
             for at in np.flatnonzero(_literal(slots, WINDOW)).tolist():
                 index.folded.setdefault(int(window_hashes(shape[at : at + WINDOW], WINDOW)[0]), []).append((len(index.folds), at))
+                by_shape[starts[at] : np.append(starts, len(plain))[at + WINDOW] - size + 1] = True
             index.folds.append((row, values, slots, np.append(starts, len(plain))))
+        index.shapes[row] = template, by_shape
     index.words = np.array(sorted(literals), np.uint64)
     return index.close()
 
@@ -227,8 +242,32 @@ def _match_folded(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, fir
         best[row] = (held | more, same and more <= held)
 
 
-def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int | None, int, int, bool]]:
-    """(item_id, windows found, windows of the item, found as it is) for every item a text touches."""
+def _run(starts: list[int], size: int, literal: np.ndarray) -> int:
+    """Most plain words in a run of matched windows that overlap or touch."""
+    best = at = 0
+    while at < len(starts):
+        last = at
+        while last + 1 < len(starts) and starts[last + 1] <= starts[last] + size:
+            last += 1
+        best = max(best, int(literal[starts[at] : starts[last] + size].sum()))
+        at = last + 1
+    return best
+
+
+def _agrees(item: np.ndarray, shape: np.ndarray, slots: np.ndarray, plain: np.ndarray, template: np.ndarray, offset: int) -> bool:
+    """Whether a document has most of an item's words on a diagonal, edited words aside."""
+    lo, hi = max(0, -offset), min(len(item), len(plain) - offset)
+    same = np.zeros(len(item), bool)
+    same[lo:hi] = (item[lo:hi] == plain[lo + offset : hi + offset]) | (slots[lo:hi] & (shape[lo:hi] == template[lo + offset : hi + offset]))
+    if same.sum() < MIN_AGREED * len(item) or same[~slots].sum() < MIN_AGREED * (~slots).sum():
+        return False
+    held = np.flatnonzero(same & slots).tolist()
+    good = len(_consistent(item, slots, plain, offset, 1, held))
+    return same.sum() - len(held) + good >= MIN_AGREED * len(item)
+
+
+def _looked_up(text: str | None, index: Index, reader: Reader) -> tuple[dict[int, tuple[set[int], bool]], set[int]]:
+    """Windows held of each item a text touches, and the items of which it has a long run or all but some words."""
     plain, template, slot, first, cap = reader.read_all(text)
     found: dict[tuple[int, int], dict[int, bool]] = {}
     for size, table in index.sizes.items():
@@ -246,23 +285,58 @@ def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int |
                         own = found.setdefault((row, at - start), {})
                         own[start] = own.get(start, False) or same
     best: dict[int, tuple[set[int], bool]] = {}
+    whole: set[int] = set()
     for (row, offset), starts in found.items():
         _, size, _, item, slots = index.items[row]
         good = _consistent(item, slots, plain, offset, size, sorted(starts))
         held, same = best.get(row, (set(), True))
         best[row] = (held | set(good), same and all(starts[s] for s in good))
+        exact = sorted(s for s in starts if starts[s])
+        if _run(exact, size, np.ones(len(item), bool)) >= MIN_RUN or _run(good, size, ~slots) >= MIN_RUN or len(item) >= SHORT_ITEM.start and _agrees(item, index.shapes[row][0], slots, plain, template, offset):
+            whole.add(row)
+    if index.seeds:
+        hashes = window_hashes(plain, SEED_WINDOW)
+        near = {(row, at - start) for at in np.flatnonzero(index.bits[-1][hashes >> np.uint64(42)]).tolist() for row, start in index.seeds.get(int(hashes[at]), ())}
+        for row, offset in near - found.keys():
+            if _agrees(index.items[row][3], index.shapes[row][0], index.items[row][4], plain, template, offset):
+                whole.add(row)
+                best.setdefault(row, (set(), False))
     if index.folded and len(plain) >= WINDOW:
         _match_folded(plain, template, slot, first, cap | index.unknown(plain), index, best)
+    return best, whole
+
+
+def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int | None, int, int, bool]]:
+    """(item_id, windows found, windows of the item, found as it is) for every item a text touches."""
+    best, _ = _looked_up(text, index, reader)
     return [(index.items[row][0], len(held), index.items[row][2], same) for row, (held, same) in best.items() if held]
 
 
+def found(text: str | None, index: Index, reader: Reader, min_coverage: float = MIN_COVERAGE) -> list[tuple[int | None, int, int, bool]]:
+    """Of the rows of :func:`matches`, those to report.
+
+    An item is held if its windows are covered, if a run of ``MIN_RUN`` plain words
+    is there, or if ``MIN_AGREED`` of its words agree on a diagonal. Where windows
+    match by template only, those that no template is indexed for don't count.
+    """
+    best, whole = _looked_up(text, index, reader)
+    out = []
+    for row, (held, same) in best.items():
+        of, by_shape = index.items[row][2], index.shapes[row][1]
+        n, some = len(held), int(by_shape.sum())
+        covered = n and (n >= min_coverage * of or not same and some and sum(by_shape[s] for s in held) >= min_coverage * some)
+        if covered or row in whole:
+            out.append((index.items[row][0], n, of, same))
+    return out
+
+
 def _scan(index, min_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held = Reader(), Index(*index.value)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(doc_id, i, n, of, n / of, same) for i, n, of, same in matches(text.as_py(), held, reader) if n >= min_coverage * of]
+                rows += [(doc_id, i, n, of, n / of, same) for i, n, of, same in found(text.as_py(), held, reader, min_coverage)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "windows", "item_windows", "coverage", "exact"])
@@ -275,14 +349,14 @@ def _holds(index, min_coverage: float):
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader, held = Reader(), Index(*index.value)
         for texts in parts:
-            yield pd.Series([any(n >= min_coverage * of for _, n, of, _ in matches(t, held, reader)) for t in texts], dtype=bool)
+            yield pd.Series([bool(found(t, held, reader, min_coverage)) for t in texts], dtype=bool)
 
     return udf
 
 
 def _shipped(docs: DataFrame, index: Index):
     """The index as a broadcast of plain values, so that workers need no copy of this package."""
-    return docs.sparkSession.sparkContext.broadcast((index.items, index.sizes, index.bits, index.folds, index.folded, index.words))
+    return docs.sparkSession.sparkContext.broadcast((index.items, index.sizes, index.bits, index.folds, index.folded, index.shapes, index.seeds, index.words))
 
 
 def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pass_words: int = PASS_WORDS) -> Iterator[Index]:
@@ -298,6 +372,8 @@ def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", p
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE, pass_words: int = PASS_WORDS) -> DataFrame:
     """Rows (doc_id, item_id, windows, item_windows, coverage, exact): documents that hold an item.
 
+    A document holds an item by the rules of :func:`found`, so ``coverage``, the
+    share of all the item's windows, may be less than ``min_coverage``.
     ``exact`` is false if some window matched by its template only. Every text is
     read whole. Null and empty texts match nothing, on either side; items under
     ``MIN_ITEM`` words are not looked for; items that repeat are reported once for

@@ -53,6 +53,33 @@ def test_names_whatever_the_case_and_slots_of_several_words():
     assert D.matches("Every tree has many leaves. People have more leaves than trees. The wind gives leaves to people. How many does it have?", index, D.Reader()) == []
 
 
+def reported(text, item):
+    return bool(D.found(text, D.build_index([(1, item)]), D.Reader()))
+
+
+def test_partial_and_edited_items_are_reported():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(59)]
+    for n, run in ((38, 22), (59, 32), (59, 13)):
+        text = "some other words " + " ".join(words[9 : 9 + run]) + " and then more"
+        assert reported(text, " ".join(words[:n]))
+    assert not reported("before " + " ".join(words[9:21]) + " after", " ".join(words[:38]))  # 12 words
+    for n in range(11, 23):  # one changed word, wherever it is
+        for at in range(n):
+            edited = words[:at] + ["changed"] + words[at + 1 : n]
+            assert reported("before " + " ".join(edited) + " after", " ".join(words[:n])), (n, at)
+    edited = list(words[:38])
+    edited[12] = edited[25] = "changed"
+    assert reported(" ".join(edited), " ".join(words[:38]))
+    assert not reported("none " + " ".join(words[i] for i in range(38) if i % 3), " ".join(words[:38]))
+
+
+def test_windows_without_a_template_do_not_count():
+    item = "we walked 3 km 4 min 5 kg 6 m 7 s 8 g 9 cm 10 mm to find the whole sum of it all"
+    asked = "we walked 23 km 24 min 25 kg 26 m 27 s 28 g 29 cm 30 mm to find the whole sum of it all"
+    assert reported(asked, item)
+    assert not reported("to find a sum of the whole list we added it", item)
+
+
 def test_clean_texts_stay():
     rng = random.Random(1)
     words = "the of and to in is it that was for on are with he as his they at be this from".split()
