@@ -3,8 +3,10 @@
 MinHash bands propose pairs, and each pair's shingle sets are compared exactly.
 At first every member of a bucket is compared with one pivot only; the links
 found make classes, and then all pairs of a bucket that lie in different classes
-are compared. So a dense group of n costs about n comparisons, not n squared,
-and the classes are those of comparing all proposed pairs. Five rows a band and
+are compared. The classes are those of comparing all proposed pairs. A group
+that its pivots join costs about n comparisons; one whose members are mostly
+unlike their pivots still costs up to n squared, which the check's input with
+one large group of near copies does not fit (see the README). Five rows a band and
 32 bands leave a pair of similarity 0.8 unproposed 3 times in a million.
 """
 
