@@ -1,115 +1,159 @@
-"""Near-duplicates by the exact Jaccard similarity of their shingles.
-
-MinHash bands propose pairs, and each pair's shingle sets are compared exactly.
-At first every member of a bucket is compared with one pivot only; the links
-found make classes, and then all pairs of a bucket that lie in different classes
-are compared. The classes are those of comparing all proposed pairs. A group
-that its pivots join costs about n comparisons; one whose members are mostly
-unlike their pivots still costs up to n squared, which the check's input with
-one large group of near copies does not fit (see the README). Five rows a band and
-32 bands leave a pair of similarity 0.8 unproposed 3 times in a million.
+"""Pairs of shingle sets by MinHash bands, and their exact Jaccard similarity.
+
+Sets of one bucket are candidates. Buckets that share members make a group;
+each task gets the whole sets of a group, once, and finds the similar pairs by
+matrix products over the shingles. A group too large for a task is taken
+bucket by bucket, and a bucket too large goes out in pairs of blocks, so that a
+task's memory stays bounded and no pair of a bucket is left out. Only a spanning
+forest of the links leaves a task. Five rows a band and 32 bands leave a pair of
+similarity 0.8 unproposed 3 times in a million.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernmill.llm.graph import components
+from fernmill.llm.graph import hot_join, spanning, streamed_groups
 from fernmill.llm.scratch import written
-from fernmill.llm.simhash import best_of_classes, shingles
+from fernmill.llm.shingles import shingle_set, shingles
 
-SHINGLE = 5
-THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 SEED = 43
 #: Shingles hashed at once.
 CHUNK = 512
+#: Shingles of one group that a task holds once or twice.
+GROUP = 1 << 20
+#: Sets and shingles of one matrix.
+TILE, COLUMNS = 1024, 8192
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    return np.unique(np.array(shingles(text, shingle), np.uint64))
-
-
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """The identity of a shingle set, and the hash of each band of its MinHash; sets without shingles are alike."""
-    rng = np.random.default_rng(SEED)
-    flips, factors = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-    return _sketch(grams, flips, factors | np.uint64(1))
-
+class Bands:
+    """Draws MinHash bands."""
 
-def _sketch(grams: np.ndarray, flips: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    least = np.full(len(flips), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), CHUNK):
-        hashed = grams[at : at + CHUNK, None] ^ flips
-        hashed *= factors
-        np.minimum(least, hashed.min(axis=0), out=least)
-    mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.concatenate(([np.uint64(xxhash.xxh64_intdigest(grams.tobytes()))], mixed))
-
-
-def _sketches(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def udf(texts: pd.Series) -> pd.Series:
+    def __init__(self) -> None:
         rng = np.random.default_rng(SEED)
-        flips, factors = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-        factors |= np.uint64(1)
-        return pd.Series([_sketch(shingle_set(t, shingle), flips, factors).view(np.int64) for t in texts], dtype=object)
-
-    return udf(text)
-
+        self.flips, self.factors = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+        self.factors |= np.uint64(1)
+
+    def sketch(self, hashes: list[int]) -> np.ndarray:
+        """The identity of a shingle set, and the hash of each band of its MinHash; sets without shingles are alike."""
+        grams = shingle_set(hashes)
+        least = np.full(len(self.flips), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(grams), CHUNK):
+            hashed = grams[at : at + CHUNK, None] ^ self.flips
+            hashed *= self.factors
+            np.minimum(least, hashed.min(axis=0), out=least)
+        mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return np.concatenate(([np.uint64(xxhash.xxh64_intdigest(grams.tobytes()))], mixed))
+
+
+def sets(text: Column, shingle: int) -> Column:
+    """The shingle set of a text, as an array of longs."""
 
-def _sets(text: Column, shingle: int) -> Column:
     @F.pandas_udf("array<long>")
     def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([shingle_set(shingles(t, shingle)).view(np.int64) for t in texts], dtype=object)
 
     return udf(text)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose shingle sets have the similarity."""
-    rows = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-    rows = rows.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return rows.where(F.col("both") * 1000 >= (F.col("n") + F.col("m") - F.col("both")) * round(threshold * 1000)).select("a", "b")
-
-
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: that of the smallest doc_id.
-
-    Texts link where the Jaccard similarity of their sets of ``shingle`` words is
-    ``threshold`` or more; a class is what links join. Words are those of
-    :func:`simhash.shingles`; texts that are null or without words are alike.
-    Ties, repeated rows, null ids and other columns go as in ``simhash.deduplicate``.
+def _tile(rows: np.ndarray, columns: np.ndarray, lo: int, left: int) -> np.ndarray:
+    """Sets ``lo`` onwards by shingles ``left`` onwards, as a matrix of ones."""
+    own = (rows >= lo) & (rows < lo + TILE) & (columns >= left) & (columns < left + COLUMNS)
+    out = np.zeros((TILE, COLUMNS), np.float32)
+    out[rows[own] - lo, columns[own] - left] = 1
+    return out
+
+
+def _shared(rows: np.ndarray, columns: np.ndarray, n: int, width: int) -> np.ndarray:
+    """How many shingles each pair of ``n`` sets shares."""
+    if n <= TILE and n * width <= 4 * TILE * COLUMNS:
+        dense = np.zeros((n, width), np.float32)
+        dense[rows, columns] = 1
+        return dense @ dense.T
+    out = np.zeros((n, n), np.float32)
+    for left in range(0, width, COLUMNS):
+        tiles = [_tile(rows, columns, lo, left) for lo in range(0, n, TILE)]
+        for i, x in enumerate(tiles):
+            for j, y in enumerate(tiles[: i + 1]):
+                part = (x @ y.T)[: n - i * TILE, : n - j * TILE]
+                out[i * TILE : i * TILE + TILE, j * TILE : j * TILE + TILE] += part
+                if i != j:
+                    out[j * TILE : j * TILE + TILE, i * TILE : i * TILE + TILE] += part.T
+    return out
+
+
+def similar_pairs(values: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) that join all sets of the similarity; the sets lie one after another in ``values``."""
+    n, per = len(sizes), round(threshold * 1000)
+    if n == 2:
+        both = len(np.intersect1d(values[: sizes[0]], values[sizes[0] :], assume_unique=True))
+        near = both * (1000 + per) >= per * int(sizes.sum())
+        return (np.array([0]), np.array([1])) if near else (np.empty(0, np.int64), np.empty(0, np.int64))
+    _, columns, often = np.unique(values, return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(n), sizes)
+    common = often > 1
+    at = np.cumsum(common) - 1
+    rows, columns = rows[common[columns]], at[columns[common[columns]]]
+    both = _shared(rows, columns, n, int(common.sum()))
+    near = both * (1000 + per) >= np.float32(per) * (sizes[:, None] + sizes[None, :])
+    np.fill_diagonal(near, False)
+    return spanning(near)
+
+
+def _links(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src: list[np.ndarray] = []
+        dst: list[np.ndarray] = []
+        held = 0
+        for group in streamed_groups(batches):
+            if len(group) < 2:
+                continue
+            group = group.combine_chunks()
+            lists = group.column(2).chunk(0)
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            grams = group.column(1).to_numpy()
+            i, j = similar_pairs(values, np.diff(lists.offsets.to_numpy()), threshold)
+            src.append(grams[i])
+            dst.append(grams[j])
+            held += len(i)
+            if held >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], names=["a", "b"])
+                src, dst, held = [], [], 0
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], names=["a", "b"])
+
+    return run
+
+
+def similar(sets: DataFrame, groups: DataFrame, buckets: DataFrame, threshold: float, group: int = GROUP) -> DataFrame:
+    """Links (a, b) that join all candidates of the similarity.
+
+    ``sets`` has (grams, set), ``groups`` (grams, home) and ``buckets`` (grams,
+    bucket); candidates are sets of one bucket, and a bucket lies within a home.
     """
-    key = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    drawn = docs.select(F.col(doc_id).alias("doc_id"), key().alias("key"), _sketches(F.col(text), shingle).alias("sketch"))
-    marked = written(drawn.select("doc_id", "key", F.get("sketch", F.lit(0)).alias("fp"), F.slice("sketch", 2, BANDS).alias("bands")), "sketches")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
-    reps = written(marked.groupBy("fp").agg(best, F.min("bands").alias("bands")), "distinct")
-
-    banded = reps.select("fp", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
-    members = written(banded.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
-    wanted = members.select("fp").distinct().join(reps, "fp").select("fp", F.col("best.doc_id").alias("want_id"), F.col("best.key").alias("want_key"))
-    rows = docs.select(F.col(doc_id).alias("id"), key().alias("key"), F.col(text).alias("text"))
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key")))
-    sets = written(rows.select("fp", _sets(F.col("text"), shingle).alias("grams")).dropDuplicates(["fp"]), "shingle-sets")
-
-    near = written(_similar(members.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), sets, threshold), "near")
-    roots = written(components(near), "roots")
-    rooted = members.select("bucket", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = rooted.join(mixed, "bucket").select("bucket", F.col("fp").alias("a"), F.col("root").alias("own"))
-    right = left.select("bucket", F.col("a").alias("b"), F.col("own").alias("other"))
-    cross = left.join(right, "bucket").where("a < b and own <> other").select("a", "b").distinct()
-    more = written(_similar(cross, sets, threshold), "near")
-    return best_of_classes(docs, marked, reps, components(near.unionAll(more)), doc_id, text)
+    sized = written(groups.join(sets.select("grams", F.size("set").alias("size")), "grams"), "sized")
+    homes = sized.groupBy("home").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
+    total = sized.count()
+    small = homes.where(F.col("weight") <= group).select("home", "n")
+    large = homes.where(F.col("weight") > group).select("home", "n")
+    whole = hot_join(sized, small, "home", "n", total).select("home", "grams", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    # Sets of a large group, by bucket, and by pairs of blocks where that is large too.
+    wide = hot_join(sized, large, "home", "n", total).select("grams", "size")
+    by_bucket = written(buckets.join(wide, "grams").select(F.xxhash64(F.lit("bucket"), "bucket").alias("home"), "grams", "size"), "by-bucket")
+    parts = by_bucket.groupBy("home").agg(F.ceil(F.sum("size") / F.lit(group)).alias("parts"), F.count("*").alias("n"))
+    cut = hot_join(by_bucket, parts.where("n > 1"), "home", "n", by_bucket.count())
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("grams"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cut = cut.select("home", "grams", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = whole.unionByName(cut).select(F.xxhash64("home", "i", "j").alias("deal"), "grams").distinct().join(sets, "grams").select("deal", "grams", "set")
+    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_links(threshold), "a long, b long").distinct()

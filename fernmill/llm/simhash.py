@@ -1,62 +1,60 @@
-"""SimHash near-duplicates over a forest of vantage-point trees.
-
-A single vantage-point tree over 64-bit fingerprints prunes little at a radius
-of 4: distances to any vantage point crowd around 32, and 57 of 100 branches
-survive each triangle bound. The forest therefore holds one tree for each pair
-of bit blocks. With ``max_distance + 2`` blocks, two fingerprints within
-``max_distance`` agree on at least two whole blocks, so in the tree of that
-pair their distance is zero and the triangle bound |d(x, v) - d(y, v)| <= 0
-keeps one branch at each vantage point. The branch distances on the way down
-name the shard; all members of a shard are then compared exactly over all 64
-bits. The vantage points are fixed by a seed, so nothing is collected to build
-the trees and the same fingerprints always meet in the same shards.
+"""SimHash near-duplicates by vantage-point trees.
+
+The 64 bits are cut into three parts. Two fingerprints within 4 bits differ by
+at most one bit in some part, so a tree for each part, searched at a radius of
+one bit, misses no pair. A tree's vantage points are fingerprints of the data
+and its balls are cut where they halve them: the inside holds what lies within
+the threshold, the outside the rest, and the ring of one bit beyond the
+threshold, which the triangle inequality cannot rule out, goes to both sides.
+So all pairs of a radius meet in at least one shard. The upper levels are grown
+on a bounded sample and deal all fingerprints out to tasks; each task goes on
+with trees over its own members until shards are small, and compares these
+exactly over all 64 bits. A single tree over all bits would have to search a
+ring of four bits, in which half of all distances fall.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernmill.llm.graph import components
-from fernmill.llm.scratch import written
+from fernmill.llm import minhash
+from fernmill.llm.graph import components, hot_join, spanning, streamed_groups
+from fernmill.llm.scratch import few, written
+from fernmill.llm.shingles import shingles
 
 SHINGLE = 4
 MAX_DISTANCE = 4
-#: Vantage points on the way from a tree's root to its shards.
-DEPTH = 8
-#: Fingerprints compared at once; a larger shard is dealt out in pairs of blocks.
-BLOCK = 4096
+#: Words of a shingle and similarity of near copies.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Parts of the bits with a tree each.
+PARTS = 3
+#: Fingerprints that the upper levels of the trees are grown on; all are placed in them.
+SAMPLE = 1 << 16
+#: Fingerprints a shard of the upper levels should hold, and sample members it needs for a cut.
+SHARD, MIN_SAMPLE = 8192, 32
+#: Fingerprints of one shard that a task holds once or twice; a larger shard is dealt out in pairs of blocks.
+BLOCK = 1 << 18
+#: Fingerprints that are compared all with all at the end.
+LEAF = 256
+#: Vantage points tried for a cut, and the share of a shard that its larger side may have.
+TRIES, UNEVEN = 4, 0.9
 SEED = 42
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> list[int]:
-    """XXH64 of each run of ``shingle`` words.
-
-    A-Z is lower-cased; words are runs of anything but ASCII white space. Fewer
-    words than a shingle make one shingle of them all; no words (or null) make none.
-    """
-    words = (text or "").encode().lower().split()
-    if len(words) <= shingle:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1]
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-
-
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text: the majority bits of its :func:`shingles`; without words (or null) 0."""
-    hashes = shingles(text, shingle)
+    return majority(shingles(text, shingle))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that over half of the hashes have; 0 without hashes."""
     if not hashes:
         return 0
     bits = np.zeros(64, np.int64)
@@ -85,24 +83,111 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(max_distance: int = MAX_DISTANCE, depth: int = DEPTH, seed: int = SEED) -> list[tuple[int, list[int]]]:
-    """The trees as (bit mask, vantage points within it); one for each pair of blocks."""
-    edges = [round(i * 64 / (max_distance + 2)) for i in range(max_distance + 3)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
-    rng = random.Random(seed)
-    return [(a | b, [rng.getrandbits(64) & (a | b) for _ in range(depth)]) for a, b in combinations(blocks, 2)]
+def masks(parts: int = PARTS) -> list[np.uint64]:
+    """Bit masks that cut 64 bits into parts."""
+    edges = [round(i * 64 / parts) for i in range(parts + 1)]
+    return [np.uint64(((1 << (hi - lo)) - 1) << lo) for lo, hi in zip(edges, edges[1:])]
+
+
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def cut(members: np.ndarray, mask: np.uint64, radius: int, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
+    """A vantage point of ``members`` and the threshold that halves them best; None if none does.
+
+    The inside is what lies within threshold + radius bits, the outside what lies
+    beyond the threshold, so every pair within ``radius`` shares a side.
+    """
+    for _ in range(TRIES):
+        point = members[rng.integers(len(members))]
+        upto = np.cumsum(np.bincount(np.bitwise_count((members ^ point) & mask), minlength=65))
+        inside = upto[np.minimum(np.arange(65) + radius, 64)]
+        larger = np.maximum(inside, len(members) - upto)
+        best = int(larger.argmin())
+        if larger[best] <= UNEVEN * len(members):
+            return point, best
+    return None
+
+
+@dataclass
+class Tree:
+    """The upper levels of one part's tree: a ball, or a leaf with its number and its blocks."""
+
+    point: np.uint64 = np.uint64(0)
+    threshold: int = 0
+    inside: Tree | None = None
+    outside: Tree | None = None
+    leaf: int = -1
+    blocks: int = 1
+
+
+def grow(sample: np.ndarray, share: float, mask: np.uint64, radius: int, rng: np.random.Generator, leaves: list[int], shard: int = SHARD, block: int = BLOCK) -> Tree:
+    """A tree over a sample, each of whose members stands for ``share`` fingerprints."""
+    held = len(sample) * share
+    found = cut(sample, mask, radius, rng) if held > shard and len(sample) >= MIN_SAMPLE else None
+    if found is None:
+        leaves.append(len(leaves))
+        return Tree(leaf=leaves[-1], blocks=max(1, int(-(-held // block))))
+    far = np.bitwise_count((sample ^ found[0]) & mask)
+    sides = [grow(sample[x], share, mask, radius, rng, leaves, shard, block) for x in (far <= found[1] + radius, far > found[1])]
+    return Tree(*found, *sides)
+
+
+def shards(fps: np.ndarray, tree: Tree, mask: np.uint64, radius: int) -> Iterator[tuple[Tree, np.ndarray]]:
+    """The leaves that fingerprints fall into, those near a ball's surface into both sides."""
+    if tree.leaf >= 0:
+        yield tree, fps
+        return
+    far = np.bitwise_count((fps ^ tree.point) & mask)
+    for side, own in ((tree.inside, far <= tree.threshold + radius), (tree.outside, far > tree.threshold)):
+        if own.any():
+            yield from shards(fps[own], side, mask, radius)
+
+
+def _dealt(trees: list[tuple[np.uint64, Tree]], radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys, members = [], []
+            for k, (mask, tree) in enumerate(trees):
+                for leaf, own in shards(fps, tree, mask, radius):
+                    # A pair of blocks (i, j) is named by i * blocks + j.
+                    block = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % leaf.blocks
+                    for other in range(leaf.blocks):
+                        keys.append((k << 56) + (leaf.leaf << 32) + np.minimum(block, other) * leaf.blocks + np.maximum(block, other))
+                        members.append(own)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members).view(np.int64))], names=["key", "fp"])
+
+    return run
+
 
+def close_pairs(members: np.ndarray, mask: np.uint64, radius: int, max_distance: int, counted: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join all distinct members within ``max_distance`` that differ by at most ``radius`` within ``mask``.
 
-def _shards(fps: DataFrame, max_distance: int) -> DataFrame:
-    """(shard, fp): each fingerprint once in every tree, at the leaf its distances lead to."""
-    trees = [
-        F.struct(F.lit(k).cast("long").alias("k"), F.lit(_signed(mask)).alias("mask"), *(F.lit(_signed(v)).alias(f"v{i}") for i, v in enumerate(points)))
-        for k, (mask, points) in enumerate(forest(max_distance))
-    ]
-    rows = fps.select("fp", F.explode(F.array(*trees)).alias("t"))
-    inside = F.col("fp").bitwiseAND(F.col("t.mask"))
-    steps = [F.shiftleft(F.bit_count(inside.bitwiseXOR(F.col(f"t.v{i}"))).cast("long"), 6 * i) for i in range(DEPTH)]
-    return rows.select(F.xxhash64(F.col("t.k"), reduce(lambda x, y: x + y, steps)).alias("shard"), "fp")
+    The tree goes on over the members of a shard. What no ball of the part
+    divides is divided over all bits, and what no ball divides then is a dense
+    group, which is searched from member to member. ``counted`` gathers the
+    comparisons of small shards.
+    """
+    rng, open_ = np.random.default_rng(SEED), [(members, mask, radius)]
+    while open_:
+        own, mask, radius = open_.pop()
+        if len(own) <= LEAF:
+            if counted is not None:
+                counted.append(len(own) * (len(own) - 1) // 2)
+            near = np.bitwise_count(own[:, None] ^ own[None, :]) <= max_distance
+            np.fill_diagonal(near, False)
+            if near.any():
+                i, j = spanning(near)
+                yield own[i], own[j]
+        elif found := cut(own, mask, radius, rng):
+            far = np.bitwise_count((own ^ found[0]) & mask)
+            open_ += [(own[far <= found[1] + radius], mask, radius), (own[far > found[1]], mask, radius)]
+        elif mask != ALL:
+            open_.append((own, ALL, max_distance))
+        else:
+            yield from zip(*_links_within(own, max_distance), strict=True)
 
 
 def _links_within(members: np.ndarray, max_distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -133,56 +218,39 @@ def _links_within(members: np.ndarray, max_distance: int) -> tuple[list[np.ndarr
     return src, dst
 
 
-def _link_batches(max_distance: int):
+def _link_batches(radius: int, max_distance: int):
+    cuts = masks()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            small = sizes <= 8
-            src, dst = [], []
-            held, own = values[small[owner]], owner[small[owner]]
-            for lag in range(1, 8):
-                same = own[lag:] == own[:-lag]
-                x, y = held[:-lag][same], held[lag:][same]
-                near = np.bitwise_count(x ^ y) <= max_distance
-                src.append(x[near])
-                dst.append(y[near])
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            for i in np.flatnonzero(~small):
-                s, d = _links_within(np.unique(values[starts[i] : starts[i + 1]]), max_distance)
-                src += s
-                dst += d
-            a = np.concatenate([*src, np.empty(0, np.uint64)]).view(np.int64)
-            b = np.concatenate([*dst, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for group in streamed_groups(batches):
+            mask = cuts[group.column(0)[0].as_py() >> 56]
+            members = np.unique(group.column(1).to_numpy().view(np.uint64))
+            found = list(close_pairs(members, mask, radius, max_distance))
+            if found:
+                a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, shard: int = SHARD, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints within ``max_distance``, transitively.
 
-    ``fps`` has a column ``fp`` of distinct longs. Within a shard only a spanning
-    forest of the links is returned, so a dense group of n costs n rows. Shards
-    of more than ``block`` members are dealt out as pairs of blocks, so no task
-    holds more than about two blocks of one shard.
+    ``fps`` has a column ``fp`` of distinct longs. Within a shard only spanning
+    forests of the links are returned, so a dense group of n costs about n rows.
+    The trees deepen with the table: shards of about ``shard`` members are dealt to
+    tasks as far as a sample of ``sample`` can tell them apart, and one expected
+    to hold more than ``block`` goes out as pairs of blocks, so that a task's
+    memory stays bounded. Neither changes what is found. The sample is those of
+    the smallest seeded hash.
     """
-    keyed = _shards(fps, max_distance)
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(block))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    dealt = (
-        keyed.join(sizes, "shard")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
-        .groupBy("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list("fp").alias("members"))
-        .where(F.size("members") > 1)
-    )
-    return dealt.select("members").mapInArrow(_link_batches(max_distance), "a long, b long")
+    total = fps.count()
+    some = fps.orderBy(F.xxhash64(F.lit(SEED), "fp"), "fp").limit(sample)
+    known = np.sort(np.array([r["fp"] for r in some.collect()], np.int64).view(np.uint64))
+    radius, rng = max_distance // PARTS, np.random.default_rng(SEED)
+    trees = [(mask, grow(known, total / max(1, len(known)), mask, radius, rng, [], shard, block)) for mask in masks()]
+    dealt = fps.select("fp").mapInArrow(_dealt(trees, radius), "key long, fp long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches(radius, max_distance), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -199,41 +267,88 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
     reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
     roots = components(links(reps.select("fp"), max_distance))
-    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("copies"))
-    named = rooted.join(classes, "root").select("fp", "component_id", "copies")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "copies")
+    rooted = written(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    classes = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("copies"), F.count("*").alias("members"))
+    total = marked.count()
+    named = hot_join(rooted.select("fp", "root", "n"), classes, "root", "members", total).select("fp", "component_id", "copies", "n")
+    return hot_join(marked, named, "fp", "n", total).select("doc_id", "fp", "component_id", "copies")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of the smallest doc_id.
+def _marks(text: Column, shingle: int) -> Column:
+    """Fingerprint, identity of the shingle set and hashes of its MinHash bands, of one reading of a text."""
 
-    Where a class has several rows of that id, the one of the smallest text hash
-    stays, and of rows that agree in both, any one. A null id stays only in a
-    class without another. All columns are kept as they are.
-    """
-    key = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    light = docs.select(F.col(doc_id).alias("doc_id"), key().alias("key"), fingerprint(F.col(text), shingle).alias("fp"))
-    marked = written(light, "fingerprints")
-    reps = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best"))
-    reps = written(reps, "distinct")
-    return best_of_classes(docs, marked, reps, components(links(reps.select("fp"), max_distance)), doc_id, text)
+    @F.pandas_udf("array<long>")
+    def udf(texts: pd.Series) -> pd.Series:
+        draw = minhash.Bands()
+
+        def marks(text: str | None) -> np.ndarray:
+            hashes = shingles(text, shingle)
+            return np.concatenate(([np.uint64(majority(hashes))], draw.sketch(hashes))).view(np.int64)
 
+        return pd.Series([marks(t) for t in texts], dtype=object)
+
+    return udf(text)
 
-def best_of_classes(docs: DataFrame, marked: DataFrame, reps: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` that stay, given the class (node, root) of every linked fp.
 
-    ``marked`` holds (doc_id, key, fp) of every row, key being the text's hash,
-    and ``reps`` (fp, best) the best row of each fp.
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates: that of the smallest doc_id.
+
+    Texts link where the Jaccard similarity of their sets of ``shingle`` words is
+    ``similarity`` or more; a class is what links join. Fingerprints within
+    ``max_distance`` propose pairs; as texts of such a similarity often differ by
+    more bits, equal MinHash bands propose the rest, and every proposed pair is
+    compared exactly (see :mod:`minhash`). Texts that are null or without words
+    are alike. Where a class has several rows of the smallest id, the one of the
+    smallest text hash stays, and of rows that agree in both, the first by all
+    their columns. A null id stays only in a class without another. Other columns
+    are kept as they are, whatever their names; an empty table stays empty. Texts
+    are shuffled only where the list of rows to drop is too long to broadcast.
+    """
+    key = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    drawn = docs.select(F.col(doc_id).alias("doc_id"), key().alias("key"), _marks(F.col(text), shingle).alias("marks"))
+    light = drawn.select("doc_id", "key", F.get("marks", F.lit(0)).alias("fp"), F.get("marks", F.lit(1)).alias("grams"), F.slice("marks", 3, minhash.BANDS).alias("bands"))
+    marked = written(light, "marks")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
+    reps = written(marked.groupBy("grams").agg(best, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "distinct")
+
+    # Proposals as buckets of sets: a fingerprint, and each band, is one. Links of fingerprints join the buckets' pivots.
+    prints = written(reps.groupBy("fp").agg(F.min("grams").alias("pivot"), F.count("*").alias("n")), "fingerprints")
+    near = links(prints.select("fp"), max_distance)
+    across = near.join(prints.select(F.col("fp").alias("a"), F.col("pivot").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("pivot").alias("y")), "b")
+    across = written(across.select("x", "y", F.xxhash64(F.lit("link"), "x", "y").alias("bucket")), "proposed")
+    own = reps.select("grams", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("print"), "fp")))).alias("bucket"))
+    pairs = across.select(F.explode(F.array("x", "y")).alias("grams"), "bucket")
+    members = own.unionByName(pairs)
+    shared = members.groupBy("bucket").agg(F.min("grams").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(hot_join(members, shared, "bucket", "n", members.count()), "buckets")
+    groups = components(buckets.where("grams <> pivot").select("pivot", "grams").distinct()).withColumnRenamed("node", "grams").withColumnRenamed("root", "home")
+    groups = written(groups.distinct(), "groups")
+
+    wanted = groups.join(reps, "grams").select("grams", F.col("best.doc_id").alias("want_id"), F.col("best.key").alias("want_key"))
+    wanted = few(written(wanted, "wanted"))
+    rows = docs.select(F.col(doc_id).alias("id"), key().alias("key"), F.col(text).alias("text"))
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key")))
+    sets = written(rows.select("grams", minhash.sets(F.col("text"), shingle).alias("set")).dropDuplicates(["grams"]), "shingle-sets")
+    near = written(minhash.similar(sets, groups, buckets.select("grams", "bucket"), similarity), "near")
+    return first_of_classes(docs, marked, reps, components(near), doc_id, text)
+
+
+def first_of_classes(docs: DataFrame, marked: DataFrame, reps: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that stay, given the class (node, root) of every linked set.
+
+    ``marked`` holds (doc_id, key, grams) of every row, key being the text's hash,
+    and ``reps`` (grams, best) the best row of each set.
     """
     key = lambda: F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    best = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    # How often a kept (id, text) occurs: rows that repeat are rare and handled apart.
-    times = marked.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
-    kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key"))
-    kept = kept.join(times, F.col("kept_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_key") == F.col("key"))).select("kept_id", "kept_key", "times")
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), key().alias("key"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
-    once = rows.where("times = 1").select("row")
-    again = rows.where("times > 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    rooted = reps.select("grams", "best").join(roots.withColumnRenamed("node", "grams"), "grams", "left").withColumn("root", F.coalesce("root", "grams"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.key").alias("kept_key"))
+    # Distinct (id, text) with their rows; those that stay once need nothing, all others are listed.
+    times = written(marked.groupBy("doc_id", "key").agg(F.count("*").alias("times")), "times")
+    told = times.join(best, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left")
+    told = written(told.select(F.col("doc_id").alias("_told_id"), F.col("key").alias("_told_key"), "times", F.col("kept_key").isNotNull().alias("kept")).where("not kept or times > 1"), "listed")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_id"), key().alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_told_id")) & (F.col("_key") == F.col("_told_key"))
+    once = rows.join(few(told), same, "left_anti").select("row")
+    again = rows.join(few(told.where("kept")), same).groupBy("_id", "_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return once.unionAll(again).select("row.*")
