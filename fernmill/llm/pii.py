@@ -1,12 +1,10 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Everything here is DataFrame expressions. The fixed patterns' matches are the
-seed entities. The one or two words before a seed make lexical patterns; a
-pattern's confidence is the score of the instances it introduces, divided by
-everything the corpus has after those words, and an instance's score follows
-from the confidence of its patterns. The two are scored in turns over the
-pattern-instance graph. Identifier-like runs that high-confidence patterns
-introduce are the unseen identifiers.
+seed entities. The one or two words before and behind a known entity make
+lexical patterns. Patterns and all that they introduce form a graph, in which
+both are scored in turns; what confident patterns introduce is found, found
+entities induce patterns of their own, and so on until nothing changes.
 
 Patterns with possessive loops and look-behinds match what the plain ones match;
 they only keep long runs from being tried again at every character.
@@ -19,8 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernmill.llm.quality import let, words_of
-from fernmill.llm.scratch import written
+from fernmill.llm.quality import let
+from fernmill.llm.scratch import few, written
 
 # The base patterns, in the order of kinds.
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -28,19 +26,21 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What contexts may discover: unbroken runs with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9._@/+-])[A-Za-z._@/+-]*+[0-9][A-Za-z0-9._@/+-]*+"
+#: Words as contexts and candidates see them, and what may stand around one.
+WORD = r"[0-9]++(?:[\x20-][0-9]++)++|[^\x20\x09-\x0D:=]*+[:=]++|[^\x20\x09-\x0D:=]++"
+OPENING, CLOSING = "([{<\"'“‘«", ".,;!?)]}>\"'”’»:="
 KINDS = ["email", "ip", "card", "phone", "found"]
 
-#: Distinct seed instances that a pattern must introduce.
+#: Distinct known instances that a pattern must introduce.
 MIN_SUPPORT = 5
+#: Share of a pattern's occurrences that must be known instances for all its instances to be counted.
+MIN_KNOWN = 0.2
+#: Share of its occurrences that a pattern introduces of an instance that counts in full; common words have less.
+LED = 0.2
 #: Confidence of a pattern that may discover, and score of a discovered instance, at least.
 MIN_CONFIDENCE = 0.6
-ROUNDS = 3
-#: Characters before a span in which its context words are looked for.
-REACH = 80
-#: Patterns that are counted by a set within the scan; more are counted by a join.
-MAX_INLINE = 2_000
+#: Turns of scoring the graph, and rounds of bootstrapping, past which learning fails.
+TURNS, MAX_ROUNDS = 3, 50
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -113,101 +113,154 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Runs of 6 or more characters with 4 or more digits that meet no base span."""
-    long_enough = lambda s: (F.length(s["value"]) >= 6) & (F.length(_digits(s["value"])) >= 4)
-    free = lambda s, b: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-    found = let(base, lambda b: F.filter(matches(text, CANDIDATE, "found"), lambda s: long_enough(s) & free(s, b)))
-    # A run that ends a sentence leaves its punctuation outside.
-    bare = lambda s: let(F.rtrim(s["value"], F.lit("._@/+-")), lambda v: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (s["start"] + F.length(v)).alias("end"), v.alias("value")))
-    return F.when(text.rlike("[0-9]"), F.transform(found, bare)).otherwise(F.array().cast(SPAN))
+def words(text: Column) -> Column:
+    """The words of a text in order, lower-cased; a word ends behind ``:`` and ``=``, and groups of digits with one space or dash between go together."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def contexts(text: Column, span: Column) -> Column:
-    """The patterns that introduce a span: the word before it, and the two words before it."""
-    start = span["start"]
-    lead = F.lower(F.substring(text, F.greatest(F.lit(1), start - REACH + 1), F.least(start, F.lit(REACH))))
-    # The first word of a cut window may be a part of one.
-    whole = lambda w: F.when(start > REACH, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w)
-    last = lambda w, k: F.array_join(F.slice(w, F.size(w) - k + 1, F.lit(k)), " ")
-    return let(
-        whole(words_of(lead)),
-        lambda w: F.when(F.size(w) >= 2, F.array(last(w, 1), last(w, 2))).when(F.size(w) == 1, F.array(last(w, 1))).otherwise(F.array().cast("array<string>")),
-    )
+def stream(text: Column) -> Column:
+    """The words of a text in order with its base spans among them, as (start, end, seed, word, value).
 
+    A seed's word is null, so that no context reaches over it; words that meet a
+    seed are left out. ``value`` is what may be an instance: a word without the
+    brackets, quotes and stops around it.
+    """
+    free = lambda w, b: ~F.exists(b, lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"]))
+    named = lambda start, value, seed, word: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), seed.alias("seed"), word.alias("word"), value.alias("value"))
+    bare = lambda w: let(F.ltrim(w["value"], F.lit(OPENING)), lambda v: named(w["start"] + F.length(w["value"]) - F.length(v), F.rtrim(v, F.lit(CLOSING)), F.lit(False), F.lower(w["value"])))
+    seeds = lambda b: F.transform(b, lambda x: named(x["start"], x["value"], F.lit(True), F.lit(None).cast("string")))
+    return let(base_spans(text), lambda b: F.sort_array(F.concat(seeds(b), F.transform(F.filter(matches(text, WORD, "word"), lambda w: free(w, b)), bare))))
 
-@dataclass
-class Patterns:
-    """Patterns that may discover, as a table (pattern, confidence); ``any`` is false if there is none."""
 
-    table: DataFrame | None
-    any: bool
+def _around(w: Column, i: Column) -> Column:
+    """The patterns of the place ``i`` (from 0) in an array of words: one or two words before it, one or two behind it."""
+    at = lambda k: F.get(w, i + k)
+    pair = lambda side, x, y: F.concat(F.lit(side), x, F.lit(" "), y)  # noqa: E731  null if a word is missing
+    return F.array(F.concat(F.lit("<"), at(-1)), pair("<", at(-2), at(-1)), F.concat(F.lit(">"), at(1)), pair(">", at(1), at(2)))
 
 
-def _occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """(pattern, instance, seed, n): what each context introduces, counted over all documents."""
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rows = rows.select("text", base_spans(F.col("text")).alias("base"))
-    rows = rows.select("text", F.concat("base", candidate_spans(F.col("text"), F.col("base"))).alias("spans")).where(F.size("spans") > 0)
-    rows = rows.select(F.explode(F.transform("spans", lambda s: F.struct((s["kind"] != "found").alias("seed"), F.lower(s["value"]).alias("instance"), contexts(F.col("text"), s).alias("patterns")))).alias("s"))
-    rows = rows.select("s.seed", "s.instance", F.explode("s.patterns").alias("pattern"))
-    return rows.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("n"))
+def _occurrences(docs: DataFrame, text: str, seeds: bool = False) -> DataFrame:
+    """(instance, seed, pattern) for every element of the documents' streams and every pattern around it; for seeds only if wanted."""
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    if seeds:  # any base span has one of these
+        rows = rows.where(F.col("text").rlike("[0-9@]")).where(F.size(base_spans(F.col("text"))) > 0)
+    rows = rows.select(stream(F.col("text")).alias("s"))
+    placed = let(F.transform("s", lambda x: x["word"]), lambda w: F.transform("s", lambda x, i: F.struct(F.lower(x["value"]).alias("instance"), x["seed"].alias("seed"), _around(w, i).alias("patterns"))))
+    placed = F.filter(placed, lambda x: x["seed"]) if seeds else F.filter(placed, lambda x: x["instance"] != "")
+    rows = rows.select(F.explode(placed).alias("s"))
+    return rows.select("s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
 
 
-def _frequencies(docs: DataFrame, text: str, patterns: DataFrame, inline: list[str] | None) -> DataFrame:
-    """(pattern, total): how often each pattern's words stand in the corpus, before anything."""
+def _totals(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often the corpus has something where each pattern points."""
+    rows = docs.select(words(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") > 1)
+    rows = rows.select(F.explode(F.flatten(F.transform("w", lambda _, i: _around(F.col("w"), i)))).alias("pattern"))
+    return rows.join(few(patterns.select("pattern")), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
 
-    def grams(w: Column) -> Column:
-        pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-        return F.concat(w, F.coalesce(pairs, F.array().cast("array<string>")))
 
-    every = let(words_of(F.lower(F.coalesce(F.col(text), F.lit("")))), grams)
-    if inline is not None:
-        every = F.filter(every, lambda g: g.isin(inline))
-    rows = docs.select(F.explode(every).alias("pattern"))
-    if inline is None:
-        rows = rows.join(patterns.select("pattern"), "pattern", "left_semi")
-    return rows.groupBy("pattern").agg(F.count("*").alias("total"))
+@dataclass
+class Patterns:
+    """What was learned: patterns (pattern, confidence), and instances (instance, score) to be found; ``any`` is false if there is none."""
+
+    patterns: DataFrame | None
+    instances: DataFrame | None
+    any: bool
 
 
-def learn(docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS, max_inline: int = MAX_INLINE) -> Patterns:
-    """Score the corpus's pattern-instance graph and keep the patterns that may discover.
+def _confidences(graph: DataFrame, shares: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pattern, confidence) and (instance, score) of the pattern-instance graph, scored in turns.
 
-    A seed instance has the score 1. In each round a pattern's confidence is the
-    summed score of its occurrences over all the corpus has after its words, and
-    another instance's score is 1 - prod(1 - confidence) over its patterns.
-    Patterns need ``min_support`` distinct seed instances, so copies of one text
-    prove nothing. Counts cover all documents.
+    A known instance (``seed``) has the score 1. A pattern's confidence is the mean score of the distinct
+    instances it introduces, where one that is not known counts by what
+    patterns of *other* families say of it, so no pattern vouches for itself. An
+    instance's score is 1 - prod(1 - confidence) over the best pattern of each
+    family around it, times its ``share``: less
+    than 1 if hardly any of its occurrences follow a pattern, as of a common word.
     """
-    edges = written(_occurrences(docs, text), "pii-edges")
-    support = edges.where("seed").groupBy("pattern").agg(F.countDistinct("instance").alias("support")).where(F.col("support") >= min_support)
-    support = written(support, "pii-support")
-    first = [r["pattern"] for r in support.select("pattern").orderBy("pattern").limit(max_inline + 1).collect()]
-    if not first:
-        return Patterns(None, False)
-    totals = written(_frequencies(docs, text, support, first if len(first) <= max_inline else None), "pii-totals")
-    graph = written(edges.join(totals, "pattern"), "pii-graph")
-    scores = graph.select("instance", "seed").where("seed").distinct().select("instance", F.lit(1.0).alias("score"))
-    confidence = None
-    for _ in range(rounds):
-        weighed = graph.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        # n counts a pattern's own introductions, so it never exceeds the corpus's total by more than spans inside words.
-        confidence = weighed.groupBy("pattern").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"))
+    if shares is None:
+        graph = graph.withColumn("share", F.lit(1.0))
+    else:
+        graph = graph.join(few(shares), "instance", "left").withColumn("share", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("share", F.lit(0.0))))
+    graph = written(graph.withColumn("family", _family(F.col("pattern"))), "pii-graph")
+    confidence = graph.groupBy("pattern").agg(F.avg(F.col("seed").cast("double")).alias("confidence"))
+    for _ in range(TURNS):
         confidence = written(confidence, "pii-confidence")
-        miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        scores = graph.where("not seed").join(confidence, "pattern").groupBy("instance").agg((1 - miss).alias("score"))
-        scores = written(scores, "pii-scores")
-    kept = written(confidence.where(F.col("confidence") >= min_confidence), "pii-patterns")
-    return Patterns(kept, not kept.isEmpty())
+        told = written(graph.join(few(confidence), "pattern").withColumn("miss", F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))), "pii-told")
+        families = written(told.where("not seed").groupBy("instance", "family").agg(F.min("miss").alias("said"), F.max("share").alias("share")), "pii-families")
+        scores = families.groupBy("instance").agg(F.sum("said").alias("all"), F.max("share").alias("share"))
+        weighed = told.drop("share").join(families, ["instance", "family"], "left").join(scores.select("instance", "all"), "instance", "left")
+        score = F.when(F.col("seed"), 1.0).otherwise((1 - F.exp(F.col("all") - F.col("said"))) * F.col("share"))
+        confidence = weighed.groupBy("pattern").agg(F.avg(score).alias("confidence"))
+    return written(confidence, "pii-confidence"), written(scores.select("instance", ((1 - F.exp("all")) * F.col("share")).alias("score")), "pii-scores")
+
+
+def _family(pattern: Column) -> Column:
+    """Side and nearest word of a pattern: patterns that agree in them see one place, and are one witness."""
+    side, rest = F.substring(pattern, 1, 1), F.substring(pattern, F.lit(2), F.length(pattern))
+    return F.concat(side, F.when(side == "<", F.substring_index(rest, " ", -1)).otherwise(F.substring_index(rest, " ", 1)))
+
+
+def learn(docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_known: float = MIN_KNOWN, led: float = LED, max_rounds: int = MAX_ROUNDS) -> Patterns:
+    """Bootstrap patterns and instances from the seeds until a round adds no pattern.
+
+    Each round takes the patterns around known instances (first the seeds, later
+    what was found) that at least ``min_support`` distinct ones induce and whose
+    occurrences are known instances by ``min_known`` or more, counts all that the
+    corpus has in their places, and scores the whole graph again
+    (:func:`_confidences`). What patterns of ``min_confidence`` introduce and
+    scores as much is found. All counts cover all documents; null texts have
+    none. Running past ``max_rounds`` raises, as results would depend on it.
+    """
+    induced = written(_occurrences(docs, text, seeds=True).where("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n")), "pii-induced")
+    measured, graph, found, confidence = None, None, None, None
+    for _ in range(max_rounds):
+        asked = induced.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n").alias("n")).where(F.col("support") >= min_support)
+        if measured is not None:
+            asked = asked.join(measured, "pattern", "left_anti")
+        asked = written(asked, "pii-asked")
+        if asked.isEmpty():
+            break
+        measured = asked.select("pattern") if measured is None else written(measured.unionAll(asked.select("pattern")), "pii-measured")
+        fit = asked.join(few(written(_totals(docs, text, asked), "pii-totals")), "pattern", "left")
+        fit = written(fit.where(F.col("n") >= min_known * F.coalesce("total", "n")).select("pattern"), "pii-fit")
+        if fit.isEmpty():
+            break
+        more = _occurrences(docs, text).join(few(fit), "pattern").groupBy("pattern", "instance", "seed").agg(F.count("*").alias("n"))
+        if found is not None:  # what was found is known from now on
+            more = written((graph.unionAll(more)).join(few(found.select("instance", F.lit(True).alias("known"))), "instance", "left"), "pii-more")
+            more = more.select("pattern", "instance", F.coalesce(F.col("known"), F.col("seed")).alias("seed"), "n")
+        graph = written(more, "pii-graph")
+        scored = _confidences(graph, None)
+        sure = graph.where("not seed").join(few(scored[0].where(F.col("confidence") >= min_confidence)), "pattern")
+        maybe = sure.groupBy("instance").agg(F.max("n").alias("led")).join(few(scored[1].where(F.col("score") >= min_confidence).select("instance")), "instance")
+        maybe = written(maybe, "pii-maybe")
+        if maybe.isEmpty():
+            break
+        seen = _occurrences(docs, text).where("not seed").select("instance", F.coalesce("pattern", F.lit("")).alias("pattern")).join(few(maybe.select("instance")), "instance")
+        seen = written(seen.groupBy("instance", "pattern").agg(F.count("*").alias("n")), "pii-seen")
+        # Each place gives four patterns, those that reach over an end an empty one.
+        often = seen.groupBy("instance").agg((F.sum("n") / 4).alias("total"))
+        shares = written(maybe.join(often, "instance").select("instance", F.least(F.lit(1.0), F.col("led") / (led * F.col("total"))).alias("share")), "pii-shares")
+        scored = _confidences(graph, shares)
+        confidence = scored[0]
+        fresh = scored[1].where(F.col("score") >= min_confidence)
+        found = written(fresh if found is None else found.unionAll(fresh), "pii-found")
+        fresh = seen.where("pattern <> ''").join(few(found.select("instance")), "instance").select("pattern", "instance", "n")
+        induced = written(induced.join(fresh.select("pattern", "instance"), ["pattern", "instance"], "left_anti").unionByName(fresh), "pii-induced")
+    else:
+        raise RuntimeError(f"patterns did not settle in {max_rounds} rounds")
+    if found is None:
+        return Patterns(None, None, False)
+    return Patterns(confidence.where(F.col("confidence") >= min_confidence), found, not found.isEmpty())
 
 
 def _discovered(docs: DataFrame, text: str, patterns: Patterns) -> DataFrame:
-    """(key, added): the spans that the patterns discover, once for each text that has some."""
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9]"))
-    rows = rows.select("text", candidate_spans(F.col("text"), base_spans(F.col("text"))).alias("spans")).where(F.size("spans") > 0)
-    rows = rows.select(text_key(F.col("text")).alias("key"), F.explode(F.transform("spans", lambda s: F.struct(s.alias("span"), contexts(F.col("text"), s).alias("patterns")))).alias("s"))
-    rows = rows.select("key", "s.span", F.explode("s.patterns").alias("pattern")).join(patterns.table.select("pattern"), "pattern")
-    return rows.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("added"))
+    """(key, added): the spans of found instances, once for each text that has some."""
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = rows.select(text_key(F.col("text")).alias("key"), F.explode(F.filter(stream(F.col("text")), lambda x: ~x["seed"])).alias("s"))
+    rows = rows.select("key", "s", F.lower("s.value").alias("instance")).join(few(patterns.instances.select("instance")), "instance")
+    span = F.struct(F.lit("found").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
+    return rows.groupBy("key").agg(F.array_sort(F.collect_set(span)).alias("added"))
 
 
 def text_key(text: Column) -> Column:
@@ -240,9 +293,10 @@ def find(docs: DataFrame, text: str = "text", patterns: Patterns | None = None)
     out = docs.withColumn("base", base_spans(body))
     if not patterns.any:
         return out.withColumn("spans", F.col("base"))
+    # Texts that repeat make hot keys; a list of spans that is too long to broadcast leaves these to adaptive skew joins.
     key = "_fernmill_text_key"
     added = _discovered(docs, text, patterns).withColumnRenamed("key", key).withColumnRenamed("added", "_fernmill_added")
-    out = out.withColumn(key, text_key(body)).join(added, key, "left")
+    out = out.withColumn(key, text_key(body)).join(few(written(added, "pii-added")), key, "left")
     return out.withColumn("spans", by_kind(F.concat("base", F.coalesce("_fernmill_added", F.array().cast(SPAN))))).drop(key, "_fernmill_added")
 
 

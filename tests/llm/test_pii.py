@@ -61,16 +61,54 @@ def corpus(spark):
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
 
 
+def found_in(docs, learned=None):
+    return sorted((r.doc_id, s.value) for r in P.find(docs, patterns=learned).collect() for s in r.spans if s.kind == "found")
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     docs = corpus(spark)
     learned = P.learn(docs)
-    kept = {r.pattern: r.confidence for r in learned.table.collect()}
-    assert "reach me:" in kept and "the" not in kept and "of" not in kept and all(c >= P.MIN_CONFIDENCE for c in kept.values())
-    found = [(r.doc_id, s.value) for r in P.find(docs, patterns=learned).collect() for s in r.spans if s.kind == "found"]
-    assert found == [(12, "tel/555-0199x42")]
-    # Counted by a join when there are many patterns: the same.
-    again = P.learn(docs, max_inline=1)
-    assert {r.pattern: round(r.confidence, 9) for r in again.table.collect()} == {k: round(v, 9) for k, v in kept.items()}
+    kept = {r.pattern: r.confidence for r in learned.patterns.collect()}
+    assert "<reach me:" in kept and "<the" not in kept and "<of" not in kept and all(c >= P.MIN_CONFIDENCE for c in kept.values())
+    assert found_in(docs, learned) == [(12, "tel/555-0199x42")]
+
+
+def test_found_instances_induce_patterns(spark):
+    """Planted identifiers of four forms, most of them beyond the seeds' own contexts; recall and precision are measured."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("aeioubcdrstlmn", k=rng.randint(2, 7)))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    handles = [f"{word()}_{word()}" for _ in range(40)]
+    plates = [f"{word().upper()}-{word().upper()}" for _ in range(30)]
+    ssns = [f"{rng.randint(100, 999)} {rng.randint(10, 99)} {rng.randint(1000, 9999)}" for _ in range(14)]
+    rows, planted = [], set()
+
+    def add(text, *values):
+        planted.update((len(rows), v) for v in values)
+        rows.append(text)
+
+    for i in range(40):
+        add(f"{fill(9)} contact tel:+1 555 {rng.randint(1000000, 9999999)} is what I use {fill(5)}")
+        add(f"{fill(8)} {word()}{i}@{word()}.example is what I use {fill(6)}")
+    for i, h in enumerate(handles):
+        if i < 32:  # in a seed's right context, then in one of their own
+            add(f"{fill(7)} {h} is what I use {fill(4)}", h)
+        add(f"{fill(5)} posted by user {h}, {fill(6)}", h)  # induced by the first 32 handles
+    for i, p in enumerate(plates):
+        if i < 20:
+            add(f"{fill(6)} contact tel:{p} {fill(6)}", p)
+        add(f"{fill(6)} licence plate no. {p}; {fill(3)}", p)
+    for i, s in enumerate(ssns):
+        if i < 10:
+            add(f"{fill(6)} posted by user {s}. {fill(6)}", s)  # the third step
+        add(f"{fill(4)} ssn = {s} {fill(6)}", s)
+    clean = [f"{fill(12)} by choice the contact is {rng.randint(1, 10**9)} of use {fill(12)}" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows + clean)), "doc_id long, text string")
+    got = set(found_in(docs))
+    assert len(planted) == 146 and len(got & planted) >= 0.9 * len(planted)
+    assert len(got - planted) <= 0.02 * len(planted)
 
 
 def test_copies_prove_nothing(spark):
