@@ -26,7 +26,8 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words as contexts and candidates see them, and what may stand around one.
+#: Words as contexts and candidates see them: one ends behind ``:`` and ``=``, and groups of digits with a
+#: space or dash between go together. And what may stand around one.
 WORD = r"[0-9]++(?:[\x20-][0-9]++)++|[^\x20\x09-\x0D:=]*+[:=]++|[^\x20\x09-\x0D:=]++"
 OPENING, CLOSING = "([{<\"'“‘«", ".,;!?)]}>\"'”’»:="
 KINDS = ["email", "ip", "card", "phone", "found"]
@@ -113,23 +114,19 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def words(text: Column) -> Column:
-    """The words of a text in order, lower-cased; a word ends behind ``:`` and ``=``, and groups of digits with one space or dash between go together."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
-
-
-def stream(text: Column) -> Column:
+def stream(text: Column, seeded: bool = False) -> Column:
     """The words of a text in order with its base spans among them, as (start, end, seed, word, value).
 
     A seed's word is null, so that no context reaches over it; words that meet a
     seed are left out. ``value`` is what may be an instance: a word without the
-    brackets, quotes and stops around it.
+    brackets, quotes and stops around it. A text without seeds has no stream if ``seeded``.
     """
     free = lambda w, b: ~F.exists(b, lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"]))
     named = lambda start, value, seed, word: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), seed.alias("seed"), word.alias("word"), value.alias("value"))
     bare = lambda w: let(F.ltrim(w["value"], F.lit(OPENING)), lambda v: named(w["start"] + F.length(w["value"]) - F.length(v), F.rtrim(v, F.lit(CLOSING)), F.lit(False), F.lower(w["value"])))
     seeds = lambda b: F.transform(b, lambda x: named(x["start"], x["value"], F.lit(True), F.lit(None).cast("string")))
-    return let(base_spans(text), lambda b: F.sort_array(F.concat(seeds(b), F.transform(F.filter(matches(text, WORD, "word"), lambda w: free(w, b)), bare))))
+    every = lambda b: F.sort_array(F.concat(seeds(b), F.transform(F.filter(matches(text, WORD, "word"), lambda w: free(w, b)), bare)))
+    return let(base_spans(text), lambda b: F.when(F.size(b) > 0, every(b)) if seeded else every(b))
 
 
 def _around(w: Column, i: Column) -> Column:
@@ -143,19 +140,25 @@ def _occurrences(docs: DataFrame, text: str, seeds: bool = False) -> DataFrame:
     """(instance, seed, pattern) for every element of the documents' streams and every pattern around it; for seeds only if wanted."""
     rows = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
     if seeds:  # any base span has one of these
-        rows = rows.where(F.col("text").rlike("[0-9@]")).where(F.size(base_spans(F.col("text"))) > 0)
-    rows = rows.select(stream(F.col("text")).alias("s"))
-    placed = let(F.transform("s", lambda x: x["word"]), lambda w: F.transform("s", lambda x, i: F.struct(F.lower(x["value"]).alias("instance"), x["seed"].alias("seed"), _around(w, i).alias("patterns"))))
-    placed = F.filter(placed, lambda x: x["seed"]) if seeds else F.filter(placed, lambda x: x["instance"] != "")
-    rows = rows.select(F.explode(placed).alias("s"))
+        rows = rows.where(F.col("text").rlike("[0-9@]"))
+    place = lambda x, w, i: F.struct(F.lower(x["value"]).alias("instance"), x["seed"].alias("seed"), _around(w, i).alias("patterns"))
+    wanted = (lambda x: x["seed"]) if seeds else (lambda x: x["value"] != "")
+    placed = lambda s: let(F.transform(s, lambda x: x["word"]), lambda w: F.filter(F.transform(s, lambda x, i: F.when(wanted(x), place(x, w, i))), lambda x: x.isNotNull()))
+    rows = rows.select(F.explode(let(stream(F.col("text"), seeds), placed)).alias("s"))
     return rows.select("s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
 
 
 def _totals(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often the corpus has something where each pattern points."""
-    rows = docs.select(words(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") > 1)
-    rows = rows.select(F.explode(F.flatten(F.transform("w", lambda _, i: _around(F.col("w"), i)))).alias("pattern"))
-    return rows.join(few(patterns.select("pattern")), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    """(pattern, total): how often the words of each pattern stand in the corpus."""
+    rest = F.substring("pattern", F.lit(2), F.length("pattern"))
+    named = written(patterns.select("pattern", rest.alias("words"), F.regexp_extract("pattern", r"^.([0-9]++(?:[\x20-][0-9]++)++|[^ ]*)", 1).alias("first")), "pii-named")
+    body = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    # Each word with the next; only those that open some pattern go on.
+    pairs = docs.select(body.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("w"), F.slice("w", F.lit(2), F.size("w")).alias("v"))).alias("p"))
+    pairs = pairs.select(F.col("p.w").alias("first"), F.col("p.v").alias("next")).join(few(named.select("first").distinct()), "first")
+    seen = pairs.select(F.explode(F.array(F.col("first"), F.concat("first", F.lit(" "), "next"))).alias("words")).join(few(named.select("words").distinct()), "words")
+    counted = written(seen.groupBy("words").agg(F.count("*").alias("total")), "pii-counted")
+    return named.join(few(counted), "words").select("pattern", "total")
 
 
 @dataclass
