@@ -59,7 +59,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: fixed patterns and the network's findings."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.joined(F.col("spans")).alias("spans"), "n_network")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.joined(F.col("spans")).alias("spans"), "n_network", F.array_join(F.transform("spans", lambda x: F.format_string("%.4f", x["score"])), ",").alias("scores"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,57 @@ def test_long_candidates_are_read_whole():
     net = S.train()
     spans = [S._encode("x" * 5000 + "1", 0, 5001), S._encode("short1short1short1", 0, 18)]
     assert net.probability(spans).shape == (2,) and net.probability([]).shape == (0,)
+
+
+def other_findings(n, seed):
+    """Findings by another generator than the network's: other words, forms and surroundings."""
+    import random
+
+    rng = random.Random(seed)
+    names = "river stone cloud maple orange silver winter garden rocket planet mirror castle bridge forest coffee dragon falcon harbor island jungle".split()
+    alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    digits = "0123456789"
+    out = []
+    for i in range(n):
+        w = lambda: rng.choice(names)
+        if i % 2:
+            lead, value, tail = rng.choice([
+                lambda: ("my password is ", w() + some(digits, 2) + w(), " and it works"), lambda: ("the pin: ", some(alpha + digits + "!#$%", 11) + "7", " for the door"), lambda: (f"postgres://{w()}:", w() + some(digits, 3) + "!" + w()[:3], f"@db.{w()}.net/main"),
+                lambda: ("set the deploy key to ", "ghp_" + some(alpha + digits, 36), " in settings"), lambda: ("Authorization: Bearer ", some(alpha + digits, 20) + "." + some(alpha + digits + "-_", 40) + "." + some(alpha + digits, 27), "\nHost: x"),
+                lambda: ("AccountName;AccountKey=", some(alpha + digits + "+/", 43) + "=", ";Endpoint"), lambda: ("slack hook uses ", "xoxb-" + some(digits, 12) + "-" + some(alpha + digits, 24), "."), lambda: ("aws said ", some(alpha + digits + "+/", 40), " keep it"),
+            ])()
+        else:
+            lead, value, tail = rng.choice([
+                lambda: ("we went to ", f"{w()}-{w()}-{w()}", " last year"), lambda: ("import ", f"{w()}_{w()}_{rng.randint(1, 9)}", " first"), lambda: ("see https:", f"//{w()}.org/{w()}/{w()}-{w()}.html", " for more"), lambda: ("a new password ", w(), " is asked for"),
+                lambda: ("the token ", w() + "s", " are counted"), lambda: ("order ", some(digits, 9), " was sent"), lambda: ("class ", w().capitalize() + w().capitalize(), " extends that"), lambda: ("the ", f"{w()}/{w()}/{w()}.txt", " file"),
+                lambda: ("on ", f"20{some(digits, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", " it rained"), lambda: ("release ", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}-{w()}", " is out"), lambda: ("write to ", f"{w()}.{rng.randint(1, 99)}", f"@{w()}.com"),
+            ])()
+        head = " ".join(w() for _ in range(3)) + " " + lead
+        out.append((head + value + tail, len(head), len(head) + len(value), i % 2))
+    return out
+
+
+def test_recall_on_findings_of_another_generator():
+    net = S.train()
+    found = other_findings(2000, 99)
+    hit = [any(s < end and start < e for s, _, e in sum(S.find(t, net), [])) for t, start, end, _ in found]
+    y = np.array([x[3] for x in found])
+    assert np.array(hit)[y == 1].mean() >= 0.9
+    assert np.array(hit)[y == 0].mean() <= 0.05
+
+
+def test_what_rules_on_digits_and_length_miss():
+    net = S.train()
+    found = lambda t: [t[s:e] for s, _, e in sum(S.find(t, net), [])]
+    assert found("my password is hunter2supersecret ok") == ["hunter2supersecret"]
+    assert found("export DB_PASS hUnTeRsEcReTpAsSwOrDabc") == ["hUnTeRsEcReTpAsSwOrDabc"]
+    assert found("pin: Zx9!kQ2#vT") == ["Zx9!kQ2#vT"]
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    assert found(f"Bearer {jwt}, ok") == [jwt]
+    assert found("your password should be changed now") == []
+
+
+def test_base_spans_are_scored_too():
+    row = S.found(["x secret=s3cr3tvalue9 y"], S.train())[0]
+    assert [x[1] for x in row] == ["assign"] and 0 < row[0][3] < 1
