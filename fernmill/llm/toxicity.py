@@ -3,8 +3,9 @@
 Text and lexicon are folded alike: case, compatibility forms, homoglyphs of
 other scripts, stacked marks, invisible characters and digit substitutions.
 Accents stay, as they tell words apart. An entry is a word, or a stem written
-``stem*`` that matches where a word begins. A match counts if it is whole and not
-part of an exception phrase. The lexicon's weights and the calibration are
+``stem*`` that matches where a word begins; where several match, the longest
+counts, a whole word before a stem. A match counts if it is whole and not part
+of an exception phrase. The lexicon's weights and the calibration are
 learned from a bounded sample of labelled rows.
 """
 
@@ -43,10 +44,10 @@ EXCEPTIONS = [
 
 #: Labelled rows that the lexicon and the calibration are fitted on, at most.
 TRAIN_ROWS = 20_000
-#: Entries of a learned lexicon, at most.
-LEXICON_SIZE = 512
+#: Letters of the longest stems; words are entries whatever their length.
+STEM = 32
 #: An entry's log odds, and the likelihood ratio (G squared) of its counts, at least.
-MIN_GAIN, MIN_G2 = 2.0, 30.0
+MIN_GAIN, MIN_G2 = 2.0, 20.0
 THRESHOLD = 0.7
 SEED = 7
 
@@ -79,29 +80,38 @@ class Model:
 
     def automaton(self) -> ahocorasick.Automaton:
         built = ahocorasick.Automaton()
+        known: dict[str, list[float | None]] = {}  # weights as a word and as a stem
         for entry, weight in self.lexicon.items():
             word = entry.removesuffix("*")
-            built.add_word(word, (len(word), weight, entry != word))
+            known.setdefault(word, [None, None])[entry != word] = weight
+        for word, weights in known.items():
+            built.add_word(word, (len(word), *weights, False))
         for phrase in self.exceptions:
             folded = fold(phrase)
-            if folded not in self.lexicon:
-                built.add_word(folded, (len(folded), None, False))
+            if folded not in known:
+                built.add_word(folded, (len(folded), None, None, True))
         if len(built):
             built.make_automaton()
         return built
 
 
 def hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the lexicon's matches outside exception phrases."""
+    """(start, end, weight) of the lexicon's longest match at each word, outside exception phrases."""
     if not len(automaton):
         return []
-    spans, shields = [], []
-    for last, (size, weight, stem) in automaton.iter(folded):
+    best, shields = {}, []
+    for last, (size, whole, stem, shield) in automaton.iter(folded):
         start, end = last - size + 1, last + 1
-        if (start and folded[start - 1].isalpha()) or (not stem and end < len(folded) and folded[end].isalpha()):
+        if start and folded[start - 1].isalpha():
             continue
-        (shields if weight is None else spans).append((start, end, weight))
-    return [s for s in spans if not any(a <= s[0] and s[1] <= b for a, b, _ in shields)] if shields else spans
+        ended = end == len(folded) or not folded[end].isalpha()
+        if shield and ended:
+            shields.append((start, end))
+        weight = whole if ended and whole is not None else stem
+        if weight is not None:  # matches of one start come by length
+            best[start] = (start, end, weight)
+    spans = sorted(best.values())
+    return [s for s in spans if not any(a <= s[0] and s[1] <= b for a, b in shields)] if shields else spans
 
 
 def features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float, float, float]:
@@ -123,7 +133,7 @@ def score_features(x: np.ndarray, coef: list[float]) -> np.ndarray:
     return _sigmoid(coef[0] + x @ np.array(coef[1:]))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     """Logistic regression by Newton steps; weak ridge, so that it settles on any input."""
     a = np.c_[np.ones(len(x)), x]
     w, penalty = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
@@ -139,8 +149,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
 
 def _entries(text: str | None) -> set[str]:
     """The words of a text, and the stems they begin with."""
-    own = {w for w in words(fold(text or "")) if len(w) >= 3}
-    return own | {w[:k] + "*" for w in own for k in range(3, min(len(w), 9))}
+    own = {w for w in words(fold(text or "")) if len(w) >= 2}
+    return own | {w[:k] + "*" for w in own for k in range(2, min(len(w), STEM) + 1)}
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,30 +163,21 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *numbers], names=["token", "t", "c"])
 
 
-def _prune(ranked: list[tuple[str, float]]) -> dict[str, float]:
-    """Of entries where one begins with the other, the better ranked."""
-    kept: dict[str, float] = {}
-    for entry, weight in ranked:
-        stem = entry.removesuffix("*")
-        if not any(stem.startswith(x.removesuffix("*")) or x.startswith(stem) for x in kept):
-            kept[entry] = round(weight, 4)
-    return kept
-
-
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = TRAIN_ROWS, lexicon_size: int = LEXICON_SIZE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = TRAIN_ROWS) -> Model:
     """Fit lexicon and calibration on at most ``max_rows`` labelled rows, chosen by a seeded hash.
 
     ``labels`` (doc_id, toxic 0/1) should leave out what is to be held out. Rows
     with a null id or label are not used; an id labelled twice counts as its
-    largest label. Words and stems are weighed by how much more often toxic rows
-    have them, and kept while the likelihood ratio is significant. Without
+    largest label, and one of several documents with its text of the smallest hash. Words and stems are weighed by how much more often toxic rows
+    have them, and kept while the likelihood ratio is significant, all of them: the
+    lexicon grows with the sample only. Null texts count as empty. Without
     labelled rows the lexicon is empty and every score equally low.
     """
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).dropna()
-    sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", F.desc("toxic")).limit(max_rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # The sample has at most max_rows rows of 12 bytes, so it can be broadcast.
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = written(rows, "toxic-train")
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).dropna()
+    sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows)
+    # The sample has at most max_rows rows of an id and a label, so it can be broadcast.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-train")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad:
@@ -187,9 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     excess = F.col("t") * F.log(F.col("t") / (share * (F.col("t") + F.col("c"))))
     excess += F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((1 - share) * (F.col("t") + F.col("c"))))).otherwise(0.0)
     best = counts.where("t >= 3").select("token", gain.alias("gain"), (2 * excess).alias("g2")).where((F.col("gain") > MIN_GAIN) & (F.col("g2") > MIN_G2))
-    best = best.orderBy(F.desc(F.round("g2", 6)), F.desc(F.length(F.rtrim("token", F.lit("*")))), F.length("token"), "token").limit(8 * lexicon_size)
-    ranked = _prune([(r["token"], r["gain"]) for r in best.collect()])
-    model = Model(dict(list(ranked.items())[:lexicon_size]))
+    # Bounded by the sample's significant words and stems.
+    model = Model({r["token"]: round(r["gain"], 4) for r in best.orderBy("token").collect()})
     fitted = rows.mapInArrow(_feature_rows(model), "f1 double, f2 double, f3 double, toxic int").toPandas()  # max_rows rows at most
     model.coef = _calibrate(fitted[["f1", "f2", "f3"]].to_numpy(), (fitted["toxic"] == 1).to_numpy().astype(float))
     return model
@@ -206,7 +206,7 @@ def _feature_rows(model: Model):
 
 
 def score(text: Column, model: Model) -> Column:
-    """Probability that a text is toxic; null texts score as empty ones."""
+    """Probability that a text is toxic; null and empty texts, and those without an entry, score alike and low. Texts that repeat score the same."""
 
     @F.pandas_udf("double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
