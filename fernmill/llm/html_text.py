@@ -1,17 +1,21 @@
 """Main text of web pages from parser events, by smoothed text-to-tag ratios.
 
-The standard library's parser turns a page into blocks of text, each with the
-tags and links it holds and the element it stands in. Blocks inside elements
-that name themselves as something else than the article (navigation, forms,
-notices, comments and the like) are set aside. Over the others, the ratio of
-text to tags is smoothed by a Gaussian and clustered against a threshold; the
-element that holds the clusters is the content region, and all its blocks that
-were not set aside are the text.
+The standard library's parser is fed piece by piece and turns a page into blocks
+of text, each with the tags and links it holds and the element it stands in.
+The ratio of text to tags of each block is smoothed by a Gaussian, less across
+the bounds of elements, and clustered against a threshold. The least element
+around the clustered blocks is the content region; its blocks are the text, and
+where it is the page's body, only those of parts with a cluster and what
+stands between them. Elements whose tag says that they are a menu, form or
+footer, and containers that name themselves as adverts, comments and the like,
+form no cluster and are left out of the region; an article or main element
+around the region is kept whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,27 +27,29 @@ from pyspark.sql import functions as F
 # Elements by their part in the layout.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head title script style noscript template svg math iframe object canvas audio video map select textarea datalist".split())
-ASIDE = set("nav aside footer form button menu dialog search fieldset label output".split())
+UNSEEN = set("head title script style noscript template svg iframe object canvas audio video map select textarea datalist".split())
+ASIDE = set("nav aside footer form button menu dialog search fieldset".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROOTS = set("html body main article".split())
 #: Elements whose end is implied by a sibling's start, with what bounds the search for one.
 IMPLIED = {"p": BLOCK - {"p"}, "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select", "datalist"}}
 CLOSES = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
-# Words in class, id or role that say what an element is.
+# Containers, and words in their class, id or role that say what they are.
+CONTAINERS = set("div section aside nav ul ol dl table header footer form figure details blockquote span".split())
 NOT_ARTICLE = set(
-    "nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs masthead topbar toolbar header footer foot colophon sidebar sidenav aside rail widget widgets related recommended recommendations trending popular "
-    "notice notices cookie cookies consent gdpr ccpa banner alert popup modal overlay lightbox toast interstitial ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored sponsors promo promotion promoted "
-    "comment comments commentlist reply replies respond disqus discussion share sharing social follow newsletter subscribe subscription signup signin login register search searchbox form copyright legal skip pagination pager paginator "
-    "contentinfo complementary dialog hidden".split()
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar toolbar header footer colophon sidebar sidenav aside widget widgets recommended recommendations "
+    "notice notices cookie cookies consent gdpr banner popup modal overlay lightbox toast interstitial ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsored sponsors promo promoted "
+    "comment comments commentlist replies respond disqus share sharing newsletter subscribe subscription signup signin login searchbox pagination pager contentinfo complementary dialog".split()
 )
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _UNDONE = {"no", "has", "with", "without"}
 
-#: Width of the Gaussian in blocks, and the threshold as a share of the ratios' deviation.
-SIGMA, CUT = 1.0, 0.5
-#: Share of the clustered text that the content region must hold.
-HELD = 0.85
+#: Width of the Gaussian in blocks, what a bound of elements leaves of it, and the threshold as a share of the ratios' deviation.
+SIGMA, ACROSS, CUT = 1.0, 0.1, 0.5
+#: Share of the main container's text, or of its mean smoothed ratio, that others need for their clusters to count.
+MASS, LIKE = 0.15, 0.4
+#: Characters fed to the parser at a time.
+PIECE = 1 << 16
 
 
 def _set_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -56,7 +62,7 @@ def _set_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             continue
         if name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and tag in CONTAINERS:
             for part in value.split():
                 own = [w.lower() for w in _SPLIT.split(part)]
                 if not NOT_ARTICLE.isdisjoint(own) and _UNDONE.isdisjoint(own):
@@ -71,8 +77,9 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parents = [-1]
         self.tags = ["#"]
-        # (tag, element, unseen, set aside, header without article)
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("#", 0, False, False, False)]
+        # (tag, element, unseen, set aside, header without article, within an article)
+        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = [("#", 0, False, False, False, False)]
+        self.open: Counter[str] = Counter()
         self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.inline = self.linked = self.anchors = 0
@@ -81,7 +88,7 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, element, _, aside, header = self.stack[-1]
+                _, element, _, aside, header, _ = self.stack[-1]
                 self.blocks.append((text, self.inline, min(self.linked, len(text)), element, aside or header))
             self.parts = []
         self.inline = self.linked = 0
@@ -110,19 +117,21 @@ class _Blocks(HTMLParser):
         self._push(tag, attrs)
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        _, parent, unseen, aside, header = self.stack[-1]
+        _, parent, unseen, aside, header, article = self.stack[-1]
         self.parents.append(parent)
         self.tags.append(tag)
-        if tag in HEADINGS and header and self._in_article():
+        self.open[tag] += 1
+        if tag in HEADINGS and header and article:
             header = False  # an article's own header holds its title
-        self.stack.append((tag, len(self.tags) - 1, unseen or tag in UNSEEN, aside or tag in ASIDE or _set_aside(tag, attrs) and tag not in ("header", *HEADINGS), header or tag == "header"))
-
-    def _in_article(self) -> bool:
-        return any(x[0] == "article" for x in self.stack)
+        aside = aside or tag in ASIDE or tag not in ("header", *HEADINGS) and _set_aside(tag, attrs)
+        self.stack.append((tag, len(self.tags) - 1, unseen or tag in UNSEEN, aside, header or tag == "header", article or tag == "article"))
 
     def _close(self, tags: set[str], bound: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] in tags:
+                self.open.subtract(x[0] for x in self.stack[at:])
                 del self.stack[at:]
                 return
             if self.stack[at][0] in bound:
@@ -136,6 +145,7 @@ class _Blocks(HTMLParser):
             if self.stack[-1][0] == tag:
                 self.flush()
                 self.stack.pop()
+                self.open[tag] -= 1
             return
         self.flush()
         self.anchors = 0
@@ -150,36 +160,69 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def _smooth(ratio: np.ndarray) -> np.ndarray:
-    reach = np.arange(-2, 3)
-    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
-    kernel /= kernel.sum()
-    padded = np.pad(ratio, 2, mode="edge")
-    return np.convolve(padded, kernel, mode="valid")
+def _smooth(ratio: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """Ratios smoothed by a Gaussian; neighbours count for less where they stand in another container."""
+    total, weight = ratio.copy(), np.ones(len(ratio))
+    for reach in (1, 2):
+        part = np.exp(-(reach**2) / (2 * SIGMA**2)) * np.where(homes[reach:] == homes[:-reach], 1.0, ACROSS)
+        total[reach:] += part * ratio[:-reach]
+        total[:-reach] += part * ratio[reach:]
+        weight[reach:] += part
+        weight[:-reach] += part
+    return total / weight
 
 
-def _region(blocks: list[tuple[str, int, int, int, bool]], seeds: np.ndarray, parents: list[int], tags: list[str]) -> int:
-    """The deepest element that holds most of the clustered text, or the article around it."""
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, _, element, _), seed in zip(blocks, seeds, strict=True):
-        if not seed:
-            continue
-        total += len(text)
-        at = parents[element] if tags[element] not in ROOTS and tags[element] != "div" else element
-        while at >= 0:
-            weight[at] = weight.get(at, 0) + len(text)
-            at = parents[at]
-    # Elements are numbered as they open, so of those that hold enough the last is the deepest.
-    best = max((x for x, w in weight.items() if w >= HELD * total), default=0)
+def _clusters(ratio: np.ndarray, homes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which blocks are clustered: those above the threshold in containers like the one that holds most of them.
+
+    A container of little text counts if its ratio is like that of the main one.
+    """
+    smooth = _smooth(ratio, homes)
+    seeds = smooth >= CUT * ratio.std()
+    if not seeds.any():
+        return np.ones(len(ratio), bool)
+    known, own = np.unique(homes[seeds], return_inverse=True)
+    mass = np.bincount(own, sizes[seeds])
+    mean = np.bincount(own, (smooth * sizes)[seeds]) / mass
+    main = mass.argmax()
+    alike = (mass >= MASS * mass[main]) | (mean >= LIKE * mean[main])
+    return seeds & np.isin(homes, known[alike])
+
+
+def _home(element: int, parents: list[int], tags: list[str]) -> int:
+    """The container that a block's element stands in."""
+    return element if tags[element] in ROOTS or tags[element] in ("#", "div", "section") else parents[element]
+
+
+def _region(homes: list[int], parents: list[int], tags: list[str]) -> int:
+    """The least element around all given ones, or the article or main element around that."""
+    paths = []
+    for home in set(homes):
+        path = [home]
+        while parents[path[-1]] >= 0:
+            path.append(parents[path[-1]])
+        paths.append(path[::-1])
+    best = 0
+    for step in zip(*paths):
+        if len(set(step)) > 1:
+            break
+        best = step[0]
     at, outer = best, -1
     while at >= 0:
-        if tags[at] == "article":
+        if tags[at] in ("article", "main") and tags[outer] != "article":
             outer = at
         at = parents[at]
     return outer if outer >= 0 else best
 
 
+def _branch(element: int, region: int, parents: list[int]) -> int:
+    """The region's child that an element stands in, the region itself if none, -1 outside of it."""
+    last = region
+    while element >= 0 and element != region:
+        last, element = element, parents[element]
+    return last if element == region else -1
+
+
 def _complete(html: str) -> str:
     """A page without a comment or tag that its end cuts off."""
     opened = html.rfind("<!--")
@@ -198,33 +241,37 @@ def main_text(html: str | None) -> str:
     space, and nothing else is dropped or cut. Null or empty pages, and pages
     without content, give an empty string. Broken markup is read as far as it goes.
     """
-    parser = _Blocks()
-    parser.feed(_complete(html or ""))
+    parser, html = _Blocks(), _complete(html or "")
+    for at in range(0, len(html), PIECE):
+        parser.feed(html[at : at + PIECE])
     parser.close()
     parser.flush()
+    parents, tags = parser.parents, parser.tags
     blocks = [b for b in parser.blocks if not b[4]]
     if not blocks:
         return ""
-    ratio = np.array([(len(text) - linked) / (1 + tags) for text, tags, linked, _, _ in blocks])
-    smooth = _smooth(ratio)
-    seeds = smooth >= CUT * ratio.std()
-    if not seeds.any():
-        seeds[:] = True
-    region = _region(blocks, seeds, parser.parents, parser.tags)
-    inside, known = [], {region: True, -1: False}
-    for _, _, _, element, _ in blocks:
-        path, at = [], element
-        while at not in known:
-            path.append(at)
-            at = parser.parents[at]
-        known.update(dict.fromkeys(path, known[at]))
-        inside.append(known[element])
-    own = np.flatnonzero(inside)
-    if parser.tags[region] not in ("article", "main") and len(own):
-        # Without an article element, what lies around the clusters and is mostly links goes.
-        first, last = (np.flatnonzero(seeds & np.array(inside)).take([0, -1])) if (seeds & np.array(inside)).any() else (own[0], own[-1])
+    ratio = np.array([(len(text) - linked) / (1 + inner) for text, inner, linked, _, _ in blocks])
+    homes = [_home(b[3], parents, tags) for b in blocks]
+    seeds = _clusters(ratio, np.array(homes), np.array([len(b[0]) for b in blocks]))
+    region = _region([h for h, seed in zip(homes, seeds.tolist(), strict=True) if seed], parents, tags)
+    memo: dict[int, int] = {}
+    for h in homes:
+        if h not in memo:
+            memo[h] = _branch(h, region, parents)
+    branch = np.array([memo[h] for h in homes])
+    own = np.flatnonzero(branch >= 0)
+    if tags[region] not in ("article", "main"):
+        # Parts of the body without a cluster go, unless they stand between clusters and are no links.
+        held = set(branch[seeds].tolist())
+        first, last = np.flatnonzero(seeds)[[0, -1]]
         linked = np.array([2 * b[2] > len(b[0]) for b in blocks])
-        own = own[((own >= first) & (own <= last)) | ~linked[own]]
+        # A heading right before the first cluster is its title.
+        while first and not linked[first - 1] and branch[first - 1] >= 0 and tags[blocks[first - 1][3]] in HEADINGS:
+            first -= 1
+        between = (np.arange(len(blocks)) >= first) & (np.arange(len(blocks)) <= last)
+        own = own[np.array([(branch[i] in held and not (linked[i] and not between[i])) or (between[i] and not linked[i]) for i in own], bool)]
+        if tags[region] in ("#", "html", "body"):  # what stands in the body itself is a part of its own
+            own = own[np.array([branch[i] != region or between[i] or seeds[i] for i in own], bool)]
     return "\n".join(blocks[i][0] for i in own)
 
 

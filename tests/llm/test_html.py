@@ -2,7 +2,9 @@
 
 import html
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,48 @@ def test_column_on_edge_rows(spark, edges, nothing):
     rows = edges.select(H.extract(F.col("text")).alias("t")).collect()
     assert len(rows) == edges.count() and all(r.t is not None for r in rows)
     assert nothing.select(H.extract(F.col("text"))).count() == 0
+
+
+def renamed(page):
+    """A page whose layout tags are all divs and whose classes say nothing."""
+    page = re.sub(r"<(/?)(nav|article|footer|header|main|aside|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r' class="[^"]*"', ' class="x1"', page)
+
+
+def test_pages_without_telling_tags_or_classes(spark):
+    """The ratio alone finds the article: given pages with every layout tag and class renamed."""
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    whole = missed = extra = 0
+    for page in rows:
+        want, got = (Counter(H.main_text(x).split("\n")) for x in (page, renamed(page)))
+        if sum(map(len, want)) > 400:
+            whole += sum(len(x) * n for x, n in want.items())
+            missed += sum(len(x) * n for x, n in (want - got).items())
+            extra += sum(len(x) * n for x, n in (got - want).items())
+    assert whole > 500_000 and missed <= 0.001 * whole and extra <= 0.02 * whole
+
+
+def test_the_ratio_decides(spark, monkeypatch):
+    rows = [renamed(r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    before = [H.main_text(x) for x in rows]
+    monkeypatch.setattr(H, "_smooth", lambda ratio, homes: np.ones(len(ratio)) * 1e9)
+    assert sum(H.main_text(x) != y for x, y in zip(rows, before, strict=True)) >= 0.9 * len(rows)
+
+
+def test_nothing_else_is_dropped_inside():
+    page = "<article><h1>T</h1><p class='legal-news'>News of law.</p><p>A &lt; b <math><mi>x</mi></math> <label>term</label> rest.</p><section id='discussion'><p>We discuss this at length.</p></section></article>"
+    assert H.main_text(page) == "T\nNews of law.\nA < b x term rest.\nWe discuss this at length."
+
+
+def test_sibling_sections_all_count():
+    words = "a paragraph that has a good number of words in it, as articles do, and goes on. "
+    page = "<body><div><a href=1>Home</a><a href=2>News</a></div><div><div><h2>One</h2>" + f"<p>{words * 3}</p>" * 9 + f"</div><div><h2>Two</h2><p>{words * 2}</p></div></div><div><a href=3>Imprint</a></div></body>"
+    lines = H.main_text(page).split("\n")
+    assert lines[0] == "One" and lines[10] == "Two" and len(lines) == 12
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").limit(60).collect()]
+    whole = [H.main_text(x) for x in rows]
+    monkeypatch.setattr(H, "PIECE", 7)
+    assert [H.main_text(x) for x in rows] == whole
