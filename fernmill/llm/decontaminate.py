@@ -1,33 +1,39 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, units and names become typed placeholders. The windows of what is left
-are hashed and joined between benchmark items and documents, and matches are
-laid along diagonals (document position less item position). On a diagonal each
-value of the item's slots must become one value of the document's, so a question
-asked again with other numbers or names is caught, and chance matches of
-templates are not. Plain lower-case windows are joined as well: there a copy
-matches whatever its case. A folded form goes with them: there a run of one
-placeholder is one slot, capitalised words are names where sentences open too,
-and a document's words that no item has as plain words are names whatever their
-case, as they could match nothing else.
+Numbers, units and names become typed placeholders, and the windows of what is
+left are hashed, for benchmark items a table, for documents a stream that one
+scan makes and a Bloom filter of the items' windows thins out. The two are
+joined by hash. Every pair of a text and an item that share a window is then
+compared whole: matches are laid along diagonals (document position less item
+position) and checked word by word, and each value of the item's slots must
+become one value of the document's, no two the same one, over all diagonals. So
+a question asked again with other numbers or names is caught, and chance
+matches of templates are not. Plain lower-case windows are joined as well: there
+a copy matches whatever its case. A folded form goes with them: there a run of
+one placeholder is one slot, capitalised words are names where sentences open
+too, and a document's words that no item has as plain words are names whatever
+their case, as they could match nothing else.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernmill.llm.scratch import few, written
+
 WINDOW = 8
-#: Words an item needs at least to be looked for; shorter ones prove nothing.
+#: Shorter items prove nothing in running text and are looked for where they stand alone as a sentence or line.
 MIN_ITEM = 4
 #: Plain words that a template window needs at least.
 MIN_LITERAL = 3
@@ -39,9 +45,10 @@ MIN_RUN = 13
 MIN_AGREED = 0.8
 #: Items that one edit can leave without a window, by words, and the shorter seeds they are looked for by.
 SHORT_ITEM, SEED_WINDOW = range(11, 17), 5
-#: Words of benchmark items looked for in one pass over the documents. A larger
-#: benchmark takes more passes, so what is broadcast stays bounded.
-PASS_WORDS = 500_000
+#: Bits of the Bloom filters: 16 a window, between these powers of two, so that at most 64 MB are broadcast.
+BLOOM = (22, 29)
+#: Items compared with a text at once.
+TOGETHER = 500
 
 # Words that count as numbers or units.
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
@@ -139,13 +146,39 @@ def fold(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, first: np.nd
     return np.add.reduceat(plain, starts), template[starts], slot[starts], starts
 
 
+class Bloom:
+    """A set of hashes as bits, two for each: may hold more than was put in, never less."""
+
+    def __init__(self, power: int) -> None:
+        self.power, self.bits = power, np.zeros(1 << (power - 3), np.uint8)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return hashes >> np.uint64(64 - self.power), (hashes * _MULTIPLIER) >> np.uint64(64 - self.power)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in self.places(hashes):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        one, two = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in self.places(hashes))
+        return (one & two).astype(bool)
+
+
+def salted(hashes: np.ndarray, form: int) -> np.ndarray:
+    """Hashes of windows of a size (or of the folded form or the seeds), kept apart from those of others."""
+    return (hashes ^ np.uint64(form)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+_FOLDED, _SEEDS, _WORDS = 101, 102, 103
+
+
 @dataclass
 class Index:
-    """Windows of benchmark items by size and hash, for one pass."""
+    """Windows of benchmark items by size and hash."""
 
-    items: dict[int, tuple[int, int, int, np.ndarray, np.ndarray]] = field(default_factory=dict)  # row: item_id, window, windows, plain, slots
+    items: dict[int, tuple[object, int, int, np.ndarray, np.ndarray]] = field(default_factory=dict)  # row: item, window, windows, plain, slots
     sizes: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
-    bits: dict[int, np.ndarray] = field(default_factory=dict)
+    keys: dict[int, np.ndarray] = field(default_factory=dict)
     folds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # row, values, slots, starts and the end
     folded: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     shapes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # row: template, which windows are indexed by template
@@ -153,16 +186,21 @@ class Index:
     words: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # plain words of folded items, sorted
 
     def close(self) -> Index:
-        """Make the bitmaps that tell most windows of documents apart at once."""
-        for size, table in self.sizes.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[np.fromiter(table, np.uint64, len(table)) >> np.uint64(42)] = True
-            self.bits[size] = bits
-        for key, table in ((0, self.folded), (-1, self.seeds)):
-            self.bits[key] = np.zeros(1 << 22, bool)
-            self.bits[key][np.fromiter(table, np.uint64, len(table)) >> np.uint64(42)] = True
+        for form, table in ((_FOLDED, self.folded), (_SEEDS, self.seeds), *self.sizes.items()):
+            self.keys[form] = np.sort(np.fromiter(table, np.uint64, len(table)))
         return self
 
+    def known(self, form: int, hashes: np.ndarray) -> list[int]:
+        """Where ``hashes`` are windows of the form."""
+        keys = self.keys[form]
+        if not len(keys):
+            return []
+        return np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes).tolist()
+
+    def windows(self) -> np.ndarray:
+        """All windows, salted by their form."""
+        return np.concatenate([np.empty(0, np.uint64), *(salted(keys, form) for form, keys in self.keys.items())])
+
     def unknown(self, plain: np.ndarray) -> np.ndarray:
         """Which words no folded item has as plain words."""
         if not len(self.words):
@@ -170,12 +208,13 @@ class Index:
         return self.words[np.minimum(np.searchsorted(self.words, plain), len(self.words) - 1)] != plain
 
 
-def build_index(items: list[tuple[int | None, str | None]]) -> Index:
+def build_index(items: list[tuple[object, str | None]], words: np.ndarray | None = None) -> Index:
+    """The windows of items; ``words``, sorted, stand in for the items' own plain words."""
     index, reader = Index(), Reader()
     literals: set[int] = set()
     for row, (item_id, text) in enumerate(items):
         plain, template, slot, first, cap = reader.read_all(text)
-        if len(plain) < MIN_ITEM:
+        if not len(plain):
             continue
         size = min(WINDOW, len(plain))
         own = index.sizes.setdefault(size, {})
@@ -199,21 +238,34 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
                 by_shape[starts[at] : np.append(starts, len(plain))[at + WINDOW] - size + 1] = True
             index.folds.append((row, values, slots, np.append(starts, len(plain))))
         index.shapes[row] = template, by_shape
-    index.words = np.array(sorted(literals), np.uint64)
+    index.words = np.array(sorted(literals), np.uint64) if words is None else words
     return index.close()
 
 
-def _consistent(item: np.ndarray, slots: np.ndarray, doc: np.ndarray, offset: int, size: int, starts: list[int]) -> list[int]:
-    """Of the windows matched on a diagonal, those whose slots agree with the diagonal's binding."""
-    covered = sorted({s + k for s in starts for k in range(size) if slots[s + k]})
+def _binding(item: np.ndarray, doc: np.ndarray, covered: list[tuple[int, int]]) -> dict[int, int]:
+    """What each value in an item's slots became, by the most places (item, document); no two became the same."""
+    votes = Counter((int(item[p]), int(doc[q])) for p, q in covered)
+    binding: dict[int, int] = {}
+    taken: set[int] = set()
+    for (own, other), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0])):
+        if own not in binding and other not in taken:
+            binding[own] = other
+            taken.add(other)
+    return binding
+
+
+def _consistent(item: np.ndarray, slots: np.ndarray, doc: np.ndarray, size: int, found: dict[int, list[int]]) -> dict[int, list[int]]:
+    """Of the windows matched on each diagonal, those whose slots agree with one binding for all."""
+    at = {offset: sorted({s + k for s in starts for k in range(size) if slots[s + k]}) for offset, starts in found.items()}
+    covered = [(p, p + offset) for offset, places in at.items() for p in places]
     if not covered:
-        return starts
-    votes: dict[int, Counter[int]] = {}
-    for p in covered:
-        votes.setdefault(int(item[p]), Counter())[int(doc[p + offset])] += 1
-    binding = {k: c.most_common(1)[0][0] for k, c in votes.items()}
-    wrong = {p for p in covered if binding[int(item[p])] != int(doc[p + offset])}
-    return [s for s in starts if wrong.isdisjoint(range(s, s + size))]
+        return found
+    binding = _binding(item, doc, covered)
+    out = {}
+    for offset, starts in found.items():
+        wrong = {p for p in at[offset] if binding.get(int(item[p])) != int(doc[p + offset])}
+        out[offset] = [s for s in starts if wrong.isdisjoint(range(s, s + size))] if wrong else starts
+    return out
 
 
 def _match_folded(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, first: np.ndarray, names: np.ndarray, index: Index, best: dict[int, tuple[set[int], bool]]) -> None:
@@ -223,21 +275,23 @@ def _match_folded(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, fir
     shape[names] = _NAME
     goes_on = (shape[1:] == shape[:-1]) & (slot | names)[1:] & ~first[1:]
     hashes = window_hashes(shape[np.concatenate(([True], ~goes_on))], WINDOW)
-    hits = np.flatnonzero(index.bits[0][hashes >> np.uint64(42)]).tolist()
-    hits = [at for at in hits if int(hashes[at]) in index.folded]
+    hits = index.known(_FOLDED, hashes)
     if not hits:
         return
-    values = fold(plain, template, slot, first, names)[0]
-    found: dict[tuple[int, int], set[int]] = {}
+    values, template, _, _ = fold(plain, template, slot, first, names)
+    found: dict[int, dict[int, set[int]]] = {}
     for at in hits:
-        for k, start in index.folded.get(int(hashes[at]), ()):
-            found.setdefault((k, at - start), set()).add(start)
-    for (k, offset), starts in found.items():
+        for k, start in index.folded[int(hashes[at])]:
+            found.setdefault(k, {}).setdefault(at - start, set()).add(start)
+    for k, diagonals in found.items():
         row, item, slots, edges = index.folds[k]
         size = index.items[row][1]
-        good = _consistent(item, slots, values, offset, WINDOW, sorted(starts))
+        literal = ~slots
+        # Word by word: what is plain in the item's window is the same in the text.
+        ranged = {o: [s for s in sorted(starts) if (item[s : s + WINDOW] == values[s + o : s + o + WINDOW])[literal[s : s + WINDOW]].all()] for o, starts in diagonals.items()}
+        good = _consistent(item, slots, values, WINDOW, ranged)
         # A folded window holds all plain ones between its ends.
-        more = {p for s in good for p in range(edges[s], edges[s + WINDOW] - size + 1)}
+        more = {p for starts in good.values() for s in starts for p in range(edges[s], edges[s + WINDOW] - size + 1)}
         held, same = best.get(row, (set(), True))
         best[row] = (held | more, same and more <= held)
 
@@ -262,42 +316,52 @@ def _agrees(item: np.ndarray, shape: np.ndarray, slots: np.ndarray, plain: np.nd
     if same.sum() < MIN_AGREED * len(item) or same[~slots].sum() < MIN_AGREED * (~slots).sum():
         return False
     held = np.flatnonzero(same & slots).tolist()
-    good = len(_consistent(item, slots, plain, offset, 1, held))
+    good = len(_consistent(item, slots, plain, 1, {offset: held})[offset])
     return same.sum() - len(held) + good >= MIN_AGREED * len(item)
 
 
+def text_windows(plain: np.ndarray, template: np.ndarray, slot: np.ndarray, first: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(size, hashes, whether of plain words) of a text's windows."""
+    for size in sizes:
+        if len(plain) >= size:
+            yield size, window_hashes(plain, size), True
+            if slot.any():  # else the template is the text
+                yield size, window_hashes(template, size), False
+
+
+def _alone(first: np.ndarray, at: int, size: int) -> bool:
+    """Whether a window is a whole sentence or line."""
+    return bool(first[at]) and (at + size == len(first) or bool(first[at + size])) and not first[at + 1 : at + size].any()
+
+
 def _looked_up(text: str | None, index: Index, reader: Reader) -> tuple[dict[int, tuple[set[int], bool]], set[int]]:
     """Windows held of each item a text touches, and the items of which it has a long run or all but some words."""
     plain, template, slot, first, cap = reader.read_all(text)
-    found: dict[tuple[int, int], dict[int, bool]] = {}
-    for size, table in index.sizes.items():
-        exact = window_hashes(plain, size)
-        if not len(exact):
-            continue
-        bits = index.bits[size]
-        forms = [(exact, True)]
-        if slot.any():  # else the template is the text
-            forms.append((window_hashes(template, size), False))
-        for hashes, same in forms:
-            for at in np.flatnonzero(bits[hashes >> np.uint64(42)]).tolist():
-                for row, start in table.get(int(hashes[at]), ()):
-                    if index.items[row][1] == size:
-                        own = found.setdefault((row, at - start), {})
-                        own[start] = own.get(start, False) or same
+    found: dict[int, dict[int, dict[int, bool]]] = {}
+    for form, hashes, same in text_windows(plain, template, slot, first, index.sizes):
+        for at in index.known(form, hashes):
+            for row, start in index.sizes[form][int(hashes[at])]:
+                item, size = index.items[row][3], index.items[row][1]
+                # Word by word, be it as it is or by template.
+                shape = index.shapes[row][0] if not same else item
+                if (shape[start : start + size] == (plain if same else template)[at : at + size]).all() and (size >= MIN_ITEM or _alone(first, at, size)):
+                    own = found.setdefault(row, {}).setdefault(at - start, {})
+                    own[start] = own.get(start, False) or same
     best: dict[int, tuple[set[int], bool]] = {}
     whole: set[int] = set()
-    for (row, offset), starts in found.items():
+    for row, diagonals in found.items():
         _, size, _, item, slots = index.items[row]
-        good = _consistent(item, slots, plain, offset, size, sorted(starts))
-        held, same = best.get(row, (set(), True))
-        best[row] = (held | set(good), same and all(starts[s] for s in good))
-        exact = sorted(s for s in starts if starts[s])
-        if _run(exact, size, np.ones(len(item), bool)) >= MIN_RUN or _run(good, size, ~slots) >= MIN_RUN or len(item) >= SHORT_ITEM.start and _agrees(item, index.shapes[row][0], slots, plain, template, offset):
-            whole.add(row)
+        for offset, good in _consistent(item, slots, plain, size, {o: sorted(starts) for o, starts in diagonals.items()}).items():
+            starts = diagonals[offset]
+            held, same = best.get(row, (set(), True))
+            best[row] = (held | set(good), same and all(starts[s] for s in good))
+            exact = sorted(s for s in starts if starts[s])
+            if _run(exact, size, np.ones(len(item), bool)) >= MIN_RUN or _run(good, size, ~slots) >= MIN_RUN or len(item) >= SHORT_ITEM.start and _agrees(item, index.shapes[row][0], slots, plain, template, offset):
+                whole.add(row)
     if index.seeds:
         hashes = window_hashes(plain, SEED_WINDOW)
-        near = {(row, at - start) for at in np.flatnonzero(index.bits[-1][hashes >> np.uint64(42)]).tolist() for row, start in index.seeds.get(int(hashes[at]), ())}
-        for row, offset in near - found.keys():
+        near = {(row, at - start) for at in index.known(_SEEDS, hashes) for row, start in index.seeds[int(hashes[at])]}
+        for row, offset in near - {(row, o) for row, diagonals in found.items() for o in diagonals}:
             if _agrees(index.items[row][3], index.shapes[row][0], index.items[row][4], plain, template, offset):
                 whole.add(row)
                 best.setdefault(row, (set(), False))
@@ -306,13 +370,13 @@ def _looked_up(text: str | None, index: Index, reader: Reader) -> tuple[dict[int
     return best, whole
 
 
-def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[int | None, int, int, bool]]:
-    """(item_id, windows found, windows of the item, found as it is) for every item a text touches."""
+def matches(text: str | None, index: Index, reader: Reader) -> list[tuple[object, int, int, bool]]:
+    """(item, windows found, windows of the item, found as it is) for every item a text touches."""
     best, _ = _looked_up(text, index, reader)
     return [(index.items[row][0], len(held), index.items[row][2], same) for row, (held, same) in best.items() if held]
 
 
-def found(text: str | None, index: Index, reader: Reader, min_coverage: float = MIN_COVERAGE) -> list[tuple[int | None, int, int, bool]]:
+def found(text: str | None, index: Index, reader: Reader, min_coverage: float = MIN_COVERAGE) -> list[tuple[object, int, int, bool]]:
     """Of the rows of :func:`matches`, those to report.
 
     An item is held if its windows are covered, if a run of ``MIN_RUN`` plain words
@@ -330,66 +394,145 @@ def found(text: str | None, index: Index, reader: Reader, min_coverage: float =
     return out
 
 
-def _scan(index, min_coverage: float):
+def _key(text) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, item, word): the salted windows of each item, and the plain words of its folded form."""
+    for batch in batches:
+        rows: list[tuple[list, list]] = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            index = build_index([(item, text.as_py())])
+            for hashes, word in ((index.windows(), False), (index.words, True)):
+                rows.append((hashes.view(np.int64), [item] * len(hashes), [word] * len(hashes)))
+        hashes, items, words = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *hashes])), pa.array(sum(items, []), pa.string()), pa.array(sum(words, []), pa.bool_())], names=["hash", "item", "word"])
+
+
+def _bits(power: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = Reader(), Index(*index.value)
+        bloom = Bloom(power)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(doc_id, i, n, of, n / of, same) for i, n, of, same in found(text.as_py(), held, reader, min_coverage)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "windows", "item_windows", "coverage", "exact"])
+            bloom.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bloom.bits.tobytes(), 1)], pa.binary())], names=["bits"])
 
     return run
 
 
-def _holds(index, min_coverage: float):
-    @F.pandas_udf("boolean")
-    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader, held = Reader(), Index(*index.value)
-        for texts in parts:
-            yield pd.Series([bool(found(t, held, reader, min_coverage)) for t in texts], dtype=bool)
+def bloom_of(hashes: DataFrame) -> Bloom:
+    """A Bloom filter of a column of hashes; each partition makes one, and the driver joins them one by one."""
+    power = int(np.clip(np.ceil(np.log2(16 * max(1, hashes.count()))), *BLOOM))
+    bloom = Bloom(power)
+    for row in hashes.coalesce(64).mapInArrow(_bits(power), "bits binary").toLocalIterator():
+        bloom.bits |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return bloom
 
-    return udf
 
+def _candidates(shared, sizes: list[int]):
+    """(key, hash): the windows of each text that the filter lets pass."""
 
-def _shipped(docs: DataFrame, index: Index):
-    """The index as a broadcast of plain values, so that workers need no copy of this package."""
-    return docs.sparkSession.sparkContext.broadcast((index.items, index.sizes, index.bits, index.folds, index.folded, index.shapes, index.seeds, index.words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, windows, words = Reader(), Bloom(shared.value[0]), Bloom(shared.value[2])
+        windows.bits, words.bits = shared.value[1], shared.value[3]
+        for batch in batches:
+            keys, found = [], []
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                plain, template, slot, first, cap = reader.read_all(text.as_py())
+                own = [salted(hashes, form) for form, hashes, _ in text_windows(plain, template, slot, first, sizes)]
+                own.append(salted(window_hashes(plain, SEED_WINDOW), _SEEDS))
+                if len(plain) >= WINDOW:
+                    names = (cap | ~words.holds(plain)) & ~slot
+                    shape = np.where(names, _NAME, template)
+                    goes_on = (shape[1:] == shape[:-1]) & (slot | names)[1:] & ~first[1:]
+                    own.append(salted(window_hashes(shape[np.concatenate(([True], ~goes_on))], WINDOW), _FOLDED))
+                every = np.concatenate(own)
+                hits = np.unique(every[windows.holds(every)])
+                if len(hits):
+                    keys += [key.as_py()] * len(hits)
+                    found.append(hits.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["key", "hash"])
 
+    return run
 
-def passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pass_words: int = PASS_WORDS) -> Iterator[Index]:
-    """Indexes over all items, each of about ``pass_words`` words; one is on the driver at a time."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
-    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
-    parts = int(-(-words // pass_words)) or 1
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield build_index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()])
 
+def _verified(shared, min_coverage: float):
+    """(key, item, windows, item_windows, exact) of each text (key, text, items) and the items that it holds."""
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE, pass_words: int = PASS_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, words = Reader(), Bloom(shared.value[2])
+        words.bits = shared.value[3]
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, text, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                index = build_index([(x["item"], x["text"]) for x in items.as_py()])
+                # As in the scan: all items' plain words, not only these items'.
+                index.unknown = lambda plain: ~words.holds(plain)  # type: ignore[method-assign]
+                rows += [(key, *x) for x in found(text.as_py(), index, reader, min_coverage)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "item", "windows", "item_windows", "exact"])
+
+    return run
+
+
+def held_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """(key, item, windows, item_windows, exact): texts of ``docs`` and ``benchmark``, by MD5, where one holds the other.
+
+    One scan of the documents for any benchmark: their windows that may be an
+    item's are joined with the table of the items' windows, and texts that share
+    one are compared with the item, each distinct text once.
+    """
+    items = written(benchmark.select(_key(F.col(item_text)).alias("item"), F.col(item_text).alias("text")).where(F.col("text") != "").dropDuplicates(["item"]), "items")
+    windows = written(items.mapInArrow(_item_windows, "hash long, item string, word boolean"), "item-windows")
+    filters = [bloom_of(windows.where(x).select("hash").distinct()) for x in (~F.col("word"), F.col("word"))]
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(x for f in filters for x in (f.power, f.bits)))
+    counted = items.select(F.least(F.lit(WINDOW), F.size(_tokens(F.col("text")))).alias("size")).distinct().collect()  # at most WINDOW rows
+    sizes = sorted({r["size"] for r in counted} - {0})
+    texts = docs.select(_key(F.col(text)).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    hits = texts.mapInArrow(_candidates(shared, sizes), "key string, hash long").distinct()
+    pairs = written(hits.join(few(windows.where(~F.col("word")).select("hash", "item").distinct()), "hash").select("key", "item").distinct(), "pairs")
+    counts = pairs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("parts"))
+    dealt = pairs.join(few(counts), "key").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).join(few(items), "item")
+    dealt = written(dealt.groupBy("key", "part").agg(F.collect_list(F.struct("item", "text")).alias("items")), "dealt")
+    whole = written(texts.join(few(counts.select("key")), "key").dropDuplicates(["key"]), "texts")
+    rows = dealt.join(whole, "key").select("key", "text", "items")
+    return written(rows.mapInArrow(_verified(shared, min_coverage), "key string, item string, windows long, item_windows long, exact boolean"), "held")
+
+
+def _tokens(text: Column) -> Column:
+    """As many entries as :class:`Reader` finds words."""
+
+    @F.pandas_udf("array<int>")
+    def udf(texts: pd.Series) -> pd.Series:
+        reader = Reader()
+        return pd.Series([np.zeros(min(WINDOW, len(reader.read(t)[0])), np.int32) for t in texts], dtype=object)
+
+    return udf(text)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Rows (doc_id, item_id, windows, item_windows, coverage, exact): documents that hold an item.
 
     A document holds an item by the rules of :func:`found`, so ``coverage``, the
     share of all the item's windows, may be less than ``min_coverage``.
     ``exact`` is false if some window matched by its template only. Every text is
     read whole. Null and empty texts match nothing, on either side; items under
-    ``MIN_ITEM`` words are not looked for; items that repeat are reported once for
-    each row, as are documents; null ids stay null; other columns are ignored;
-    empty tables give no rows.
+    ``MIN_ITEM`` words count where they are a whole sentence or line; items that
+    repeat are reported once for each row, as are documents; ids of any type stay
+    as they are, null ones too; other columns are ignored; empty tables give no
+    rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for index in passes(benchmark, item_id, item_text, pass_words):
-        part = rows.mapInArrow(_scan(_shipped(docs, index), min_coverage), "doc_id long, item_id long, windows long, item_windows long, coverage double, exact boolean")
-        out = part if out is None else out.unionAll(part)
-    return out
+    held = few(held_items(docs, benchmark, text, item_text, min_coverage))
+    names = few(benchmark.select(F.col(item_id).alias("item_id"), _key(F.col(item_text)).alias("item")))
+    out = docs.select(F.col(doc_id).alias("doc_id"), _key(F.col(text)).alias("key")).join(held, "key").join(names, "item")
+    return out.select("doc_id", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "exact")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_coverage: float = MIN_COVERAGE, pass_words: int = PASS_WORDS) -> DataFrame:
-    """``docs`` without the rows that hold an item; all columns as they are, nothing is shuffled."""
-    for index in passes(benchmark, item_id, item_text, pass_words):
-        docs = docs.where(~_holds(_shipped(docs, index), min_coverage)(F.col(text)))
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """``docs`` without the rows that hold an item (as :func:`contaminated` says); all columns as they are.
+
+    Texts are shuffled only where the list of texts to drop is too long to broadcast.
+    """
+    held = few(held_items(docs, benchmark, text, item_text, min_coverage).select(F.col("key").alias("_held")).distinct())
+    return docs.join(held, _key(F.col(text)) == F.col("_held"), "left_anti")

@@ -103,7 +103,7 @@ def test_windows_are_found_as_by_comparing_all():
         for i, item in items:
             w = item.split()
             size = min(D.WINDOW, len(w))
-            if len(w) >= D.MIN_ITEM:
+            if len(w) >= D.MIN_ITEM:  # a shorter one would have to stand alone
                 windows = {tuple(text[k : k + size]) for k in range(len(text) - size + 1)}
                 n = sum(tuple(w[k : k + size]) in windows for k in range(len(w) - size + 1))
                 if n:
@@ -111,14 +111,16 @@ def test_windows_are_found_as_by_comparing_all():
         assert got == want
 
 
-def test_pairs_and_passes(spark, edges):
+def test_pairs(spark, edges):
     benchmark = spark.createDataFrame([(1, ITEM), (2, "quick brown fox jumps over the lazy dog near the river"), (3, None), (4, ""), (5, "one"), (None, "w0x0 w1x1 w2x2 w3x3 w4x4")], "item_id long, text string")
-    want = {(1, 2), (7, None)}
-    for size in (500_000, 5):  # a small pass makes many
-        rows = D.contaminated(edges, benchmark, pass_words=size).collect()
-        assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == 3
-        kept = D.clean(edges, benchmark, pass_words=size)
-        assert kept.columns == edges.columns and kept.count() == edges.count() - 3
+    want = {(1, 2), (7, None), (5, 5)}
+    for together in (500, 1):
+        D.TOGETHER = together
+        rows = D.contaminated(edges, benchmark).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == 4
+        kept = D.clean(edges, benchmark)
+        assert kept.columns == edges.columns and kept.count() == edges.count() - 4
+    D.TOGETHER = 500
 
 
 def test_empty_tables(spark, edges, nothing):
@@ -134,3 +136,98 @@ def test_planted_items_are_found(spark):
     items = {r.item_id: squeeze(r.text) for r in benchmark.collect()}
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in squeeze(r.text)}
     assert want and want <= {(r.doc_id, r.item_id) for r in D.contaminated(docs, benchmark).collect()}
+
+
+def test_slots_are_one_to_one_over_all_diagonals():
+    whole = coverage(ITEM.replace("Tom", "Anna").replace("12", "31"))[1][0]
+    assert coverage(ITEM.replace("Mary", "Tom").replace("12", "5"))[1][0] < whole  # two values became one
+    far = ITEM.replace("5 apples to Mary,", "5 apples to Mary Ann,").replace("does Tom", "does Zoe").replace("12", "31")
+    assert coverage(far)[1][0] < coverage(far.replace("does Zoe", "does Tom"))[1][0]
+
+
+def test_short_items_stand_alone():
+    assert reported("First line.\nYes, maybe.\nLast line", "Yes maybe") and reported("yes maybe", "Yes maybe")
+    assert not reported("They said yes maybe to it.", "Yes maybe")
+
+
+def brute(text, item):
+    """Windows of an item found by comparing all windows word by word, slots bound one to one over one diagonal."""
+    import re
+
+    def read(t):
+        words, first = [], True
+        for w in re.findall(r"\d+|[A-Za-z]+|[.!?\n]", t):
+            if w in ".!?\n":
+                first = True
+                continue
+            slot = "n" if w.isdigit() else "N" if w[0].isupper() and not w.isupper() and not first else None
+            words.append((w.lower(), slot))
+            first = False
+        return words
+
+    a, b, held = read(item), read(text), set()
+    for offset in range(-len(a), len(b)):
+        pairs = [(a[i], b[i + offset]) if 0 <= i + offset < len(b) else None for i in range(len(a))]
+        alike = [p is not None and (p[0][0] == p[1][0] or p[0][1] is not None and p[0][1] == p[1][1]) for p in pairs]
+        starts = [s for s in range(len(a) - 7) if all(alike[s : s + 8])]
+        plain = [s for s in starts if all(p[0][0] == p[1][0] for p in pairs[s : s + 8])]
+        shaped = [s for s in starts if sum(p[0][1] is None for p in pairs[s : s + 8]) >= 3 and all(p[0][1] == p[1][1] for p in pairs[s : s + 8])]
+        starts = sorted({*plain, *shaped})
+        bound = [(pairs[i][0][0], pairs[i][1][0]) for i in sorted({s + k for s in starts for k in range(8)}) if pairs[i][0][1]]
+        if len({x for x, _ in bound}) == len(set(bound)) == len({y for _, y in bound}):
+            held |= set(starts)
+        elif bound:
+            return None  # a vote decides
+        else:
+            held |= set(starts)
+    return held
+
+
+def test_template_windows_are_found_as_by_comparing_all():
+    rng = random.Random(8)
+    names, fill = ["Tom", "Ann", "Zed", "Kim", "Lou", "Max"], ["has", "and", "gives", "to", "of", "the", "red", "cups", "more", "than"]
+    item = lambda: " ".join(rng.choice([rng.choice(fill), rng.choice(fill), rng.choice(fill), rng.choice(names), str(rng.randint(1, 60))]) for _ in range(rng.randint(9, 24)))
+    checked = 0
+    for _ in range(300):
+        own = "so " + item()
+        other = {**dict(zip(names, rng.sample(["Eva", "Ian", "Uma", "Bob", "Pam", "Joe"], 6))), **{str(i): str(i + 100) for i in range(61)}}
+        text = " ".join(rng.choices(fill, k=6)) + " " + " ".join(other.get(w, w) for w in own.split()) + " " + " ".join(rng.choices(fill, k=6))
+        want = brute(text, own)
+        if want is None:
+            continue
+        index = D.build_index([(1, own)])
+        index.folded, index.seeds = {}, {}
+        index.close()
+        got = {n for _, n, _, _ in D.matches(text, index, D.Reader())}
+        assert got == ({len(want)} if want else set()), (own, text)
+        checked += bool(want)
+    assert checked > 100
+
+
+def test_recall_on_questions_asked_again(spark):
+    """Benchmark items with a question's numbers and names put in, asked again with others, within other text."""
+    rng = random.Random(12)
+    people, others = ["Tom", "Mary", "Alice", "Bob"], ["Hugo", "Gina", "Mary Ann", "Emil", "Frida"]
+    rows, docs = [], []
+    for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(120).collect():
+        words = r.text.split()
+        if len(words) < 16:
+            continue
+        spots = rng.sample(range(1, len(words)), max(2, len(words) // 9))
+        old = [rng.choice(people) if k % 2 else str(rng.randint(2, 99)) for k in range(len(spots))]
+        swap = dict(zip(people, rng.sample(others, 4))) | {str(i): str(i * 7 + 100) for i in range(100)}
+        mine, theirs = list(words), list(words)
+        for at, x in zip(spots, old):
+            mine[at], theirs[at] = mine[at] + " " + x, theirs[at] + " " + swap[x]
+        rows.append((len(rows), " ".join(mine)))
+        docs.append((len(docs), " ".join(rng.choices(words, k=30)) + ". " + " ".join(theirs)))
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"))
+    pairs = {(r.doc_id, r.item_id) for r in found.collect()}
+    hit = sum((i, i) in pairs for i, _ in rows)
+    assert len(rows) >= 40 and hit >= 0.9 * len(rows) and len(pairs) <= hit + 0.02 * len(rows)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", ITEM)], "doc_id string, text string")
+    items = spark.createDataFrame([("x", ITEM), ("y", ITEM)], "item_id string, text string")
+    assert {(r.doc_id, r.item_id, r.exact) for r in D.contaminated(docs, items).collect()} == {("a", "x", True), ("a", "y", True)}
