@@ -22,10 +22,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ MIN_AGREED = 0.8
 SHORT_ITEM, SEED_WINDOW = range(11, 17), 5
 #: Bits of the Bloom filters: 16 a window, between these powers of two, so that at most 64 MB are broadcast.
 BLOOM = (22, 29)
+#: Bytes of texts hashed together.
+PIECE = 1 << 19
 #: Items compared with a text at once.
 TOGETHER = 500
 
@@ -62,11 +66,21 @@ _END, _CAP, _NUMBER, _UNIT_WORD = 1, 2, 4, 8
 _REMEMBERED = 300_000
 
 
+class _Known(dict):
+    """Numbers of tokens; a new one is learned when it is asked for."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, token: str) -> int:
+        return self.learn(token)
+
+
 class Reader:
     """Turns texts into arrays of words: plain identities, template identities, slots."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known(self._learn)
         self.ids = np.empty(_REMEMBERED, np.uint64)
         self.flags = np.empty(_REMEMBERED, np.int8)
 
@@ -87,23 +101,28 @@ class Reader:
 
     def read_all(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What ``read`` gives, with where sentences begin and which words are capitalised."""
+        return self.read_many([text])[:5]
+
+    def read_many(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """The arrays of ``read_all`` for texts one after another, and each word's text."""
         if len(self.known) > _REMEMBERED:
-            self.known = {}
-        tokens = TOKEN.findall(text or "")
-        known, learn = self.known, self._learn
-        at = np.array([known[t] if t in known else learn(t) for t in tokens], np.int64)
-        if not len(at):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool), np.empty(0, bool)
-        flags, plain = self.flags[at], self.ids[at]
+            self.known = _Known(self._learn)
+        parts = [TOKEN.findall(text or "") for text in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        flags, plain, of = self.flags[at], self.ids[at], np.repeat(np.arange(len(parts)), sizes)
+        opens = np.concatenate((np.ones(min(1, len(of)), bool), of[1:] != of[:-1]))
         ends = flags == _END
-        first = np.concatenate(([True], ends[:-1]))
+        first = opens.copy()
+        first[1:] |= ends[:-1]
         number, unit, cap = flags == _NUMBER, flags == _UNIT_WORD, flags == _CAP
         name = cap & ~first
-        unit &= np.concatenate(([False], number[:-1]))  # a unit follows its number
+        unit[1:] &= number[:-1]  # a unit follows its number
+        unit &= ~opens
         template = plain.copy()
         template[number], template[unit], template[name] = _NUM, _UNIT, _NAME
         words = ~ends
-        return plain[words], template[words], (number | unit | name)[words], first[words], cap[words]
+        return plain[words], template[words], (number | unit | name)[words], first[words], cap[words], of[words]
 
 
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -159,9 +178,18 @@ class Bloom:
         for at in self.places(hashes):
             np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
+    def _test(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the set may hold a hash; the second bit is looked up only where the first is set."""
+        found = np.flatnonzero(self._test(hashes >> np.uint64(64 - self.power)))
+        return found[self._test((hashes[found] * _MULTIPLIER) >> np.uint64(64 - self.power)).astype(bool)] if len(found) else found
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        one, two = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in self.places(hashes))
-        return (one & two).astype(bool)
+        out = np.zeros(len(hashes), bool)
+        out[self.hits(hashes)] = True
+        return out
 
 
 def salted(hashes: np.ndarray, form: int) -> np.ndarray:
@@ -429,7 +457,7 @@ def bloom_of(hashes: DataFrame) -> Bloom:
     return bloom
 
 
-def _candidates(shared, sizes: list[int]):
+def _candidates(shared, sizes: list[int], seeded: bool):
     """(key, hash): the windows of each text that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,21 +465,27 @@ def _candidates(shared, sizes: list[int]):
         windows.bits, words.bits = shared.value[1], shared.value[3]
         for batch in batches:
             keys, found = [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                plain, template, slot, first, cap = reader.read_all(text.as_py())
-                own = [salted(hashes, form) for form, hashes, _ in text_windows(plain, template, slot, first, sizes)]
-                own.append(salted(window_hashes(plain, SEED_WINDOW), _SEEDS))
-                if len(plain) >= WINDOW:
-                    names = (cap | ~words.holds(plain)) & ~slot
-                    shape = np.where(names, _NAME, template)
-                    goes_on = (shape[1:] == shape[:-1]) & (slot | names)[1:] & ~first[1:]
-                    own.append(salted(window_hashes(shape[np.concatenate(([True], ~goes_on))], WINDOW), _FOLDED))
-                every = np.concatenate(own)
-                hits = np.unique(every[windows.holds(every)])
-                if len(hits):
-                    keys += [key.as_py()] * len(hits)
-                    found.append(hits.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["key", "hash"])
+            # Texts are hashed together as far as a piece goes, and windows that cross from one to the next left out.
+            piece = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // PIECE
+            cuts = (np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(piece)], strict=True):
+                plain, template, slot, first, cap, of = reader.read_many(batch.column(1).slice(lo, hi - lo).to_pylist())
+                forms = [(size, ids, size, of) for size in sizes for ids in (plain, template)]
+                if seeded:
+                    forms.append((SEED_WINDOW, plain, _SEEDS, of))
+                names = cap | ~words.holds(plain)
+                shape = np.where(names & ~slot, _NAME, template)
+                same = (shape[1:] == shape[:-1]) & (slot | names)[1:] & ~first[1:]
+                starts = np.concatenate((np.ones(min(1, len(of)), bool), ~same))
+                forms.append((WINDOW, shape[starts], _FOLDED, of[starts]))
+                for size, ids, form, owner in forms:
+                    hashes = salted(window_hashes(ids, size), form)
+                    at = windows.hits(hashes)
+                    at = at[owner[at] == owner[at + size - 1]]
+                    keys.append(owner[at] + lo)
+                    found.append(hashes[at].view(np.int64))
+            owners = np.concatenate([np.empty(0, np.int64), *keys])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["key", "hash"])
 
     return run
 
@@ -487,10 +521,10 @@ def held_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     windows = written(items.mapInArrow(_item_windows, "hash long, item string, word boolean"), "item-windows")
     filters = [bloom_of(windows.where(x).select("hash").distinct()) for x in (~F.col("word"), F.col("word"))]
     shared = docs.sparkSession.sparkContext.broadcast(tuple(x for f in filters for x in (f.power, f.bits)))
-    counted = items.select(F.least(F.lit(WINDOW), F.size(_tokens(F.col("text")))).alias("size")).distinct().collect()  # at most WINDOW rows
-    sizes = sorted({r["size"] for r in counted} - {0})
+    counted = items.select(_count(F.col("text")).alias("n")).select(F.least(F.lit(WINDOW), F.col("n")).alias("size"), F.col("n").isin(list(SHORT_ITEM)).alias("short")).distinct().collect()  # at most 2 * WINDOW rows
+    sizes, seeded = sorted({r["size"] for r in counted} - {0}), any(r["short"] for r in counted)
     texts = docs.select(_key(F.col(text)).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    hits = texts.mapInArrow(_candidates(shared, sizes), "key string, hash long").distinct()
+    hits = texts.mapInArrow(_candidates(shared, sizes, seeded), "key string, hash long").distinct()
     pairs = written(hits.join(few(windows.where(~F.col("word")).select("hash", "item").distinct()), "hash").select("key", "item").distinct(), "pairs")
     counts = pairs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("parts"))
     dealt = pairs.join(few(counts), "key").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).join(few(items), "item")
@@ -500,13 +534,13 @@ def held_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     return written(rows.mapInArrow(_verified(shared, min_coverage), "key string, item string, windows long, item_windows long, exact boolean"), "held")
 
 
-def _tokens(text: Column) -> Column:
-    """As many entries as :class:`Reader` finds words."""
+def _count(text: Column) -> Column:
+    """How many words :class:`Reader` finds."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("int")
     def udf(texts: pd.Series) -> pd.Series:
         reader = Reader()
-        return pd.Series([np.zeros(min(WINDOW, len(reader.read(t)[0])), np.int32) for t in texts], dtype=object)
+        return pd.Series([len(reader.read(t)[0]) for t in texts], dtype="int32")
 
     return udf(text)
 
