@@ -11,15 +11,16 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernmill.llm.scratch import new_path
+from fernmill.llm.scratch import few, new_path, written
 
-#: Bytes read and inflated at a time; a record is never held in more than one copy.
+#: Bytes read and inflated at a time. One record is held at a time, in a few copies.
 CHUNK = 1 << 20
 LEVEL = 3
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -35,8 +36,9 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<{uuid.uuid5(NAMESPACE, str(page_id)).urn}>"
+def record_id(page_id: object, copy: str | None = None) -> str:
+    """The id of a page's record; ``copy`` tells rows that repeat a page apart."""
+    return f"<{uuid.uuid5(NAMESPACE, str(page_id) if copy is None else f'{page_id} {copy}').urn}>"
 
 
 def _one_line(value: object) -> str:
@@ -44,7 +46,7 @@ def _one_line(value: object) -> str:
     return "".join(" " if ord(c) < 33 or ord(c) == 127 else c for c in str(value)).strip()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+def make_record(page_id: object, url: str | None, payload: bytes, refers_to: object = None, copy: str | None = None) -> bytes:
     """One gzip member: a response with the payload, or a revisit without it.
 
     A revisit keeps the HTTP head, whose Content-Length is the payload's, and
@@ -56,17 +58,17 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, copy)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_one_line(url or '')}",
+        *([] if url is None else [f"WARC-Target-URI: {_one_line(url)}"]),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
-        f"X-Page-Id: {'' if page_id is None else page_id}",
+        *([] if page_id is None else [f"X-Page-Id: {quote(str(page_id))}"]),
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {quote(str(refers_to))}"]
     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return b"".join((squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n"), squeeze.compress(block), squeeze.compress(b"\r\n\r\n"), squeeze.flush()))
 
@@ -152,11 +154,11 @@ def _writer(folder: str, roll_bytes: int):
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for page_id, url, html, refers_to, copy in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if out is None:
                     name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                member = make_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py())
+                member = make_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), copy.as_py())
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= roll_bytes:
@@ -174,22 +176,39 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     """Write one record per row under ``folder``; return the manifest (path, records, bytes).
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` the one with
-    the smallest page_id is the response (rows that repeat that page_id too) and
-    the others are revisits of it; smaller payloads are all responses. A null
-    payload is an empty one, and a null page_id is a response that nothing
-    revisits unless an equal payload has an id. The manifest has a row per file.
+    the smallest page_id is the response and the others are revisits of it;
+    smaller payloads are all responses. Of rows that repeat that page_id, the
+    one with the smallest url (null first) is the response, and of rows alike in
+    all, one. A null payload is an empty one, and a null page_id is a response
+    that nothing revisits unless an equal payload has an id. Ids may be of any
+    type that goes to a string and back. The manifest has a row per file.
+
+    Ids and digests are shuffled to find the first of each payload; payloads are
+    only where the list of revisits is too long to broadcast, and for pages that
+    repeat.
     """
-    # Only digests and ids are shuffled to find the first of each payload, and only
-    # payloads that occur twice join back.
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    keyed = rows.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").alias("n"))
-    firsts = keyed.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = keyed.where(F.col("n") >= min_revisit_bytes).join(firsts.select("digest", "first"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
-    later = later.groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
-    joined = rows.withColumn("digest", F.when(F.octet_length("html") >= min_revisit_bytes, F.sha1(F.encode("html", "utf-8"))))
-    later = later.select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "refers_to")
-    marked = joined.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left")
-    return marked.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder, roll_bytes), "path string, records long, bytes long")
+    html_of = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), html_of.alias("html"), F.when(F.octet_length(html_of) >= min_revisit_bytes, F.sha1(F.encode(html_of, "utf-8"))).alias("digest"))
+    keyed = written(rows.where(F.col("digest").isNotNull()).groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.min(_named("url")).alias("least")), "warc-pages")
+    firsts = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1 and first is not null")
+    # A row for each page that revisits another or repeats: its first, and whether it is that itself.
+    marks = keyed.join(few(written(firsts.select("digest", "first"), "warc-firsts")), "digest")
+    same = F.col("page_id").eqNullSafe(F.col("first"))
+    marks = written(marks.where(~same | (F.col("n") > 1)).select(F.col("page_id").alias("m_id"), F.col("digest").alias("m_digest"), "first", same.alias("own"), "least", (F.col("n") > 1).alias("repeats")), "warc-marks")
+    joined = F.col("page_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest"))
+    plain = rows.join(few(marks), joined, "left").where("not coalesce(repeats, false)").select("page_id", "url", "html", F.col("first").alias("refers_to"), F.lit(None).cast("string").alias("copy"))
+    # Rows that repeat a page are counted by url, so that however many there are, no task gets them all.
+    again = rows.join(few(marks.where("repeats")), joined).groupBy("page_id", "digest", "url", "first", "own", "least").agg(F.count("*").alias("n"), F.first("html").alias("html"))
+    again = again.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    response = F.col("own") & (F.col("k") == 1) & (_named("url") == F.col("least"))
+    again = again.select("page_id", "url", "html", F.when(~response, F.col("first")).alias("refers_to"), F.when(~response, F.concat_ws(" ", F.col("k").cast("string"), "url")).alias("copy"))
+    out = plain.unionAll(again).select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"), "copy")
+    return out.mapInArrow(_writer(folder, roll_bytes), "path string, records long, bytes long")
+
+
+def _named(column: str):
+    """A column as a struct that orders null first and compares it as a value."""
+    return F.struct(F.col(column).isNotNull().alias("there"), F.coalesce(F.col(column), F.lit("")).alias("value"))
 
 
 def _reader(payloads: bool):
@@ -207,16 +226,16 @@ def _read_one(path: str, records: int, payloads: bool) -> Iterator[pa.RecordBatc
 
     def flush() -> pa.RecordBatch:
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     with store.open_input_stream(base, compression=None) as stream:
         for head, http, payload in read_records(stream):
-            number = lambda k: int(head[k]) if head.get(k) else None
+            named = lambda k: unquote(head[k]) if k in head else None
             response = head["warc-type"] == "response"
             if response and len(payload) != int(http["content-length"]):
                 raise WarcError(f"HTTP length differs in {head['warc-record-id']}")
-            rows.append((number("x-page-id"), head["warc-target-uri"], head["warc-type"], int(http["content-length"]), head["warc-payload-digest"].removeprefix("sha1:"), number("x-refers-to-page-id"), payload if response and payloads else None))
+            rows.append((named("x-page-id"), head.get("warc-target-uri"), head["warc-type"], int(http["content-length"]), head["warc-payload-digest"].removeprefix("sha1:"), named("x-refers-to-page-id"), payload if response and payloads else None))
             seen, held = seen + 1, held + len(payload)
             if held >= 8 * CHUNK or len(rows) >= 4096:
                 yield flush()
@@ -227,7 +246,7 @@ def _read_one(path: str, records: int, payloads: bool) -> Iterator[pa.RecordBatc
         raise WarcError(f"{path} has {seen} records, {records} were written")
 
 
-RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORDS = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
@@ -247,10 +266,11 @@ def round_trip(pages: DataFrame, label: str = "warc", payloads: bool = True, **o
     The manifest is collected: a row for each file, so a few for each task. An
     empty table gives no archive and no records.
     """
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema[options.get("page_id", "page_id")].dataType
     made = write_archives(pages, new_path(spark, label), **options).collect()
     manifest = spark.createDataFrame(made, "path string, records long, bytes long")
-    return read_archives(manifest.repartition(max(1, len(made))), payloads)
+    found = read_archives(manifest.repartition(max(1, len(made))), payloads)
+    return found.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -22,7 +22,7 @@ def digest(text):
 def test_round_trip(spark):
     got = W.round_trip(spark.createDataFrame(ROWS, SCHEMA), roll_bytes=200).collect()
     assert len(got) == len(ROWS)
-    want = {(3, "revisit", 1), (1, "response", None), (2, "response", None), (4, "revisit", 2), (5, "response", None), (None, "revisit", 6), (6, "response", None), (7, "response", None)}
+    want = {(3, "revisit", 1), (1, "response", None), (2, "response", None), (4, "revisit", 2), (5, "response", None), (None, "revisit", 6), (6, "response", None), (7, "response", None), (7, "revisit", 7)}
     assert {(r.page_id, r.record_type, r.refers_to) for r in got} == want
     texts = {i: t or "" for i, _, t, _ in ROWS}
     for r in got:
@@ -79,3 +79,17 @@ def rewrite(raw, old, new):
 def test_damage_is_found(damage):
     with pytest.raises(W.WarcError):
         list(W.read_records(io.BytesIO(damage(W.make_record(1, "u", b"body")))))
+
+
+def test_repeated_pages_and_null_urls(spark):
+    rows = [(7, "u", "once"), (7, "u", "once"), (7, None, "once"), (7, "a", "once"), (9, "v", "once"), (7, "x", "other"), (8, None, "w")]
+    got = W.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.url or "", r.record_type, r.refers_to or 0) for r in got) == [
+        (7, "", "response", 0), (7, "a", "revisit", 7), (7, "u", "revisit", 7), (7, "u", "revisit", 7), (7, "x", "response", 0), (8, "", "response", 0), (9, "v", "revisit", 7),
+    ]
+    assert sum(r.url is None for r in got) == 2
+
+
+def test_ids_of_other_types(spark):
+    got = W.round_trip(spark.createDataFrame([("b é\n", "u", "x"), ("a", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {("b é\n", "revisit", "a"), ("a", "response", None), (None, "response", None)}
