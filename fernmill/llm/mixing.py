@@ -11,20 +11,18 @@ where; documents are laid along that axis in a seeded order.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernmill.llm.scratch import written
+from fernmill.llm.scratch import few, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
 SEED = 7
-#: Membership patterns that the flow is solved for, at most; more raise an error.
-MAX_PATTERNS = 10_000
 #: Hexadecimal digits of the seeded hash that split a pattern's documents for the running sums.
 SLICE_DIGITS = 3
 
@@ -111,8 +109,18 @@ def route(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None,
     """Tokens that each pattern gives each of its sources, fewest repeats first.
 
     No pattern gives more than ``max_copies`` times its tokens and no source gets
-    more than its quota; the total is the largest possible.
+    more than its quota; the total is the largest possible. A pattern of one
+    source that no other pattern has needs no flow: it gives what both allow.
     """
+    shared = Counter(s for k in patterns for s in k)
+    alone = {k: min(quotas.get(k[0], 0), max_copies * n) for k, n in patterns.items() if len(k) == 1 and shared[k[0]] == 1}
+    given = {k: {k[0]: n} if n else {} for k, n in alone.items()}
+    rest = {k: n for k, n in patterns.items() if k not in alone}
+    return given | _routed(rest, {s: q for s, q in quotas.items() if (s,) not in alone}, max_copies)
+
+
+def _routed(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None, int], max_copies: int) -> dict[tuple[str | None, ...], dict[str | None, int]]:
+    """:func:`route` by the flow itself."""
     names, keys = list(quotas), list(patterns)
     place = {s: 1 + len(keys) + i for i, s in enumerate(names)}
     sink = 1 + len(keys) + len(names)
@@ -145,7 +153,6 @@ def mix(
     share: float = SHARE,
     max_copies: int = MAX_COPIES,
     seed: int = SEED,
-    max_patterns: int = MAX_PATTERNS,
 ) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
     """``docs`` with a column ``copies`` and ``taken_by`` (a source for each copy), the sources' sizes and targets.
 
@@ -155,16 +162,18 @@ def mix(
     a source misses its quota by half a document at most. The order depends on
     values only: reruns agree. A null in ``members`` is a source like others; a
     null or empty array belongs nowhere and gets no copies; a null size is 0.
-    Rows that repeat are laid out one after another. Other columns are kept,
+    Rows alike in pattern, key and size get alike: where a copy ends among them,
+    all get it. Other columns are kept,
     unless they bear one of the two new names; an empty table stays empty.
+
+    The driver holds a row for each set of sources, never one for a document. What
+    a pattern gives is a prefix of its order, so only ids and sizes are shuffled,
+    to find where each copy ends; documents are compared with that in place.
     """
     spark = docs.sparkSession
     docs = docs.drop("copies", "taken_by")
     pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast("array<string>"))))
-    # Sums by pattern: a row for each set of sources, never one for a document.
-    sums = docs.groupBy(pattern.alias("pattern")).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).cast("long").alias("n")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    sums = docs.groupBy(pattern.alias("pattern")).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).cast("long").alias("n")).collect()
     patterns = {tuple(r["pattern"]): r["n"] for r in sums if r["pattern"]}
     sizes: dict[str | None, int] = {}
     for k, n in patterns.items():
@@ -183,10 +192,10 @@ def mix(
         rows.append((list(k), patterns[k], upto, ends))
     plan = spark.createDataFrame(rows, "_pattern array<string>, _total long, _flow long, _ends array<struct<s:string,upto:long>>")
     tokens = F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))
-    laid = docs.select(F.struct("*").alias("row"), pattern.alias("p"), tokens.alias("n"), _digest(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    laid = docs.select(pattern.alias("p"), tokens.alias("n"), _digest(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     laid = laid.withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     before = Window.partitionBy("p").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 16 ** SLICE_DIGITS rows for a pattern, and max_patterns rows in the plan.
+    # At most 16 ** SLICE_DIGITS rows for a pattern; the plan has a row for each.
     starts = laid.groupBy("p", "slice").agg(F.sum("n").alias("sum")).select("p", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     starts = starts.join(F.broadcast(plan), F.col("p") == F.col("_pattern"), "left").select(F.col("p").alias("p2"), F.col("slice").alias("slice2"), "start", "_total", "_flow", "_ends")
     within = Window.partitionBy("p", "slice").orderBy("h", "k", "n").rowsBetween(Window.unboundedPreceding, -1)
@@ -195,7 +204,17 @@ def mix(
     twice_middle = lambda k: 2 * ((k - 1) * F.col("_total") + F.col("start") + F.col("before")) + F.col("n")
     copies = F.filter(F.sequence(F.lit(1), F.lit(max_copies)), lambda k: (F.col("n") > 0) & (twice_middle(k) <= 2 * F.col("_flow")))
     by = F.transform(copies, lambda k: F.filter(F.col("_ends"), lambda e: twice_middle(k) <= 2 * e["upto"])[0]["s"])
-    return laid.select("row.*", F.size(copies).alias("copies"), by.alias("taken_by")), sizes, goal
+    # The last document of each copy and source in the pattern's order.
+    taken = laid.select("p", F.struct("h", "k", "n").alias("at"), F.posexplode(by).alias("c", "s"))
+    ends = taken.groupBy("p", "c", "s").agg(F.max("at").alias("last")).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("c", "last", "s"))).alias("_lasts"))
+    ends = few(written(ends.select(F.col("p").alias("_pattern"), "_lasts"), "mix-ends"))
+    own = F.struct(_digest(F.col(key), seed).alias("h"), F.col(key).alias("k"), tokens.alias("n"))
+    upto = F.filter(F.col("_lasts"), lambda e: (tokens > 0) & (own <= e["last"]))
+    by = F.transform(F.array_distinct(F.transform(upto, lambda e: e["c"])), lambda c: F.filter(upto, lambda e: e["c"] == c)[0]["s"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.withColumn("_mix_pattern", pattern).join(ends, F.col("_mix_pattern") == F.col("_pattern"), "left")
+    by = F.coalesce(by, F.array().cast("array<string>"))
+    return out.select(*names, F.size(by).alias("copies"), by.alias("taken_by")), sizes, goal
 
 
 def by_source(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

@@ -3,7 +3,6 @@
 import itertools
 import random
 
-import pytest
 from helpers import DATA, duck_rows, spark_rows
 
 from fernmill.llm import mixing as M
@@ -77,7 +76,22 @@ def test_edge_rows(spark, edges, nothing):
     assert {r.doc_id: r.copies for r in M.mix(docs(spark, rows))[0].collect() if r.doc_id} == {1: 0, 2: 0, 3: 0}
 
 
-def test_too_many_patterns_is_an_error(spark):
-    rows = [(i, 1, [str(i)], "x", 1) for i in range(5)]
-    with pytest.raises(ValueError, match="membership patterns"):
-        M.mix(docs(spark, rows), max_patterns=4)
+def test_a_source_for_each_document(spark):
+    """As many patterns as documents: nothing is refused, and what is alone needs no flow."""
+    rows = [(i, 1 + i % 3, [f"s{i}"], "x", 1) for i in range(12_000)]
+    got, sizes, goal = M.mix(docs(spark, rows))
+    assert len(sizes) == 12_000 and got.where("copies > 0").count() > 6_000
+    assert abs(sum(goal.values()) - 1.5 * sum(sizes.values())) < 1
+
+
+def test_no_document_is_shuffled(spark, edges):
+    """Documents meet the plan by a broadcast join: no exchange holds their text."""
+    mixed, _, _ = M.mix(edges.selectExpr("*", "array(source) as members", "1L as size").drop("copies"))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_alike_rows_fall_alike(spark):
+    rows = [(1, 10, ["a"], "x", 1)] * 5 + [(2, 10, ["b"], "x", 1), (None, 4, ["a"], "x", 1), (None, 4, ["a"], "x", 1)]
+    got = M.mix(docs(spark, rows))[0].collect()
+    assert len({r.copies for r in got if r.doc_id == 1}) == 1 and len({r.copies for r in got if r.doc_id is None}) == 1
