@@ -569,4 +569,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     Texts are shuffled only where the list of texts to drop is too long to broadcast.
     """
     held = few(held_items(docs, benchmark, text, item_text, min_coverage).select(F.col("key").alias("_held")).distinct())
-    return docs.join(held, _key(F.col(text)) == F.col("_held"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), _key(F.col(text)).alias("_key"))
+    return rows.join(held, F.col("_key") == F.col("_held"), "left_anti").select("row.*")

@@ -206,13 +206,13 @@ def mix(
     by = F.transform(copies, lambda k: F.filter(F.col("_ends"), lambda e: twice_middle(k) <= 2 * e["upto"])[0]["s"])
     # The last document of each copy and source in the pattern's order.
     taken = laid.select("p", F.struct("h", "k", "n").alias("at"), F.posexplode(by).alias("c", "s"))
-    ends = taken.groupBy("p", "c", "s").agg(F.max("at").alias("last")).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("c", "last", "s"))).alias("_lasts"))
-    ends = few(written(ends.select(F.col("p").alias("_pattern"), "_lasts"), "mix-ends"))
+    ends = taken.groupBy("p", "c", "s").agg(F.max("at").alias("last")).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("c", "last", "s"))).alias("_fernmill_lasts"))
+    ends = few(written(ends.select(F.col("p").alias("_fernmill_pattern"), "_fernmill_lasts"), "mix-ends"))
     own = F.struct(_digest(F.col(key), seed).alias("h"), F.col(key).alias("k"), tokens.alias("n"))
-    upto = F.filter(F.col("_lasts"), lambda e: (tokens > 0) & (own <= e["last"]))
+    upto = F.filter(F.col("_fernmill_lasts"), lambda e: (tokens > 0) & (own <= e["last"]))
     by = F.transform(F.array_distinct(F.transform(upto, lambda e: e["c"])), lambda c: F.filter(upto, lambda e: e["c"] == c)[0]["s"])
     names = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("_mix_pattern", pattern).join(ends, F.col("_mix_pattern") == F.col("_pattern"), "left")
+    out = docs.withColumn("_fernmill_members", pattern).join(ends, F.col("_fernmill_members") == F.col("_fernmill_pattern"), "left")
     by = F.coalesce(by, F.array().cast("array<string>"))
     return out.select(*names, F.size(by).alias("copies"), by.alias("taken_by")), sizes, goal
 
