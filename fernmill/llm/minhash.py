@@ -2,7 +2,7 @@
 
 Sets of one bucket are candidates. Buckets that share members make a group;
 each task gets the whole sets of a group, once, and finds the similar pairs by
-matrix products over the shingles. A group too large for a task is taken
+counting common bits, one for each shingle. A group too large for a task is taken
 bucket by bucket, and a bucket too large goes out in pairs of blocks, so that a
 task's memory stays bounded and no pair of a bucket is left out. Only a spanning
 forest of the links leaves a task. Five rows a band and 32 bands leave a pair of
@@ -14,10 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernmill.llm.graph import hot_join, spanning, streamed_groups
@@ -29,9 +28,9 @@ SEED = 43
 #: Shingles hashed at once.
 CHUNK = 512
 #: Shingles of one group that a task holds once or twice.
-GROUP = 1 << 20
-#: Sets and shingles of one matrix.
-TILE, COLUMNS = 1024, 8192
+GROUP = 1 << 19
+#: Shingles that are bits at a time, and texts whose sets leave a worker together.
+COLUMNS, PIECE = 1 << 16, 256
 
 
 class Bands:
@@ -57,40 +56,33 @@ class Bands:
         return np.concatenate(([np.uint64(xxhash.xxh64_intdigest(grams.tobytes()))], mixed))
 
 
-def sets(text: Column, shingle: int) -> Column:
-    """The shingle set of a text, as an array of longs."""
-
-    @F.pandas_udf("array<long>")
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(shingles(t, shingle)).view(np.int64) for t in texts], dtype=object)
-
-    return udf(text)
+def sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(grams, set): the shingle sets, as arrays of longs, of texts (grams, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), PIECE):
+                part = batch.slice(at, PIECE)
+                found = [shingle_set(shingles(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, found)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["grams", "set"])
 
-def _tile(rows: np.ndarray, columns: np.ndarray, lo: int, left: int) -> np.ndarray:
-    """Sets ``lo`` onwards by shingles ``left`` onwards, as a matrix of ones."""
-    own = (rows >= lo) & (rows < lo + TILE) & (columns >= left) & (columns < left + COLUMNS)
-    out = np.zeros((TILE, COLUMNS), np.float32)
-    out[rows[own] - lo, columns[own] - left] = 1
-    return out
+    return texts.select("grams", "text").mapInArrow(run, "grams long, set array<long>")
 
 
 def _shared(rows: np.ndarray, columns: np.ndarray, n: int, width: int) -> np.ndarray:
     """How many shingles each pair of ``n`` sets shares."""
-    if n <= TILE and n * width <= 4 * TILE * COLUMNS:
-        dense = np.zeros((n, width), np.float32)
-        dense[rows, columns] = 1
-        return dense @ dense.T
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.int32)
     for left in range(0, width, COLUMNS):
-        tiles = [_tile(rows, columns, lo, left) for lo in range(0, n, TILE)]
-        for i, x in enumerate(tiles):
-            for j, y in enumerate(tiles[: i + 1]):
-                part = (x @ y.T)[: n - i * TILE, : n - j * TILE]
-                out[i * TILE : i * TILE + TILE, j * TILE : j * TILE + TILE] += part
-                if i != j:
-                    out[j * TILE : j * TILE + TILE, i * TILE : i * TILE + TILE] += part.T
-    return out
+        own = (columns >= left) & (columns < left + COLUMNS)
+        span = -(-min(COLUMNS, width - left) // 64)
+        bits = np.zeros((n, span), np.uint64)
+        at = columns[own] - left
+        np.bitwise_or.at(bits, (rows[own], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        for i in range(n - 1):
+            out[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int32)
+    return out + out.T
 
 
 def similar_pairs(values: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +98,7 @@ def similar_pairs(values: np.ndarray, sizes: np.ndarray, threshold: float) -> tu
     at = np.cumsum(common) - 1
     rows, columns = rows[common[columns]], at[columns[common[columns]]]
     both = _shared(rows, columns, n, int(common.sum()))
-    near = both * (1000 + per) >= np.float32(per) * (sizes[:, None] + sizes[None, :])
+    near = both * (1000 + per) >= per * (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(near, False)
     return spanning(near)
 

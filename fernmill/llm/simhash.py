@@ -328,7 +328,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     wanted = few(written(wanted, "wanted"))
     rows = docs.select(F.col(doc_id).alias("id"), key().alias("key"), F.col(text).alias("text"))
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key")))
-    sets = written(rows.select("grams", minhash.sets(F.col("text"), shingle).alias("set")).dropDuplicates(["grams"]), "shingle-sets")
+    sets = written(minhash.sets(rows.select("grams", "text"), shingle).dropDuplicates(["grams"]), "shingle-sets")
     near = written(minhash.similar(sets, groups, buckets.select("grams", "bucket"), similarity), "near")
     return first_of_classes(docs, marked, reps, components(near), doc_id, text)
 

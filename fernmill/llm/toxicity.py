@@ -49,6 +49,8 @@ STEM = 32
 #: An entry's log odds, and the likelihood ratio (G squared) of its counts, at least.
 MIN_GAIN, MIN_G2 = 2.0, 20.0
 THRESHOLD = 0.7
+#: Texts counted together.
+PIECE = 256
 SEED = 7
 
 _FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {"l": "i"})
@@ -155,12 +157,14 @@ def _entries(text: str | None) -> set[str]:
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts[label == 1].update(_entries(text.as_py()))
-        seen = sorted(counts[True] | counts[False])
-        numbers = (pa.array([counts[k][x] for x in seen], pa.int64()) for k in (True, False))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *numbers], names=["token", "t", "c"])
+        for at in range(0, len(batch), PIECE):
+            part = batch.slice(at, PIECE)
+            counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
+            for text, label in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                counts[label == 1].update(_entries(text.as_py()))
+            seen = list(counts[True].keys() | counts[False].keys())
+            numbers = (pa.array([counts[k][x] for x in seen], pa.int64()) for k in (True, False))
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *numbers], names=["token", "t", "c"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = TRAIN_ROWS) -> Model:

@@ -52,8 +52,8 @@ def test_similar_pairs_are_those_of_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 400, np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(300, 400)), replace=False), rng.integers(0, 1 << 64, 3, np.uint64)])) for _ in range(60)]
-    for tile, columns in ((1024, 8192), (16, 64)):
-        M.TILE, M.COLUMNS = tile, columns
+    for columns in (1 << 16, 128):
+        M.COLUMNS = columns
         i, j = M.similar_pairs(np.concatenate(sets), np.array([len(s) for s in sets]), 0.8)
         group = list(range(len(sets)))
         for a in range(len(sets)):
@@ -66,7 +66,7 @@ def test_similar_pairs_are_those_of_all_pairs():
             own = {got[a], got[b]}
             got = [min(own) if g in own else g for g in got]
         assert got == group and 1 < len(set(group)) < 60 and len(i) == 60 - len(set(group))
-    M.TILE, M.COLUMNS = 1024, 8192
+    M.COLUMNS = 1 << 16
 
 
 def test_large_groups_go_by_bucket_and_block(spark):
