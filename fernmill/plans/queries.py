@@ -525,10 +525,10 @@ _HOURS_SQL = """h AS (SELECT user_id, isodow(ts) - 1 AS d, hour(ts) AS o, (hour(
 
 
 def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening periods of each user, two hours from every signup of a weekday's first two."""
+    """Opening periods of each user, two hours from every signup."""
     e = _read(spark, sf_dir, "events").where("event_type = 'signup'")
     d, o = F.weekday("ts"), F.hour("ts")
-    e = e.select("user_id", d.alias("d"), o.alias("o"), F.row_number().over(Window.partitionBy("user_id", d).orderBy(o, "event_id")).alias("rn")).where("rn <= 2")
+    e = e.select("user_id", d.alias("d"), o.alias("o"), F.row_number().over(Window.partitionBy("user_id", d).orderBy(o, "event_id")).alias("rn"))
     clock = lambda h: F.struct(((F.col("d") + 1) % 7).alias("day"), h.alias("hour"), F.lit(None).cast("int").alias("minute"))
     period = F.struct("d", "rn", clock(F.col("o")).alias("open"), clock((F.col("o") + 2) % 24).alias("close"))
     rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(period)).alias("p"))
@@ -536,7 +536,7 @@ def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_HOURS_SQL}, k AS (SELECT * FROM h WHERE rn <= 2), g AS (SELECT user_id, d, string_agg(printf('%02d:00-%02d:00', o, c), ',' ORDER BY rn) AS r FROM k GROUP BY ALL)
+    f"""WITH {_HOURS_SQL}, k AS (SELECT * FROM h), g AS (SELECT user_id, d, string_agg(printf('%02d:00-%02d:00', o, c), ',' ORDER BY rn) AS r FROM k GROUP BY ALL)
 SELECT user_id, string_agg(list_extract(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], (d + 1)::INTEGER) || ' ' || r, '; ' ORDER BY d) AS hours FROM g GROUP BY user_id"""
 )
 def hours_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,8 +545,8 @@ def hours_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_HOURS_SQL}, k AS (SELECT *, d * 1440 + o * 60 AS s, d * 1440 + c * 60 + CASE WHEN c <= o THEN 1440 ELSE 0 END AS e FROM h WHERE rn <= 2), t AS (SELECT (isodow(TIMESTAMP '{NOW}') - 1) * 1440 + 15 * 60 + 30 AS m),
-f AS (SELECT user_id, arg_min(c, d * 10 + rn) FILTER (WHERE (m >= s AND m < e) OR (m + 10080 >= s AND m + 10080 < e)) AS cl, arg_min(o, rn) FILTER (WHERE d = 1) AS op FROM k, t GROUP BY user_id)
+    f"""WITH {_HOURS_SQL}, k AS (SELECT *, d * 1440 + o * 60 AS s, d * 1440 + c * 60 + CASE WHEN c <= o THEN 1440 ELSE 0 END AS e FROM h), t AS (SELECT (isodow(TIMESTAMP '{NOW}') - 1) * 1440 + 15 * 60 + 30 AS m),
+f AS (SELECT user_id, arg_min(c, d * 100000 + rn) FILTER (WHERE (m >= s AND m < e) OR (m + 10080 >= s AND m + 10080 < e)) AS cl, arg_min(o, rn) FILTER (WHERE d = 1) AS op FROM k, t GROUP BY user_id)
 SELECT user_id, CASE WHEN cl IS NOT NULL THEN 'Open until ' || (CASE WHEN cl % 12 = 0 THEN 12 ELSE cl % 12 END) || (CASE WHEN cl >= 12 THEN 'pm' ELSE 'am' END)
     WHEN op IS NOT NULL THEN 'Closed now, opens ' || (CASE WHEN op % 12 = 0 THEN 12 ELSE op % 12 END) || (CASE WHEN op >= 12 THEN 'pm' ELSE 'am' END) ELSE 'Closed today' END AS status FROM f"""
 )

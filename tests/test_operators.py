@@ -354,3 +354,47 @@ def test_jobs(spark):
     assert sorted(r.place_id for r in jobs.scan_area(area, known, lambda cell: json.dumps([place]), 0.012, 0.014).collect()) == ["far", "p"]
     with pytest.raises(RuntimeError, match="too few"):
         jobs.scan_area(area, known, lambda cell: 1 / 0, 0.012, 0.014)
+
+
+def counting(folder, answer):
+    """A call that leaves a file for each time it is asked."""
+
+    def call(asked):
+        import uuid
+
+        (folder / uuid.uuid4().hex).write_text(asked)
+        return answer(asked)
+
+    return call
+
+
+def test_each_page_is_asked_once(spark, tmp_path):
+    body = "<p>Happy hour $5 beers</p><p>Mon-Fri 3-6 pm</p>"
+    deal = {"summary": "$5 beers", "details": [], "applies_days": ["monday"], "applies_month_days": [], "time_window": "3-6 pm", "categories": ["drink"], "valid_through": "", "evidence": ["Happy hour $5 beers", "Mon-Fri 3-6 pm"], "confidence": 0.95}
+    pages = spark.createDataFrame([(f"k{i}", f"P{i}", f"https://p{i}.com", "high") for i in range(5)], "key string, name string, url string, confidence string")
+    none = spark.createDataFrame([], "key string, content_hash string, status string, deals array<string>")
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "model").mkdir()
+    got = jobs.extract(pages, none, counting(tmp_path / "pages", lambda u: body), counting(tmp_path / "model", lambda p: json.dumps({"deals": [deal]})), now())
+    assert got.count() == 5 and got.where("status = 'ok'").count() == 5
+    assert len(list((tmp_path / "pages").iterdir())) == 5 and len(list((tmp_path / "model").iterdir())) == 5
+
+
+def test_crawl_routes_and_firsts(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    deal = "struct<summary:string,details:array<string>>"
+    sources = spark.createDataFrame([("A", "X", "https://a.com", "", [("$8 tacos", ["Tuesday 3-6 pm"])]), ("B", "X", "https://b.com", "", []), ("C", "X", "https://c.com", "", None)], f"name string, city string, url string, notes string, deals array<{deal}>")
+    body = "<p>Happy hour $5 beers</p><p>Mon-Fri 3-6 pm</p><p>News of today and more</p><p>Happy hour $5 beers</p>"
+    made = jobs.crawl(sources, counting(tmp_path / "pages", lambda u: body), F.lit("2024-01-30T00:00:00Z")).collect()
+    assert sorted(x.read_text() for x in (tmp_path / "pages").iterdir()) == ["https://b.com", "https://c.com"]
+    assert [r.summary for r in made if r.restaurant == "A"] == ["$8 tacos"] and len({r.id for r in made}) == len(made)
+    assert any("Mon-Fri 3-6 pm" in (r.details or []) for r in made if r.restaurant == "B")
+
+
+def test_the_last_cell_wins(spark):
+    area = spark.createDataFrame([("Irvine", 33.0, 33.03, -117.0, -117.0)], "city string, south double, north double, west double, east double")
+    known = spark.createDataFrame([], "place_id string, city string, name string")
+    place = lambda cell: json.dumps([json.dumps({"id": "p", "displayName": {"text": f"N{100 - json.loads(cell)['latitude']:.2f}"}, "formattedAddress": "1 A St, Irvine, CA"})])
+    got = jobs.scan_area(area, known, place, 0.012, 0.014).collect()
+    names = sorted(float(100 - r["latitude"]) for r in discovery.grid(area, 0.012, 0.014).collect())
+    assert [r.name for r in got] == [f"N{names[0]:.2f}"]  # the smallest name, from the northernmost cell

@@ -3,7 +3,9 @@
 import pytest
 from helpers import DATA, duck_rows, spark_rows
 
-from fernmill.plans.queries import QUERIES, SQL
+from fernmill.plans import queries, stated
+
+QUERIES, SQL = queries.QUERIES | stated.QUERIES, queries.SQL | stated.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -22,3 +24,13 @@ def test_entry_module(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_entry_module_without_the_libraries_of_the_subpackage():
+    """A library that only the training-data part needs may be missing: the other queries still import."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['tiktoken'] = None; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'group_rank' in e.queries() and 'op9_toxicity' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
