@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import urlparse
+from urllib.parse import quote, urljoin, urlparse, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -150,3 +150,28 @@ def brand_color(value: Column) -> Column:
 
 def is_direct_visual(url: Column) -> Column:
     return F.coalesce(url.rlike(rx(fixed.DIRECT_VISUAL)), F.lit(False))
+
+
+def _public(url: str) -> bool:
+    """Whether an address is on the public web by its name; names are not looked up."""
+    parts = urlsplit(url)
+    name = (parts.hostname or "").lower()
+    local = not name or name == "localhost" or name.endswith(".local")
+    try:
+        return parts.scheme in ("http", "https") and not local and ipaddress.ip_address(name).is_global
+    except ValueError:
+        return parts.scheme in ("http", "https") and not local
+
+
+def asset_address(base: str, value: str, srcset: bool = False) -> str | None:
+    """The address an asset reference stands for, encoded and without fragment; null if it is unsafe or inline."""
+    bare = value.split(",")[0]
+    bare = (bare.split(" ")[0] if srcset else " ".join(bare.split())).strip("'\"").replace("\\/", "/")
+    if not bare or bare.partition(":")[0] in ("data", "blob", "javascript"):
+        return None
+    try:
+        parts = urlsplit(urljoin(base, bare))
+        url = urlunsplit((parts.scheme, parts.netloc, quote(parts.path, safe="/%:@"), quote(parts.query, safe="=&%/:,+"), ""))
+        return url if _public(url) else None
+    except ValueError:
+        return None

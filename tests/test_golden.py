@@ -230,5 +230,5 @@ def test_html_functions(spark):
     assert got["icons"] == ["https://example.com/logo.svg", "https://example.com/a.png", "https://example.com/og.jpg", "https://example.com/i.png", "https://example.com/favicon.ico"]
     assert got["assets"][0]["url"] == "https://example.com/happy-hour-menu.jpg" and got["assets"][0]["score"] == 15
     assert got["colors"] == ["#123"]
-    assert html.absolute_asset(base, r"\/\/cdn.example.com/Happy Hour Menu.jpg") == "https://cdn.example.com/Happy%20Hour%20Menu.jpg"
+    assert urls.asset_address(base, r"\/\/cdn.example.com/Happy Hour Menu.jpg") == "https://cdn.example.com/Happy%20Hour%20Menu.jpg"
     assert html.lines_of(None) == [] and html.sitemap_locations("<broken") == []
