@@ -68,19 +68,6 @@ def value_label(summary: Column, details: Column, evidence: Column, text: Column
     return F.coalesce(*found, *said)
 
 
-def value_of(summary: str, details: list[str], evidence: list[str], text: str) -> str | None:
-    """:func:`value_label` for one offer, where the greedy merge needs it row by row."""
-    money = lambda x: f"${int(Decimal(x))}" if Decimal(x) == int(Decimal(x)) else f"${Decimal(x):.2f}"
-    for pattern, template in VALUE_RULES:
-        if m := re.search(pattern, text, re.I):
-            return _SLOT.sub(lambda s, m=m: money(m[int(s[2])]) if s[1] else m[int(s[2])], template)
-    for part in (summary, " ".join(details), " ".join(evidence)):
-        cleaned = re.sub(fixed.COMPARISON_PRICE, "", part, flags=re.I)
-        if prices := sorted({Decimal(x) for x in re.findall(PRICE, cleaned)}):
-            return money(prices[0]) if len(prices) == 1 else f"{money(prices[0])}-{money(prices[-1])}"
-    return None
-
-
 def _any(tags: Column, *wanted: str) -> Column:
     return F.arrays_overlap(strings(tags), F.array(*map(F.lit, wanted)))
 

@@ -48,12 +48,6 @@ def test_value_label(spark):
     )
 
 
-def test_value_label_agrees_row_by_row(spark):
-    texts = ["$4.20 pints and $6 cocktails", "10% off", "BOGO tacos", "was $18 now $7", "$1.99", "$8 - 12 plates", "from $ 7.50", "nothing"]
-    got = values(spark, [(x,) for x in texts], "x string", y=label(C("x")))
-    assert [r["y"] for r in got] == [prices.value_of(x, [], [], x) for x in texts]
-
-
 def test_value_label_falls_back_to_details_and_evidence(spark):
     rows = [("Lunch", ["$9 bowl"], ["$3"]), ("Lunch", [], ["$3 soup", "$5 soup"])]
     text = T.deal_text(C("s"), F.array().cast(LIST), F.array().cast(LIST))

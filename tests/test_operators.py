@@ -57,8 +57,9 @@ def test_duplicate_pairs_agree_with_the_row_test(spark):
     rows = [offer(i, s) for i, s in enumerate(["$9 red ring", "red ring $9", "Mon $9 red ring", "Tue $9 red ring", "BOGO hat", "bogo hat!", "ring"])]
     df = O.annotate(spark.createDataFrame(rows, OFFER).withColumns({"tags": F.array().cast("array<string>"), "applies_days": F.array().cast("array<string>")}))
     got = {(r.left, r.right) for r in dedupe.duplicate_pairs(df, "id").select("left", "right").collect()}
-    marks = {r.id: dedupe._marks({"summary": r.summary, "details": [], "source_evidence": [], "time_window": None}) for r in df.collect()}
-    assert got == {(a, b) for a in marks for b in marks if a < b and dedupe._same(marks[a], marks[b])}
+    marked = dedupe.marks(df).select("id", "m").collect()
+    marks = {r.id: dedupe._read_marks(r.m.asDict()) for r in marked}
+    assert got and got == {(a, b) for a in marks for b in marks if a < b and marks[a].agrees(marks[b])}
 
 
 def test_consolidate_tiers(spark):
