@@ -46,6 +46,8 @@ EXCEPTIONS = [
 TRAIN_ROWS = 20_000
 #: Letters of the longest stems; words are entries whatever their length.
 STEM = 32
+#: Toxic rows that an entry needs at least.
+MIN_ROWS = 3
 #: An entry's log odds, and the likelihood ratio (G squared) of its counts, at least.
 MIN_GAIN, MIN_G2 = 2.0, 20.0
 THRESHOLD = 0.7
@@ -155,16 +157,25 @@ def _entries(text: str | None) -> set[str]:
     return own | {w[:k] + "*" for w in own for k in range(2, min(len(w), STEM) + 1)}
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), PIECE):
-            part = batch.slice(at, PIECE)
-            counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
-            for text, label in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                counts[label == 1].update(_entries(text.as_py()))
-            seen = list(counts[True].keys() | counts[False].keys())
-            numbers = (pa.array([counts[k][x] for x in seen], pa.int64()) for k in (True, False))
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *numbers], names=["token", "t", "c"])
+def _token_rows(wanted: frozenset[str] | None):
+    """(token, n): in how many texts each entry stands; of the wanted ones only, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), PIECE):
+                counts: Counter[str] = Counter()
+                for text in batch.column(0).slice(at, PIECE):
+                    own = _entries(text.as_py())
+                    counts.update(own if wanted is None else own & wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+
+    return run
+
+
+def _counted(rows: DataFrame, least: int, wanted: frozenset[str] | None = None) -> dict[str, int]:
+    """Texts that hold each entry, if at least so many; bounded by the sample's words."""
+    found = rows.select("text").mapInArrow(_token_rows(wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r["token"]: r["n"] for r in found.where(F.col("n") >= least).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = TRAIN_ROWS) -> Model:
@@ -186,14 +197,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad:
         return Model({}, [-3.0, 0.0, 0.0, 0.0])
-    counts = rows.mapInArrow(_token_rows, "token string, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    gain = F.log(((F.col("t") + 0.5) / (bad + 1)) / ((F.col("c") + 0.5) / (good + 1)))
-    share = bad / (bad + good)
-    excess = F.col("t") * F.log(F.col("t") / (share * (F.col("t") + F.col("c"))))
-    excess += F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((1 - share) * (F.col("t") + F.col("c"))))).otherwise(0.0)
-    best = counts.where("t >= 3").select("token", gain.alias("gain"), (2 * excess).alias("g2")).where((F.col("gain") > MIN_GAIN) & (F.col("g2") > MIN_G2))
-    # Bounded by the sample's significant words and stems.
-    model = Model({r["token"]: round(r["gain"], 4) for r in best.orderBy("token").collect()})
+    # Only what toxic rows have thrice can be an entry, so only that is looked for in the others.
+    toxic = _counted(rows.where("toxic = 1"), MIN_ROWS)
+    others = _counted(rows.where("toxic = 0"), 1, frozenset(toxic))
+    share, lexicon = bad / (bad + good), {}
+    for token, t in sorted(toxic.items()):
+        c = others.get(token, 0)
+        gain = math.log(((t + 0.5) / (bad + 1)) / ((c + 0.5) / (good + 1)))
+        g2 = 2 * (t * math.log(t / (share * (t + c))) + (c * math.log(c / ((1 - share) * (t + c))) if c else 0.0))
+        if gain > MIN_GAIN and g2 > MIN_G2:
+            lexicon[token] = round(gain, 4)
+    model = Model(lexicon)
     fitted = rows.mapInArrow(_feature_rows(model), "f1 double, f2 double, f3 double, toxic int").toPandas()  # max_rows rows at most
     model.coef = _calibrate(fitted[["f1", "f2", "f3"]].to_numpy(), (fitted["toxic"] == 1).to_numpy().astype(float))
     return model
