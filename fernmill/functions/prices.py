@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
