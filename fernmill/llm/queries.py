@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmill.llm import decontaminate, html_text, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
+from fernmill.llm import conversations, decontaminate, html_text, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule: its faults and the cheapest repair."""
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
@@ -99,9 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_conversations": op11_conversations,
 }
 SQL: dict[str, str] = {
     "op4_warc": warc.SQL,
     "op5_quality": quality.SQL,
     "op7_mixing": mixing.SQL,
+    "op11_conversations": conversations.SQL,
 }
