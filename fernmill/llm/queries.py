@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmill.llm import conversations, decontaminate, html_text, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
+from fernmill.llm import conversations, decontaminate, hard_negatives, html_text, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives that score just below each anchor's positives."""
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
@@ -105,10 +110,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_conversations": op11_conversations,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 SQL: dict[str, str] = {
     "op4_warc": warc.SQL,
     "op5_quality": quality.SQL,
     "op7_mixing": mixing.SQL,
     "op11_conversations": conversations.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from functools import cache
 
@@ -96,12 +97,11 @@ def test_equals_a_plain_search(spark, block_bits):
 
 def test_rows_that_repeat_are_one_step(spark):
     rows = [(1, 0, "user", "Hi.")] * 3_000 + [(1, 1, "assistant", "Ho.")] * 2 + [(1, 1, "assistant", "")] * 2_000
-    want = (0, 2_000, 3_000, 0, 4_999 + 1 - 1 - 0, 3 * 5_000, None, hashlib.sha256(b"user:Hi.\nassistant:Ho.").hexdigest())
-    found = got(spark, rows)[1]
-    assert found[:4] == want[:4] and found[5] == want[5] and found[7] == want[7]
-    assert found[4] == 5_000 and sorted(found[6]) == sorted("K" * 2 + "D" * 5_000)
+    _, blank, duplicate, truncated, illegal, cost, audit, sha = got(spark, rows)[1]
+    assert (blank, duplicate, truncated, illegal, cost) == (2_000, 3_000, 0, 5_000, 15_000)
+    assert sorted(audit) == sorted("KK" + "D" * 5_000) and sha == hashlib.sha256(b"user:Hi.\nassistant:Ho.").hexdigest()
     # The last row carries the insert that its copies' deletes go before.
-    assert got(spark, [(1, 0, "user", "Hi.")] * 3)[1][6:] == ("DDD", hashlib.sha256().hexdigest()) or got(spark, [(1, 0, "user", "Hi.")] * 3)[1][6] == "KDDI"
+    assert got(spark, [(1, 0, "user", "Hi.")] * 3)[1][6] == "KDDI"
 
 
 def test_a_conversation_over_many_blocks(spark):
@@ -109,8 +109,6 @@ def test_a_conversation_over_many_blocks(spark):
     rows = [(7, t, rng.choice(["user", "assistant", "system"]), f"{t}" + rng.choice([".", ""])) for t in range(400)]
     whole = got(spark, rows)
     assert got(spark, rows, block_bits=2) == whole
-    import sys
-
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(20_000)
     try:
