@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmill.llm import conversations, decontaminate, hard_negatives, html_text, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
+from fernmill.llm import conversations, decontaminate, hard_negatives, html_text, licenses, mixing, pii, quality, secrets, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontaminate": op2_decontaminate,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_conversations": op11_conversations,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_licenses": op13_licenses,
 }
 SQL: dict[str, str] = {
     "op4_warc": warc.SQL,
@@ -118,4 +124,5 @@ SQL: dict[str, str] = {
     "op7_mixing": mixing.SQL,
     "op11_conversations": conversations.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_licenses": licenses.SQL,
 }
