@@ -25,6 +25,7 @@ VISUAL_VERSION = 5
 LOGO_VERSION = 3
 MIN_TEXT_CONFIDENCE = 0.82
 MIN_VISUAL_CONFIDENCE = 0.9
+LEAST_ASSET, MOST_ASSET = 2_000, 4_000_000
 NEW_DEAL_DAYS = 7
 EARTH_MILES = 3958.8
 

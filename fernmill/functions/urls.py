@@ -128,6 +128,28 @@ def _magic(data: Column, types: list[str]) -> Column:
     return F.coalesce(*tests, F.when(head.rlike("^52494646.{8}57454250"), F.lit("image/webp")))
 
 
+def _first_bytes(content: bytes) -> str | None:
+    """A type by the first bytes, in a Python worker."""
+    head = content[:12].hex().upper()
+    if content.startswith(b"RIFF") and content[8:12] == b"WEBP":
+        return "image/webp"
+    return next((mime for mime, marks in fixed.MAGIC.items() if any(head.startswith(m) for m in marks.split())), None)
+
+
+def picture_kind(content: bytes, declared: str) -> str | None:
+    """The file extension of a picture of at least 32 bytes, in a Python worker; see :func:`image_extension`."""
+    found = _first_bytes(content)
+    known = found if found and found != "application/pdf" else declared.partition(";")[0].strip().lower()
+    return fixed.EXTENSIONS.get(known) if len(content) >= 32 else None
+
+
+def visual_kind(content: bytes, declared: str) -> str | None:
+    """The type of a picture or PDF of a size that can be looked at, in a Python worker; see :func:`sniff_type`."""
+    mime = declared.partition(";")[0].strip().lower()
+    kind = mime if mime in fixed.VISUAL_TYPES else _first_bytes(content)
+    return kind if kind in fixed.VISUAL_TYPES and fixed.LEAST_ASSET <= len(content) <= fixed.MOST_ASSET else None
+
+
 def map_url(name: Column, address: Column, known: Column) -> Column:
     search = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), F.url_encode(F.trim(F.concat_ws(" ", name, address))))
     return F.coalesce(some_text(known), search)

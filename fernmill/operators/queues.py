@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from fernmill.functions import dates, fixed
 from fernmill.functions.fixed import rx
+from fernmill.sources.stored import stored
 
 RENDERS_PER_RUN = 8
 TEXT_PAGES, VISUAL_PAGES, VISUAL_CANDIDATES = 30, 4, 16
 SITES, LOGOS = 12, 20
-ASSETS_PER_PAGE, PAGE_BYTES = 3, 11 * 1024 * 1024
+ASSETS_PER_PAGE, PAGE_BYTES = 3, 11_000_000
 REFRESH_LOGO_DAYS, RETRY_LOGO_DAYS = 90, 14
 
 
@@ -30,19 +31,39 @@ def fair(rows: DataFrame, who: list[str], order: list[Column | str]) -> DataFram
     return rows.withColumn("turn", F.when(n > 1, 1).otherwise(0))
 
 
+def ranked(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``rows`` with ``rank``, their place from 0 in a total order, without one task that sorts them all.
+
+    Rows are range-partitioned and sorted there; a place is one's number in its
+    partition plus the rows of the partitions before. Rows that tie in ``order``
+    fall in any order. The sorted rows are written to the shared folder, which
+    fixes them.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(placed, "ranked").withColumn("_part", F.shiftright("_at", 33)).withColumn("_within", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))  # as many rows as there are partitions
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_rows")
+    return placed.join(F.broadcast(counts), "_part").withColumn("rank", F.col("_before") + F.col("_within")).drop("_part", "_within", "_at", "_before")
+
+
 def rotated(rows: DataFrame, first: Column, order: list[Column | str], day: Column, step: int = RENDERS_PER_RUN, parts: Column | None = None) -> DataFrame:
     """``rows`` with ``place``: those that come ``first`` in order, then the rest turned by the day.
 
-    The queue's length is counted over ``parts`` (all rows by default): a work
-    queue is as long as the feed has pages.
+    All rows are one queue, ranked over range partitions; or one for each value of
+    ``parts``, each as short as a task can sort.
     """
-    parts = parts if parts is not None else F.lit(1)
-    ordinary = ~first
+    ordinary = F.coalesce(~first, F.lit(True))
+    turned = dates.ordinal_day(day) * step
+    if parts is None:
+        queue = ranked(rows.withColumn("_ordinary", ordinary), ["_ordinary", *order])
+        head, n = queue.agg(F.count_if(~F.col("_ordinary")), F.count_if("_ordinary")).first()
+        at = F.col("rank") - head
+        return queue.withColumn("place", F.when(F.col("_ordinary"), head + F.pmod(at - turned % max(n, 1), F.lit(max(n, 1)))).otherwise(F.col("rank"))).drop("_ordinary", "rank")
     own = Window.partitionBy(parts, ordinary)
     n, at = F.count("*").over(own), F.row_number().over(own.orderBy(*order)) - 1
-    offset = (dates.ordinal_day(day) * step) % n
-    head = F.count_if(first).over(Window.partitionBy(parts))
-    return rows.withColumn("place", F.when(first, at).otherwise(head + F.pmod(at - offset, n)))
+    head = F.count_if(~ordinary).over(Window.partitionBy(parts))
+    return rows.withColumn("place", F.when(ordinary, head + F.pmod(at - turned % n, n)).otherwise(at))
 
 
 def top(rows: DataFrame, order: list[Column | str], most: int) -> DataFrame:
@@ -50,6 +71,12 @@ def top(rows: DataFrame, order: list[Column | str], most: int) -> DataFrame:
     return rows.orderBy(*order).limit(most)
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows of each group; tasks send no more of a group than that."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
+
+
 def split_quota(rows: DataFrame, who: list[str], order: list[Column | str], most: int) -> DataFrame:
     """``rows`` with ``now``: whether each is among its group's first ``most``."""
     n = F.row_number().over(Window.partitionBy(*who).orderBy(*order))
@@ -113,11 +140,16 @@ def logo_queue(sites: DataFrame, now: Column, most: int = LOGOS, force: bool = F
 
 
 def route(fetched: DataFrame, visual: DataFrame, previous: DataFrame, key: str = "key") -> DataFrame:
-    """What becomes of each page: visual result, cached visual, reusable text, pending or failed, in that order."""
-    v = visual.select(key, F.lit(True).alias("_visual"))
-    p = previous.select(key, *(F.col(c).alias(f"_{c}") for c in ("content_hash", "status", "fetch_mode", "report_issue")))
-    rows = fetched.join(v, key, "left").join(p, key, "left")
+    """What becomes of each page: a new visual result, the known visual one, the known text, pending or failed, in that order.
+
+    ``fetched`` has key, context, content_hash, n_assets and report_issue,
+    ``visual`` the keys with a result, ``previous`` content_hash, status,
+    fetch_mode, visual_status and report_issue.
+    """
+    v = visual.select(key, F.lit(True).alias("_visual")).distinct()
+    known = ("content_hash", "status", "fetch_mode", "visual_status", "report_issue")
+    rows = fetched.join(v, key, "left").join(previous.select(key, *(F.col(c).alias(f"_{c}") for c in known)), key, "left")
     reuse = reusable_text(F.col("content_hash"), F.col("_content_hash"), F.col("_status"), F.col("report_issue"), F.col("_report_issue"))
-    cached = (F.col("_fetch_mode") == "visual") & (F.col("_status") == "ok") & (F.coalesce("context", F.lit("")) == "")
-    way = F.when(F.col("_visual"), "visual").when(cached, "cached_visual").when(reuse, "cached_text").when(F.coalesce("context", F.lit("")) != "", "pending").otherwise("fetch_failed")
-    return rows.withColumn("route", way).drop("_visual", "_content_hash", "_status", "_fetch_mode", "_report_issue")
+    shown = (F.col("n_assets") > 0) & (F.col("_fetch_mode") == "visual") & F.col("_visual_status").isin("verified", "no_deals")
+    way = F.when(F.col("_visual"), "visual").when(shown, "cached_visual").when(reuse, "cached_text").when(F.coalesce("context", F.lit("")) != "", "pending").otherwise("fetch_failed")
+    return rows.withColumn("route", way).drop("_visual", *(f"_{c}" for c in known))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,49 @@ def test_duplicate_pairs_agree_with_the_row_test(spark):
     assert got and got == {(a, b) for a in marks for b in marks if a < b and marks[a].agrees(marks[b])}
 
 
+def _offers(seed, n, words="red ring blue hat old shoe new coat".split()):
+    rng = random.Random(seed)
+    lead = ["$9 ", "$9 ", "BOGO ", "", "20% off "]
+    return [offer(i, rng.choice(lead) + " ".join(rng.sample(words, rng.randrange(1, 5))) + rng.choice(["", "", " Mon", " Tue"]), window=rng.choice([None, None, "3 PM - 6 PM", "9 PM - 11 PM"]), restaurant=rng.choice("AAAAB"), evidence=["x"] * rng.randrange(3)) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_split_places_merge_to_the_same_rows(spark, seed):
+    df = spark.createDataFrame(_offers(seed, 120), OFFER)
+    rows = lambda **o: sorted(map(repr, dedupe.greedy_merge(df, **o).collect()))
+    assert rows(place_rows=0) == rows(place_rows=40) == rows()
+    assert len(rows()) < 100
+
+
+def test_prefixes_meet_every_pair(spark):
+    df = O.annotate(spark.createDataFrame(_offers(3, 150), OFFER).withColumns({"tags": F.array().cast("array<string>"), "applies_days": F.array().cast("array<string>")}))
+    got = {(r.left, r.right) for r in dedupe.duplicate_pairs(df, "id").select("left", "right").collect()}
+    rows = {r.id: (r.restaurant, dedupe._read_marks(r.m.asDict())) for r in dedupe.marks(df).select("id", "restaurant", "m").collect()}
+    assert got == {(a, b) for a, (p, x) in rows.items() for b, (q, y) in rows.items() if a < b and p == q and x.agrees(y)} and got
+    met = dedupe.candidates(dedupe.marks(df).select("id", "restaurant", "city", "m")).select("left", "right").distinct().count()
+    shared = sum(a < b and p == q and bool(set(x.handles()) & set(y.handles())) for a, (p, x) in rows.items() for b, (q, y) in rows.items())
+    assert len(got) <= met < shared  # fewer pairs meet than share a word
+
+
+def test_names_meet_by_their_beginnings(spark):
+    known = spark.createDataFrame([(1, "Joe's Pizza", "X"), (2, "Joe's", "Y"), (3, "Joe's Pizza Palace", "X"), (4, "Uno", "X"), (5, "Uno", "X")], "place_id int, name string, city string")
+    asked = [(1, "joe's pizza", "x"), (2, "Joes Pizza Palace", "X"), (3, "Joe's Pizza Grill", "X"), (4, "Joe's Bar", "Y"), (5, "Uno", "X"), (6, "Joe's Pizzeria", "X"), (7, "", "X"), (8, None, "X")]
+    got = discovery.match_reports(spark.createDataFrame([(*a, "s") for a in asked], "issue int, name string, city string, source string"), known)
+    assert sorted((r.issue, r.place_id) for r in got.collect()) == [(1, 1), (3, 1), (4, 2)]
+
+
+def test_one_queue_is_ranked_over_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(40), rng.random() < 0.1) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, k int, r boolean").repartition(7)
+    ranked = {r.i: r["rank"] for r in queues.ranked(df, [F.desc("k"), F.col("i")]).collect()}
+    assert [i for i, _ in sorted(ranked.items(), key=lambda x: x[1])] == [i for i, _, _ in sorted(rows, key=lambda x: (-x[1], x[0]))] and sorted(ranked.values()) == list(range(900))
+    day = F.to_date(F.lit("2024-01-30"))
+    whole = {r.i: r.place for r in queues.rotated(df, F.col("r"), ["k", "i"], day).collect()}
+    assert whole == {r.i: r.place for r in queues.rotated(df, F.col("r"), ["k", "i"], day, parts=F.lit(1)).collect()}
+    assert queues.ranked(df.limit(0), ["k"]).count() == 0 and queues.rotated(df.limit(0), F.col("r"), ["k"], day).count() == 0
+
+
 def test_consolidate_tiers(spark):
     schema = "page string, ord int, summary string, details array<string>, applies_days array<string>, applies_month_days array<int>, time_window string, categories array<string>, valid_through string, source_evidence array<string>, ai_confidence double"
     when = ["MON-FRI 3-6:30 SAT + SUN 1-5"]
