@@ -6,10 +6,11 @@ The ratio of text to tags of each block is smoothed by a Gaussian, less across
 the bounds of elements, and clustered against a threshold. The least element
 around the clustered blocks is the content region; its blocks are the text, and
 where it is the page's body, only those of parts with a cluster and what
-stands between them. Elements whose tag says that they are a menu, form or
-footer, and containers that name themselves as adverts, comments and the like,
-form no cluster and are left out of the region; an article or main element
-around the region is kept whole.
+stands between them. Elements whose tag says that they are a menu or footer form no
+cluster and are left out of the region. Nor do forms, and containers that name
+themselves as adverts, comments and the like, unless they hold most of the page's
+text and little stands beside them: names never overrule where the text is. An
+article or main element around the region is kept whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("head title script style noscript template svg iframe object canvas audio video map select textarea datalist".split())
-ASIDE = set("nav aside footer form button menu dialog search fieldset".split())
+ASIDE = set("nav aside footer button menu dialog search".split())
+FORMS = {"form", "fieldset"}
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROOTS = set("html body main article".split())
 #: Elements whose end is implied by a sibling's start, with what bounds the search for one.
@@ -42,45 +44,49 @@ NOT_ARTICLE = set(
     "comment comments commentlist replies respond disqus share sharing newsletter subscribe subscription signup signin login searchbox pagination pager contentinfo complementary dialog".split()
 )
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_UNDONE = {"no", "has", "with", "without"}
+_UNDONE = {"no", "has", "with", "without", "off"}
+_REPLIES = set("comment comments commentlist replies respond disqus".split())
 
 #: Width of the Gaussian in blocks, what a bound of elements leaves of it, and the threshold as a share of the ratios' deviation.
 SIGMA, ACROSS, CUT = 1.0, 0.1, 0.5
 #: Share of the main container's text, or of its mean smoothed ratio, that others need for their clusters to count.
 MASS, LIKE = 0.15, 0.4
+#: What stands beside a container that names itself as something else, as a share of its text, where it is the page's text all the same; the same for comments.
+BESIDE, BESIDE_REPLIES = 0.25, 0.05
 #: Characters fed to the parser at a time.
 PIECE = 1 << 16
 
 
-def _set_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in ROOTS:
-        return False
-    for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if not value:
-            continue
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id", "role") and tag in CONTAINERS:
-            for part in value.split():
-                own = [w.lower() for w in _SPLIT.split(part)]
-                if not NOT_ARTICLE.isdisjoint(own) and _UNDONE.isdisjoint(own):
-                    return True
-    return False
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
+
+
+def _named(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words by which a container names itself as no part of an article."""
+    found: set[str] = set()
+    if tag in CONTAINERS:
+        for name, value in attrs:
+            if name in ("class", "id", "role") and value:
+                for part in value.split():
+                    own = {w.lower() for w in _SPLIT.split(part)}
+                    if _UNDONE.isdisjoint(own):
+                        found |= NOT_ARTICLE & own
+    return found
 
 
 class _Blocks(HTMLParser):
-    """Collects (text, tags, linked characters, element, set aside) for each block."""
+    """Collects (text, tags, linked characters, element, set aside, container that names itself, within an article) for each block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parents = [-1]
         self.tags = ["#"]
-        # (tag, element, unseen, set aside, header without article, within an article)
-        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = [("#", 0, False, False, False, False)]
+        # (tag, element, unseen, set aside, header without article, within an article, container that names itself)
+        self.stack: list[tuple[str, int, bool, bool, bool, bool, int]] = [("#", 0, False, False, False, False, -1)]
         self.open: Counter[str] = Counter()
-        self.blocks: list[tuple[str, int, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int, bool, int, bool]] = []
+        self.outer: list[int] = []  # of containers that name themselves, the one around each
+        self.replies: list[bool] = []  # whether one names itself as comments
         self.parts: list[str] = []
         self.inline = self.linked = self.anchors = 0
 
@@ -88,8 +94,8 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, element, _, aside, header, _ = self.stack[-1]
-                self.blocks.append((text, self.inline, min(self.linked, len(text)), element, aside or header))
+                _, element, _, aside, header, article, named = self.stack[-1]
+                self.blocks.append((text, self.inline, min(self.linked, len(text)), element, aside or header, named, article))
             self.parts = []
         self.inline = self.linked = 0
 
@@ -105,7 +111,7 @@ class _Blocks(HTMLParser):
         if tag not in BLOCK and tag not in UNSEEN and tag not in ASIDE:
             self.inline += 1
             self.anchors += tag == "a"
-            if _set_aside(tag, attrs):
+            if _hidden(attrs) or _named(tag, attrs):
                 self._push(tag, attrs)
             return
         self.flush()
@@ -117,14 +123,20 @@ class _Blocks(HTMLParser):
         self._push(tag, attrs)
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        _, parent, unseen, aside, header, article = self.stack[-1]
+        _, parent, unseen, aside, header, article, named = self.stack[-1]
         self.parents.append(parent)
         self.tags.append(tag)
         self.open[tag] += 1
-        if tag in HEADINGS and header and article:
+        if tag in HEADINGS and header and self.open["article"]:
             header = False  # an article's own header holds its title
-        aside = aside or tag in ASIDE or tag not in ("header", *HEADINGS) and _set_aside(tag, attrs)
-        self.stack.append((tag, len(self.tags) - 1, unseen or tag in UNSEEN, aside, header or tag == "header", article or tag == "article"))
+        if tag not in ROOTS and tag not in ("header", *HEADINGS):
+            aside = aside or tag in ASIDE or _hidden(attrs)
+            says = _named(tag, attrs)
+            if tag in FORMS or says:
+                self.outer.append(named)
+                self.replies.append(not _REPLIES.isdisjoint(says))
+                named = len(self.outer) - 1
+        self.stack.append((tag, len(self.tags) - 1, unseen or tag in UNSEEN, aside, header or tag == "header", article or tag in ("article", "main"), named))
 
     def _close(self, tags: set[str], bound: set[str]) -> None:
         if not any(self.open[t] for t in tags):
@@ -194,19 +206,46 @@ def _home(element: int, parents: list[int], tags: list[str]) -> int:
     return element if tags[element] in ROOTS or tags[element] in ("#", "div", "section") else parents[element]
 
 
+def _kept(parser: _Blocks) -> list[tuple]:
+    """Blocks that are not set aside, by their tag or by the name of a container that isn't the page's text.
+
+    Of containers that name themselves only those around each other can hold more
+    than half of the text; such a one counts as any other, if no article stands
+    beside it and what does is little.
+    """
+    shown = [b for b in parser.blocks if not b[4]]
+    own, article = [0] * len(parser.outer), [False] * len(parser.outer)
+    beside, outside = 0, False
+    for text, _, linked, _, _, named, within in shown:
+        if named >= 0:
+            own[named] += len(text) - linked
+            article[named] |= within
+        else:
+            beside += len(text) - linked
+            outside |= within
+    whole, total = own[:], beside + sum(own)
+    for k in range(len(own) - 1, -1, -1):  # those inside come later
+        if parser.outer[k] >= 0:
+            whole[parser.outer[k]] += whole[k]
+    counts = [False] * len(own)
+    for k, around in enumerate(parser.outer):
+        if 2 * whole[k] > total and (around < 0 or counts[around]) and not outside and beside < (BESIDE_REPLIES if parser.replies[k] else BESIDE) * whole[k]:
+            counts[k] = True
+            beside, outside = beside + own[k], article[k]
+    return [b for b in shown if b[5] < 0 or counts[b[5]]]
+
+
 def _region(homes: list[int], parents: list[int], tags: list[str]) -> int:
     """The least element around all given ones, or the article or main element around that."""
-    paths = []
-    for home in set(homes):
-        path = [home]
-        while parents[path[-1]] >= 0:
-            path.append(parents[path[-1]])
-        paths.append(path[::-1])
-    best = 0
-    for step in zip(*paths):
-        if len(set(step)) > 1:
+    holds, wanted, best = [0] * len(parents), set(homes), 0
+    for home in wanted:
+        holds[home] = 1
+    for at in range(len(parents) - 1, -1, -1):  # children come after their parents
+        if holds[at] == len(wanted):
+            best = at
             break
-        best = step[0]
+        if parents[at] >= 0:
+            holds[parents[at]] += holds[at]
     at, outer = best, -1
     while at >= 0:
         if tags[at] in ("article", "main") and tags[outer] != "article":
@@ -215,12 +254,14 @@ def _region(homes: list[int], parents: list[int], tags: list[str]) -> int:
     return outer if outer >= 0 else best
 
 
-def _branch(element: int, region: int, parents: list[int]) -> int:
-    """The region's child that an element stands in, the region itself if none, -1 outside of it."""
-    last = region
-    while element >= 0 and element != region:
-        last, element = element, parents[element]
-    return last if element == region else -1
+def _branches(region: int, parents: list[int]) -> list[int]:
+    """For each element the region's child that it stands in, the region itself if none, -1 outside of it."""
+    out = [-1] * len(parents)
+    out[region] = region
+    for at in range(region + 1, len(parents)):
+        around = parents[at]
+        out[at] = at if around == region else out[around]
+    return out
 
 
 def _complete(html: str) -> str:
@@ -247,18 +288,15 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     parents, tags = parser.parents, parser.tags
-    blocks = [b for b in parser.blocks if not b[4]]
+    blocks = _kept(parser)
     if not blocks:
         return ""
-    ratio = np.array([(len(text) - linked) / (1 + inner) for text, inner, linked, _, _ in blocks])
+    ratio = np.array([(len(b[0]) - b[2]) / (1 + b[1]) for b in blocks])
     homes = [_home(b[3], parents, tags) for b in blocks]
     seeds = _clusters(ratio, np.array(homes), np.array([len(b[0]) for b in blocks]))
     region = _region([h for h, seed in zip(homes, seeds.tolist(), strict=True) if seed], parents, tags)
-    memo: dict[int, int] = {}
-    for h in homes:
-        if h not in memo:
-            memo[h] = _branch(h, region, parents)
-    branch = np.array([memo[h] for h in homes])
+    branches = _branches(region, parents)
+    branch = np.array([branches[h] for h in homes])
     own = np.flatnonzero(branch >= 0)
     if tags[region] not in ("article", "main"):
         # Parts of the body without a cluster go, unless they stand between clusters and are no links.

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,40 @@ def test_pieces_change_nothing(spark, monkeypatch):
     whole = [H.main_text(x) for x in rows]
     monkeypatch.setattr(H, "PIECE", 7)
     assert [H.main_text(x) for x in rows] == whole
+
+
+PARAGRAPHS = [f"Paragraph {i} tells of many things at some length, as an article does, and it ends here." for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    "open_",
+    [
+        '<form id="aspnetForm"><div id="content">', '<div class="page-sidebar-left"><div>', '<div class="layout header-fixed"><div>', '<section id="ad-tech-history"><div>', '<div class="promo-page"><div>', '<div class="comments-off"><div>',
+        '<div class="nav-open"><div>', '<div class="legal-notice"><div>', '<form><fieldset>', '<div class="ads"><div class="widget banner">',
+    ],
+)
+def test_a_name_never_empties_a_page(open_):
+    close = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", open_)))
+    inner = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    aside = "<nav><a href=1>Home</a></nav><div class='footer'>Imprint of the company and its address</div>"
+    assert H.main_text(f"<body>{open_}{inner}{close}{aside}</body>") == "\n".join(PARAGRAPHS)
+    replies = "<div class='comments'>" + "<p>I think so too, and would like to add a thing or two to that, if I may.</p>" * 9 + "</div>"
+    assert H.main_text(f"<body>{open_}<article>{inner}</article>{replies}{close}{aside}</body>") == "\n".join(PARAGRAPHS)
+
+
+def test_long_comments_stay_out():
+    replies = "<section class='comments'>" + "<p>I think so too, and would like to add a thing or two to that, if I may.</p>" * 40 + "</section>"
+    for tag in ("article", "main", "div"):
+        inner = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+        assert H.main_text(f"<body><{tag}>{inner}</{tag}>{replies}</body>") == "\n".join(PARAGRAPHS)
+
+
+def test_deep_nesting_takes_linear_time():
+    def seconds(n):
+        page = "".join(f"<div class='ad'><p>Block {i} has some text.</p>" for i in range(n))
+        start = time.perf_counter()
+        assert H.main_text(page).startswith("Block 0 has some text.\nBlock 1")
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    assert seconds(40_000) < 10 * seconds(10_000) + 0.5
