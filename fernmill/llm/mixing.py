@@ -11,7 +11,7 @@ where; documents are laid along that axis in a seeded order.
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +58,7 @@ class _Flow:
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
+        self.augmented = 0
 
     def edge(self, a: int, b: int, room: int) -> int:
         self.out[a].append(len(self.to))
@@ -81,6 +82,7 @@ class _Flow:
             at = [0] * len(self.out)
             while path := self._path(source, sink, level, at):
                 moved = min(self.room[e] for e in path)
+                self.augmented += 1
                 for e in path:
                     self.room[e] -= moved
                     self.room[e ^ 1] += moved
@@ -105,22 +107,14 @@ class _Flow:
         return path
 
 
-def route(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None, int], max_copies: int = MAX_COPIES) -> dict[tuple[str | None, ...], dict[str | None, int]]:
+def route(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None, int], max_copies: int = MAX_COPIES, counted: list[int] | None = None) -> dict[tuple[str | None, ...], dict[str | None, int]]:
     """Tokens that each pattern gives each of its sources, fewest repeats first.
 
     No pattern gives more than ``max_copies`` times its tokens and no source gets
-    more than its quota; the total is the largest possible. A pattern of one
-    source that no other pattern has needs no flow: it gives what both allow.
+    more than its quota; the total is the largest possible. Every pattern goes
+    through the flow, also one that is alone with its source. ``counted`` gathers
+    the edges from patterns to sources and the paths that were augmented.
     """
-    shared = Counter(s for k in patterns for s in k)
-    alone = {k: min(quotas.get(k[0], 0), max_copies * n) for k, n in patterns.items() if len(k) == 1 and shared[k[0]] == 1}
-    given = {k: {k[0]: n} if n else {} for k, n in alone.items()}
-    rest = {k: n for k, n in patterns.items() if k not in alone}
-    return given | _routed(rest, {s: q for s, q in quotas.items() if (s,) not in alone}, max_copies)
-
-
-def _routed(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None, int], max_copies: int) -> dict[tuple[str | None, ...], dict[str | None, int]]:
-    """:func:`route` by the flow itself."""
     names, keys = list(quotas), list(patterns)
     place = {s: 1 + len(keys) + i for i, s in enumerate(names)}
     sink = 1 + len(keys) + len(names)
@@ -133,6 +127,8 @@ def _routed(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None
         for e, k in zip(offers, keys, strict=True):
             flow.room[e] += patterns[k]
         flow.run(0, sink)
+    if counted is not None:
+        counted += [len(ways), flow.augmented]
     out: dict[tuple[str | None, ...], dict[str | None, int]] = {k: {} for k in keys}
     for (k, s), e in ways.items():
         if flow.room[e ^ 1]:

@@ -77,7 +77,7 @@ def test_edge_rows(spark, edges, nothing):
 
 
 def test_a_source_for_each_document(spark):
-    """As many patterns as documents: nothing is refused, and what is alone needs no flow."""
+    """As many patterns as documents: nothing is refused, and the flow is a star for each source."""
     rows = [(i, 1 + i % 3, [f"s{i}"], "x", 1) for i in range(12_000)]
     got, sizes, goal = M.mix(docs(spark, rows))
     assert len(sizes) == 12_000 and got.where("copies > 0").count() > 6_000
@@ -95,3 +95,13 @@ def test_alike_rows_fall_alike(spark):
     rows = [(1, 10, ["a"], "x", 1)] * 5 + [(2, 10, ["b"], "x", 1), (None, 4, ["a"], "x", 1), (None, 4, ["a"], "x", 1)]
     got = M.mix(docs(spark, rows))[0].collect()
     assert len({r.copies for r in got if r.doc_id == 1}) == 1 and len({r.copies for r in got if r.doc_id is None}) == 1
+
+
+def test_every_pattern_goes_through_the_flow(spark, monkeypatch):
+    counts, plain = [], M.route
+    monkeypatch.setattr(M, "route", lambda patterns, quotas, most=M.MAX_COPIES: plain(patterns, quotas, most, counts))
+    rows = [(i, " ".join("w" * (i % 7)), "abc"[i % 3]) for i in range(90)] + [(90, "x y", None)]
+    got = M.by_source(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert counts[0] == 4 and counts[1] >= 4 and len(got) == 91
+    alone = {("a",): 10, ("b",): 7, ("c",): 0}
+    assert plain(alone, {"a": 13, "b": 90, "c": 5}) == {("a",): {"a": 13}, ("b",): {"b": 14}, ("c",): {}}
