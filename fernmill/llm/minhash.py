@@ -2,8 +2,8 @@
 
 Sets of one bucket are candidates. Buckets that share members make a group;
 each task gets the whole sets of a group, once, and finds the similar pairs by
-counting common bits, one for each shingle. A group too large for a task is taken
-bucket by bucket, and a bucket too large goes out in pairs of blocks, so that a
+counting common bits, one for each shingle. A group of too many shingles or sets
+for a task is taken bucket by bucket, and a bucket too large goes out in pairs of blocks, so that a
 task's memory stays bounded and no pair of a bucket is left out. Only a spanning
 forest of the links leaves a task. Five rows a band and 32 bands leave a pair of
 similarity 0.8 unproposed 3 times in a million.
@@ -27,8 +27,8 @@ BANDS, ROWS = 32, 5
 SEED = 43
 #: Shingles hashed at once.
 CHUNK = 512
-#: Shingles of one group that a task holds once or twice.
-GROUP = 1 << 19
+#: Shingles of one group that a task holds once or twice, and sets, whose common shingles are counted in a square.
+GROUP, MEMBERS = 1 << 19, 2_048
 #: Shingles that are bits at a time, and texts whose sets leave a worker together.
 COLUMNS, PIECE = 1 << 16, 256
 
@@ -134,7 +134,9 @@ def similar(sets: DataFrame, groups: DataFrame, buckets: DataFrame, threshold: f
     ``sets`` has (grams, set), ``groups`` (grams, home) and ``buckets`` (grams,
     bucket); candidates are sets of one bucket, and a bucket lies within a home.
     """
-    sized = written(groups.join(sets.select("grams", F.size("set").alias("size")), "grams"), "sized")
+    # A set weighs its shingles, and a small one enough that no group has more than MEMBERS.
+    weight = F.greatest(F.size("set"), F.lit(group // MEMBERS)).cast("long").alias("size")
+    sized = written(groups.join(sets.select("grams", weight), "grams"), "sized")
     homes = sized.groupBy("home").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
     total = sized.count()
     small = homes.where(F.col("weight") <= group).select("home", "n")
