@@ -46,10 +46,11 @@ EXCEPTIONS = [
 TRAIN_ROWS = 20_000
 #: Letters of the longest stems; words are entries whatever their length.
 STEM = 32
-#: Toxic rows that an entry needs at least.
-MIN_ROWS = 3
-#: An entry's log odds, and the likelihood ratio (G squared) of its counts, at least.
-MIN_GAIN, MIN_G2 = 2.0, 20.0
+#: An entry's log odds at least.
+MIN_GAIN = 2.0
+#: Toxic rows that an entry needs, and the likelihood ratio (G squared) of its counts, at least: in a sample of no toxic
+#: rows, and from ENOUGH of them on. Few rows prove little, and leaving out what they show costs more than it saves.
+MIN_ROWS, MIN_G2, ENOUGH = (2, 3), (8.0, 12.0), 300
 THRESHOLD = 0.7
 #: Texts counted together.
 PIECE = 256
@@ -197,15 +198,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad:
         return Model({}, [-3.0, 0.0, 0.0, 0.0])
-    # Only what toxic rows have thrice can be an entry, so only that is looked for in the others.
-    toxic = _counted(rows.where("toxic = 1"), MIN_ROWS)
+    known_part = min(1.0, bad / ENOUGH)
+    least_rows, least_g2 = (lo + round((hi - lo) * known_part, 6) for lo, hi in (MIN_ROWS, MIN_G2))
+    # Only what enough toxic rows have can be an entry, so only that is looked for in the others.
+    toxic = _counted(rows.where("toxic = 1"), math.ceil(least_rows - 0.5))
     others = _counted(rows.where("toxic = 0"), 1, frozenset(toxic))
     share, lexicon = bad / (bad + good), {}
     for token, t in sorted(toxic.items()):
         c = others.get(token, 0)
         gain = math.log(((t + 0.5) / (bad + 1)) / ((c + 0.5) / (good + 1)))
         g2 = 2 * (t * math.log(t / (share * (t + c))) + (c * math.log(c / ((1 - share) * (t + c))) if c else 0.0))
-        if gain > MIN_GAIN and g2 > MIN_G2:
+        if gain > MIN_GAIN and g2 > least_g2:
             lexicon[token] = round(gain, 4)
     model = Model(lexicon)
     fitted = rows.mapInArrow(_feature_rows(model), "f1 double, f2 double, f3 double, toxic int").toPandas()  # max_rows rows at most

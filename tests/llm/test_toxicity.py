@@ -1,5 +1,8 @@
 """Toxicity: folding, exceptions, stems, and held-out accuracy on the generated labels."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from fernmill.llm import toxicity as X
@@ -31,12 +34,14 @@ def test_length_counts():
     assert X.from_json(X.to_json(MODEL)) == MODEL
 
 
-def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.85), ("sf0.1", 0.92)])
+def test_held_out_accuracy(spark, sf, recall):
+    """At sf0.01 there are 33 toxic rows to learn from and 18 held out, of which one shares no word with them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = X.train(docs, labels.where(~X.held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", X.score(F.col("text"), model).alias("s")).join(labels.where(X.held_out(F.col("doc_id"))), "doc_id").select("s", "toxic").toPandas()
     hit = rows.s >= X.THRESHOLD
-    assert hit[rows.toxic == 1].mean() >= 0.9 and hit[rows.toxic == 0].mean() <= 0.005
+    assert hit[rows.toxic == 1].mean() >= recall and hit[rows.toxic == 0].mean() <= 0.005
     assert rows.s.between(0, 1).all()
 
 
@@ -56,3 +61,32 @@ def test_edge_rows(spark, edges, nothing):
     assert nothing.select(X.score(F.col("text"), MODEL)).count() == 0
     some = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, None), (5, 0)], "doc_id long, toxic int")
     assert X.train(edges, some).lexicon == {}
+
+
+def test_scores_equal_a_plain_matcher():
+    """Every entry tried at every place, longest first, against Aho-Corasick."""
+    rng = random.Random(2)
+    letters = "aiors"
+    lexicon = {"".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) + rng.choice(["", "", "*"]): float(i % 7 + 1) for i in range(60)}
+    model = X.Model(lexicon, exceptions=["ra so", "is air"])
+    auto = model.automaton()
+
+    def slow(text):
+        out, shields = [], []
+        ended = lambda e: e == len(text) or not text[e].isalpha()
+        for at in range(len(text)):
+            if at and text[at - 1].isalpha():
+                continue
+            best = None
+            for entry, weight in lexicon.items():
+                word, stem = entry.removesuffix("*"), entry.endswith("*")
+                if text.startswith(word, at) and (stem or ended(at + len(word))):
+                    best = max(best or (0, False, 0.0), (len(word), not stem, weight))
+            if best:
+                out.append((at, at + best[0], best[2]))
+            shields += [(at, at + len(p)) for p in map(X.fold, model.exceptions) if text.startswith(p, at) and ended(at + len(p))]
+        return [x for x in out if not any(a <= x[0] and x[1] <= b for a, b in shields)]
+
+    for _ in range(400):
+        text = X.fold("".join(rng.choice(letters + "  .") for _ in range(60)))
+        assert X.hits(text, auto) == slow(text)
