@@ -23,6 +23,7 @@ import string
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,8 @@ STOPS, OPENINGS = ".!?*&%$#|\\~…", "*&%|\\~"
 KEYWORD = re.compile(r"pass|pwd|\bpin\b|secret|token|key|auth|bearer|credential|private|login", re.IGNORECASE)
 
 CONTEXT = 24
+#: Candidates that are encoded and scored together.
+PIECE = 4_096
 RECALL = 0.95
 SEED = 11
 FILTERS, WIDTH, EMBED, HIDDEN = 40, 5, 8, 24
@@ -74,6 +77,8 @@ def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
     """Spans of the network's candidates that lie within no span in ``taken``."""
     found: list[tuple[int, int]] = []
     keywords = [m.end() for m in KEYWORD.finditer(text)]
+    begins = [s for s, _, _ in taken]  # in order
+    reach = list(accumulate((e for _, _, e in taken), max))
     for m in RUN.finditer(text):
         run = m[0].rstrip(STOPS)
         end = m.start() + len(run)
@@ -85,7 +90,8 @@ def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
             at = bisect_right(keywords, start)
             if not at or keywords[at - 1] < start - CONTEXT:
                 continue
-        if not any(s <= start and end <= e for s, _, e in taken):
+        before = bisect_right(begins, start)
+        if not before or reach[before - 1] < end:
             found.append((start, end))
     return found
 
@@ -278,11 +284,13 @@ def found(texts: list[str], net: Network) -> list[list[tuple[int, str, int, floa
     """Spans (start, kind, end, score) of each text by start, then kind: all base spans, and what the network finds."""
     base = [base_spans(t) for t in texts]
     asked = [(i, s, k, e) for i, t in enumerate(texts) for s, k, e in [*base[i], *((s, "network", e) for s, e in candidates(t, base[i]))]]
-    scores = net.probability([_encode(texts[i], s, e) for i, s, _, e in asked])
     out: list[list] = [[] for _ in texts]
-    for (i, s, k, e), p in zip(asked, scores.tolist(), strict=True):
-        if k != "network" or p >= net.threshold:
-            out[i].append((s, k, e, p))
+    for at in range(0, len(asked), PIECE):
+        part = asked[at : at + PIECE]
+        scores = net.probability([_encode(texts[i], s, e) for i, s, _, e in part])
+        for (i, s, k, e), p in zip(part, scores.tolist(), strict=True):
+            if k != "network" or p >= net.threshold:
+                out[i].append((s, k, e, p))
     return [sorted(x, key=_by_start) for x in out]
 
 

@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 
+import time
+
 from fernmill.llm import secrets as S
 
 
@@ -127,3 +129,24 @@ def test_what_rules_on_digits_and_length_miss():
 def test_base_spans_are_scored_too():
     row = S.found(["x secret=s3cr3tvalue9 y"], S.train())[0]
     assert [x[1] for x in row] == ["assign"] and 0 < row[0][3] < 1
+
+
+def test_many_base_spans_take_linear_time():
+    net = S.train()
+
+    def seconds(n):
+        text = " ".join(f"token=abcdef{i:07d}" for i in range(n))
+        start = time.perf_counter()
+        assert len(S.found([text], net)[0]) >= n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(8_000) < 8 * seconds(2_000) + 1
+
+
+def test_pieces_change_nothing(monkeypatch):
+    net, texts = S.train(), [f"token=abcd{i}efgh{i} and key Zx{i}9Kq{i}77aB " * 3 for i in range(40)]
+    whole = S.found(texts, net)
+    monkeypatch.setattr(S, "PIECE", 7)
+    close = lambda rows: [[(*x[:3], round(x[3], 9)) for x in r] for r in rows]
+    assert close(S.found(texts, net)) == close(whole)
