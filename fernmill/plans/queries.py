@@ -287,10 +287,47 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.duplicate_pairs(rows, "offer_id").select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+#: The merge as a fold in SQL: each place's leaders are a list that its next offer joins or extends.
+_MERGE_SQL = rf"""WITH RECURSIVE {_FULL_SQL.removeprefix("WITH ")},
+marked AS (
+  SELECT restaurant, city, row_number() OVER (PARTITION BY restaurant, city ORDER BY offer_id) AS n,
+    {{'id': offer_id::VARCHAR, 'summary': summary, 'words': trim(regexp_replace(lower(summary), '[^a-z0-9_]+', ' ', 'g')), 'at': lower(coalesce(time_window, '')),
+      'variants': list_distinct(regexp_extract_all(lower(summary), '\b(?:monday|mon|tuesday|tue|wednesday|wed|thursday|thu|friday|fri|saturday|sat|sunday|sun|breakfast|brunch|lunch|dinner|late\s+night)\b')),
+      'tokens': list_distinct(list_filter(regexp_extract_all(lower(summary), '[a-z0-9]+'), lambda w: len(w) > 1 AND w NOT IN ('a', 'an', 'and', 'deal', 'deals', 'drink', 'drinks', 'food', 'foods', 'menu', 'offer', 'offers', 'special', 'specials', 'the'))),
+      'label': value_label, 'merged': []::VARCHAR[]}} AS r
+  FROM o),
+fold AS (
+  SELECT DISTINCT restaurant, city, 0::BIGINT AS n, list_filter([r], lambda x: FALSE) AS leaders FROM marked WHERE n = 1
+  UNION ALL
+  SELECT restaurant, city, n, CASE WHEN spot IS NULL OR spot = 0 THEN leaders || [r] ELSE leaders[:spot - 1] || [
+      {{'id': CASE WHEN richer THEN r.id ELSE m.id END, 'summary': CASE WHEN richer THEN r.summary ELSE m.summary END, 'words': CASE WHEN richer THEN r.words ELSE m.words END, 'at': CASE WHEN richer THEN r.at ELSE m.at END,
+        'variants': CASE WHEN richer THEN r.variants ELSE m.variants END, 'tokens': CASE WHEN richer THEN r.tokens ELSE m.tokens END, 'label': CASE WHEN richer THEN coalesce(r.label, m.label) ELSE coalesce(m.label, r.label) END,
+        'merged': m.merged || [CASE WHEN richer THEN m.id ELSE r.id END]}}] || leaders[spot + 1:] END
+  FROM (SELECT *, leaders[spot] AS m, length(r.summary) > length(leaders[spot].summary) AS richer FROM (
+    SELECT f.restaurant, f.city, k.n, f.leaders, k.r, list_position(list_transform(f.leaders, lambda l: NOT (l.at <> '' AND k.r.at <> '' AND l.at <> k.r.at)
+      AND NOT (len(l.variants) > 0 AND len(k.r.variants) > 0 AND NOT list_has_any(l.variants, k.r.variants))
+      AND (l.words = k.r.words OR coalesce(l.label = k.r.label AND len(l.tokens) > 0 AND len(k.r.tokens) > 0
+        AND (len(list_intersect(l.tokens, k.r.tokens)) >= 0.58 * len(list_distinct(l.tokens || k.r.tokens))
+          OR (len(list_intersect(l.tokens, k.r.tokens)) = least(len(l.tokens), len(k.r.tokens)) AND len(list_filter(list_intersect(l.tokens, k.r.tokens), lambda w: NOT regexp_matches(w, '^[0-9]+$'))) > 0)), FALSE))), TRUE) AS spot
+    FROM fold f JOIN marked k ON k.restaurant = f.restaurant AND k.city = f.city AND k.n = f.n + 1) a) b),
+done AS (SELECT restaurant, city, unnest(leaders) AS l FROM fold QUALIFY n = max(n) OVER (PARTITION BY restaurant, city))
+SELECT l.id AS id, restaurant, city, l.summary AS summary, len(l.merged)::INTEGER AS n_merged, array_to_string(l.merged, ',') AS merged_ids FROM done"""
+
+
+@query(_MERGE_SQL)
+def split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge with every place split into the connected parts of its links first."""
+    return _merged(spark, sf_dir, place_rows=0)
+
+
+@query(_MERGE_SQL)
 def greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)
+
+
+def _merged(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     rows = _full(spark, sf_dir).select(F.col("offer_id").cast("string").alias("id"), F.col("offer_id").alias("ord"), "restaurant", "city", "summary", "details", "source_evidence", "time_window")
-    merged = dedupe.greedy_merge(rows)
+    merged = dedupe.greedy_merge(rows, **options)
     return merged.select("id", "restaurant", "city", "summary", F.size("merged_ids").alias("n_merged"), F.array_join("merged_ids", ",").alias("merged_ids"))
 
 
