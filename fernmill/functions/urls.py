@@ -155,6 +155,15 @@ def map_url(name: Column, address: Column, known: Column) -> Column:
     return F.coalesce(some_text(known), search)
 
 
+def report_url(new_issue: str, restaurant: Column, city: Column, source: Column) -> Column:
+    """A link that opens a report of a missing or wrong offer at a tracker's address for new issues."""
+    sections = [("Restaurant", restaurant), ("City", city), ("What needs attention?", F.lit("Missing or incorrect deal")), ("Official source URL", text_or_empty(source))]
+    told = [part for name, value in sections for part in (F.lit(f"### {name}\n"), value, F.lit("\n\n"))]
+    hint = F.lit("### Details\n<!-- Describe what is missing or incorrect, including the right day, time, price, or expiration. -->")
+    title = F.concat(F.lit("[Deal report] "), restaurant, F.lit(" - "), city)
+    return F.concat(F.lit(new_issue + "?title="), F.url_encode(title), F.lit("&body="), F.url_encode(F.concat(*told, hint)))
+
+
 def phone_url(phone: Column) -> Column:
     return F.concat(F.lit("tel:"), F.regexp_replace(text_or_empty(phone), r"[^\d+]", ""))
 

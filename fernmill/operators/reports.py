@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernmill.functions import dates, fixed, urls
+from fernmill.functions import dates, fixed, prices, urls
 from fernmill.functions import text as T
 from fernmill.operators import dedupe, queues
 
@@ -93,6 +93,54 @@ def coverage(inventory: DataFrame) -> DataFrame:
     )
 
 
+def city_counts(inventory: DataFrame) -> DataFrame:
+    """(city, restaurant_count) of an inventory."""
+    return inventory.groupBy("city").agg(F.count("*").alias("restaurant_count"))
+
+
+def coverage_rows(states: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(city, state, spots, scanned, expected): areas, live ones first, each in the order of ``ord``; ``place`` says where.
+
+    ``states`` has city, ord, status, activated_at and last_refreshed. A live area
+    shows its places, shortened, and its last scan; a queued one when it is due.
+    """
+    live = F.col("status") == "active"
+    rows = states.join(city_counts(inventory), "city", "left").join(activation_estimates(states), "city", "left")
+    place = F.row_number().over(Window.orderBy(~live, "ord"))  # as many as there are areas
+    return rows.select(
+        place.alias("place"),
+        "city",
+        F.when(live, "Live").otherwise("Queued").alias("state"),
+        F.when(live, prices.compact_number(F.col("restaurant_count"))).alias("spots"),
+        F.when(live, F.col("last_refreshed").cast("timestamp")).alias("scanned"),
+        F.when(~live, F.col("expected_at")).alias("expected"),
+    )
+
+
+def feed_summary(feed: DataFrame, generated_at: Column, now: Column) -> DataFrame:
+    """One row over the selected offers: places, offers, and whether the feed is late."""
+    place = T.location_key(F.col("restaurant"), F.col("address") if "address" in feed.columns else F.lit(None).cast("string"), F.col("city"))
+    return feed.agg(F.countDistinct(place).alias("restaurants"), F.count("*").alias("deals")).withColumn("delayed", is_delayed(generated_at, now))
+
+
+def status_metrics(covered: DataFrame, run: DataFrame, logos: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """(place, label, value): the fourteen figures of the status page.
+
+    ``covered`` is the row of :func:`coverage`, ``run`` that of the extraction's
+    summary, ``logos`` the cached ones; ``limits`` replaces the usual limits.
+    """
+    lim = {"sites": queues.SITES, "texts": queues.TEXT_PAGES, "visuals": queues.VISUAL_PAGES, "activation": 7, "rescan": 35} | (limits or {})
+    one = covered.crossJoin(run).crossJoin(logos.agg(F.count("*").alias("icons")))  # one row each
+    n, text = lambda c: prices.compact_number(F.col(c)), F.lit
+    shown = [
+        ("Restaurants found", n("restaurants")), ("Official websites", n("with_website")), ("Specials pages", n("with_specials")), ("Candidate pages", n("candidate_pages")), ("Reported sources", n("reported_pages")),
+        ("Browser renders", F.concat(n("rendered_pages"), text("/"), n("render_attempts"))), ("Visual deal pages", n("visual_pages")), ("Visual checks", F.concat(n("visual_attempts"), text(" calls · "), n("visual_cache_hits"), text(" cached"))),
+        ("Site icons", n("icons")), ("Sites checked", text(f"{lim['sites']}/run")), ("Text batch", text(f"{lim['texts']}/run")), ("Visual batch", text(f"{lim['visuals']}/run")),
+        ("City activation", text(f"1/{lim['activation']} days")), ("City rescan", text(f"{lim['rescan']} days")),
+    ]
+    return one.select(F.inline(F.array(*(F.struct(F.lit(i + 1).alias("place"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(shown)))))
+
+
 def scope(sources: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row: the sources' cities in order, how many sources and places there are, the ageing rules."""
     row = sources.agg(F.array_sort(F.collect_set("city")).alias("cities"), F.count("*").alias("source_count"))

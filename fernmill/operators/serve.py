@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from fernmill.functions import dates, fixed, prices
 from fernmill.functions import text as T
+from fernmill.operators import queues
 
 TYPES = ("food", "drink")
 KINDS = ("happy_hour", "other")
+VIEWS = ("list", "map")
 SORTS = ("best", "alpha", "newest", "distance")
 RADII = (1, 3, 5, 10)
 
@@ -33,6 +35,8 @@ class QuerySpec:
     radius: float | None = None
     available_now: bool = False
     new_only: bool = False
+    view: str = "list"
+    spot: str = ""
     favorites_only: bool = False
     favorites: tuple[str, ...] = field(default=(), compare=False)
     location: tuple[float, float] | None = field(default=None, compare=False)
@@ -45,38 +49,49 @@ class QuerySpec:
         return _with(out, radius=None) if out.sort == "alpha" else out
 
     def to_params(self) -> str:
-        """Only what differs from the defaults; place and favourites stay with the reader."""
+        """Only what differs from the defaults; radius, location and favourites stay with the reader."""
         base, out = QuerySpec(), {}
-        for name, key in (("query", "q"), ("restaurant", "restaurant"), ("day", "day"), ("sort", "sort")):
+        for name in ("query", "restaurant"):
+            if getattr(self, name):
+                out["q" if name == "query" else name] = getattr(self, name)
+        if self.cities:
+            out["cities"] = ",".join(sorted(self.cities))
+        if self.day != base.day:
+            out["day"] = self.day or "any"
+        for name, key in (("types", "types"), ("kinds", "offers")):
+            if len(getattr(self, name)) != len(getattr(base, name)):
+                out[key] = ",".join(sorted(getattr(self, name)))
+        for name, key, value in (("chains", "chains", "0"), ("available_now", "now", "1"), ("new_only", "new", "1")):
             if getattr(self, name) != getattr(base, name):
-                out[key] = getattr(self, name) or "any"
-        for name, key in (("cities", "city"), ("types", "type"), ("kinds", "kind")):
+                out[key] = value
+        for name in ("sort", "view", "spot"):
             if getattr(self, name) != getattr(base, name):
-                out[key] = ",".join(getattr(self, name))
-        for name, key in (("available_now", "now"), ("new_only", "new")):
-            if getattr(self, name):
-                out[key] = "1"
-        if not self.chains:
-            out["chains"] = "0"
+                out[name] = getattr(self, name)
         return urlencode(out)
 
     @classmethod
     def from_params(cls, params: str) -> QuerySpec:
-        """The asked-for query; unknown values fall back to the defaults."""
-        got = {k: v[-1] for k, v in parse_qs(params.lstrip("?"), keep_blank_values=True).items()}
-        listed = lambda key, known: tuple(x for x in got[key].split(",") if x in known) if key in got else None
-        day = {"any": ""}.get(got.get("day", "today"), got.get("day", "today"))
+        """The asked-for query; unknown values fall back to the defaults. Older links say ``type`` and ``offer``, ``city`` and ``kind``."""
+        got = {k: v[0] for k, v in parse_qs(params.lstrip("?"), keep_blank_values=True).items()}
+
+        def listed(known: tuple[str, ...], *keys: str) -> tuple[str, ...]:
+            key = next((k for k in keys if k in got), None)
+            return tuple(x for x in known if x in got[key].split(",")) if key else known
+
+        day = got.get("day")
         return cls(
             query=got.get("q", ""),
             restaurant=got.get("restaurant", ""),
-            cities=tuple(x for x in got.get("city", "").split(",") if x),
-            day=day if day in ("", "today", *fixed.DAYS) else "today",
-            types=listed("type", TYPES) if "type" in got else TYPES,
-            kinds=listed("kind", KINDS) if "kind" in got else KINDS,
+            cities=tuple(sorted({x for x in got.get("cities", got.get("city", "")).split(",") if x})),
+            day="" if day == "any" else day if day in fixed.DAYS else "today",
+            types=listed(TYPES, "type", "types"),
+            kinds=listed(KINDS, "offer", "offers", "kind"),
             chains=got.get("chains") != "0",
             sort=got.get("sort") if got.get("sort") in SORTS else "best",
             available_now=got.get("now") == "1",
             new_only=got.get("new") == "1",
+            view=got.get("view") if got.get("view") in VIEWS else "list",
+            spot=got.get("spot", ""),
         ).settled()
 
     def active_filters(self) -> int:
@@ -199,11 +214,21 @@ def groups(feed: DataFrame, spec: QuerySpec, now: Column, best: int = 2, correct
     return out.withColumn("score", total).drop("top", "available", "open", "valued", "today")
 
 
-def ordered(found: DataFrame, spec: QuerySpec) -> DataFrame:
-    """Groups in the order asked for; names compare as a reader would."""
+def _order(spec: QuerySpec) -> list[Column]:
     name, city = F.collate("restaurant", "UNICODE"), F.collate("city", "UNICODE")
     keys = {"best": [F.desc("score"), name], "newest": [F.desc_nulls_last("newest"), name], "distance": [F.asc("distance"), name], "alpha": [name, city]}
-    return found.orderBy(*keys["alpha" if spec.sort == "distance" and not spec.location else spec.sort], "key")
+    return [*keys["alpha" if spec.sort == "distance" and not spec.location else spec.sort], F.col("key")]
+
+
+def ordered(found: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Groups in the order asked for; names compare as a reader would."""
+    return found.orderBy(*_order(spec))
+
+
+def ranked(found: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Groups with ``rank``, their place from 1 in the order asked for, over range partitions."""
+    rows = queues.ranked(found, _order(spec))
+    return rows.withColumn("rank", (F.col("rank") + 1).cast("long"))
 
 
 def facets(*tables: DataFrame, columns: tuple[str, ...] = ("city", "restaurant")) -> DataFrame:

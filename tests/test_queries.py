@@ -1,11 +1,12 @@
 """Every registered query against the same thing in DuckDB, and the shape of those without."""
 
 import pytest
+import stated
 from helpers import DATA, duck_rows, spark_rows
 
-from fernmill.plans import queries, stated
+from fernmill.plans import connected, queries, serving
 
-QUERIES, SQL = queries.QUERIES | stated.QUERIES, queries.SQL | stated.SQL
+QUERIES, SQL = queries.QUERIES | connected.QUERIES | serving.QUERIES, queries.SQL | connected.SQL | serving.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -34,3 +35,9 @@ def test_entry_module_without_the_libraries_of_the_subpackage():
 
     code = "import sys; sys.modules['tiktoken'] = None; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert 'group_rank' in e.queries() and 'op9_toxicity' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+@pytest.mark.parametrize("name", sorted(stated.SQL))
+def test_stated_values(spark, name):
+    """Rules on inline values, beside the results stated for them."""
+    assert spark_rows(stated.QUERIES[name](spark, str(DATA))) == duck_rows(stated.SQL[name])
