@@ -240,8 +240,17 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def earliest() -> Column:
+    """Before any time that was noted."""
+    return F.to_timestamp(F.lit("0001-01-01 00:00:00"))
+
+
 def parse_iso(value: Column, fallback: Column | None = None) -> Column:
-    """A timestamp from ISO text, else ``fallback``, else null."""
+    """A timestamp from ISO text, else ``fallback``, else null.
+
+    First and last sightings fall back on a time at hand, activations on none,
+    and checks on :func:`earliest`, so that they are due.
+    """
     parsed = F.try_to_timestamp(value)
     return F.coalesce(parsed, fallback) if fallback is not None else parsed
 

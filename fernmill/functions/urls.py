@@ -150,8 +150,16 @@ def visual_kind(content: bytes, declared: str) -> str | None:
     return kind if kind in fixed.VISUAL_TYPES and fixed.LEAST_ASSET <= len(content) <= fixed.MOST_ASSET else None
 
 
+def encode_component(value: Column) -> Column:
+    """A value as it stands in an address: spaces as %20, and ``!'()*~`` as they are."""
+    out = F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+    for mark in "!'()~":
+        out = F.replace(out, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return out
+
+
 def map_url(name: Column, address: Column, known: Column) -> Column:
-    search = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), F.url_encode(F.trim(F.concat_ws(" ", name, address))))
+    search = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), encode_component(F.trim(F.concat_ws(" ", name, address))))
     return F.coalesce(some_text(known), search)
 
 

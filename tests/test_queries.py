@@ -4,9 +4,9 @@ import pytest
 import stated
 from helpers import DATA, duck_rows, spark_rows
 
-from fernmill.plans import connected, queries, serving
+from fernmill.plans import connected, queries, rules, serving
 
-QUERIES, SQL = queries.QUERIES | connected.QUERIES | serving.QUERIES, queries.SQL | connected.SQL | serving.SQL
+QUERIES, SQL = queries.QUERIES | connected.QUERIES | rules.QUERIES | serving.QUERIES, queries.SQL | connected.SQL | rules.SQL | serving.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
