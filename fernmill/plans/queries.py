@@ -331,7 +331,13 @@ def _merged(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return merged.select("id", "restaurant", "city", "summary", F.size("merged_ids").alias("n_merged"), F.array_join("merged_ids", ",").alias("merged_ids"))
 
 
-@query()
+@query(
+    f"""WITH {_FULL_SQL}, h AS (SELECT restaurant || '|' || city AS page, offer_id AS ord, floor(price / 100)::BIGINT AS tier, summary, days FROM o WHERE list_contains(tags, 'happy_hour')),
+g AS (SELECT page, count(*) AS n, min(ord) AS ord, min(tier) AS low, max(tier) AS high, list('$' || tier || ': ' || summary ORDER BY tier, ord) AS lines, flatten(list(days)) AS all_days FROM h GROUP BY page)
+SELECT page, ord, '$' || low || '-$' || high || ' Happy Hour' AS summary, array_to_string(lines[:8], '; ') AS details,
+    array_to_string(list_filter(['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'], lambda d: list_contains(all_days, d)), ',') AS days, n::INTEGER AS grouped_deals FROM g WHERE high > low
+UNION ALL SELECT page, h.ord, '$' || tier || ' Happy Hour', summary, array_to_string(days, ','), NULL FROM h JOIN g USING (page) WHERE high = low"""
+)
 def consolidated_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price tiers of each place's happy hour, made from its offers' prices."""
     rows = _full(spark, sf_dir).where(F.array_contains("tags", "happy_hour"))

@@ -98,7 +98,7 @@ _TH = "CASE WHEN n BETWEEN 10 AND 20 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n
       ({_SHORT})[i + 1] || '-' || ({_SHORT})[i + 3] || ' ' || h || 'pm-' || h + 2 || 'pm' AS shown, ({_SHORT})[i + 1] || '-' || ({_SHORT})[i + 3] || ' ' || h || 'pm-' || h + 2 || 'pm' AS shared,
       lower(({_SHORT})[i + 1]) || '-' || lower(({_SHORT})[i + 3]) || ' ' || h || '-' || h + 2 AS best, p_partkey % 3 <> 1 AS redundant,
       strftime(TIMESTAMP '2024-01-05 12:30:00' + INTERVAL 1 HOUR * (p_partkey % 200) - INTERVAL 8 HOUR, '%b %-d, %-I:%M %p') || ' PT' AS shown_at, 'Every month on the ' || n || {_TH} AS validity,
-      CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' WHEN p_partkey % 3 = 1 THEN TIMESTAMP '0001-01-01 00:00:00' END AS parsed, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-02-29' END AS date FROM d"""
+      CASE WHEN p_partkey % 3 = 0 THEN '2024-01-02 03:04:05' WHEN p_partkey % 3 = 1 THEN '0001-01-01 00:00:00' END AS parsed, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-02-29' END AS date FROM d"""
 )
 def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, h = (K % 5).cast("int"), (K % 9 + 1).cast("int")
@@ -121,7 +121,7 @@ def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         dates.is_redundant(says, seen).alias("redundant"),
         dates.display_date(F.to_timestamp(F.lit("2024-01-05 12:30:00")) + F.make_dt_interval(F.lit(0), (K % 200).cast("int"))).alias("shown_at"),
         dates.validity(F.array().cast(T.STRINGS), F.lit(None).cast("string"), F.array(n)).alias("validity"),
-        dates.parse_iso(_pick(K, "2024-01-02T03:04:05Z", "never", "soon"), _pick(K, _now(), dates.earliest(), F.lit(None).cast("timestamp"))).cast("timestamp_ntz").alias("parsed"),
+        F.date_format(dates.parse_iso(_pick(K, "2024-01-02T03:04:05Z", "never", "soon"), _pick(K, _now(), dates.earliest(), F.lit(None).cast("timestamp"))), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
         dates.parse_date(_pick(K, "2024-02-29", "2024-2-9")).alias("date"),
     )
 
@@ -342,7 +342,7 @@ def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT c_custkey AS k FROM customer)
     SELECT 'p' || k AS place_id, 'Place ' || k AS name, 'Irvine' AS city, 'https://c' || k || '.example' AS website, 'bar,cafe' AS types, CASE WHEN k % 4 = 0 THEN 'BUSINESS_STATUS_UNSPECIFIED' ELSE 'OPERATIONAL' END AS business_status,
-      30.0 + k % 10 AS latitude, CASE WHEN k % 2 = 0 THEN '09:00-17:30' END AS monday FROM c WHERE k % 5 > 1"""
+      (30 + k % 10)::DOUBLE AS latitude, CASE WHEN k % 2 = 0 THEN '09:00-17:30' END AS monday FROM c WHERE k % 5 > 1"""
 )
 def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows from places' JSON; those without id, name or the expected city go."""
