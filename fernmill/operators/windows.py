@@ -41,20 +41,34 @@ def context_of(lines: Column, before: int = BEFORE, after: int = AFTER, most: in
     return T.let(usable, render)
 
 
-def details_of(summary: Column, around: Column) -> Column:
-    """Of the lines around an offer's, those that explain it, up to where another offer begins."""
-    lines = F.filter(F.transform(around, T.normalize_line), lambda x: (x != summary) & ~T.is_noise(x))
-    explains = lambda x: (F.length(x) <= 140) & (T.matches(x, fixed.VALIDITY_CONTEXT) | T.matches(x, fixed.PROMO_CONTEXT) | (F.size(F.split(x, " ")) <= 10))
+def _marked(line: Column) -> Column:
+    """A line as it is compared, and what the rules of details ask of it."""
+
+    def marks(x: Column) -> Column:
+        explains = (F.length(x) <= 140) & (T.matches(x, fixed.VALIDITY_CONTEXT) | T.matches(x, fixed.PROMO_CONTEXT) | (F.size(F.split(x, " ")) <= 10))
+        return F.struct(x.alias("x"), T.is_noise(x).alias("noise"), explains.alias("explains"), T.starts_offer(x).alias("starts"))
+
+    return T.let(T.normalize_line(line), marks)
+
+
+def _details(summary: Column, around: Column) -> Column:
+    """Of marked lines around an offer's, those that explain it."""
+    lines = F.filter(around, lambda m: (m["x"] != summary) & ~m["noise"])
     start = F.struct(F.array().cast(T.STRINGS).alias("found"), F.lit(False).alias("done"))
 
-    def step(a: Column, x: Column) -> Column:
-        stops = T.starts_offer(x) & (F.size(a["found"]) > 0)
-        added = F.when(explains(x), F.concat(a["found"], F.array(x))).otherwise(a["found"])
+    def step(a: Column, m: Column) -> Column:
+        stops = m["starts"] & (F.size(a["found"]) > 0)
+        added = F.when(m["explains"], F.concat(a["found"], F.array(m["x"]))).otherwise(a["found"])
         return F.when(a["done"], a).when(stops, F.struct(a["found"].alias("found"), F.lit(True).alias("done"))).otherwise(F.struct(added.alias("found"), F.lit(False).alias("done")))
 
     return F.aggregate(lines, start, step, lambda a: a["found"])
 
 
+def details_of(summary: Column, around: Column) -> Column:
+    """Of the lines around an offer's, those that explain it, up to where another offer begins."""
+    return _details(summary, F.transform(around, _marked))
+
+
 def candidates(lines: DataFrame, key: str, line: str = "line", pos: str = "pos") -> DataFrame:
     """Offer candidates (key, pos, text, summary, details, tags): each line with the lines that explain it.
 
@@ -62,9 +76,11 @@ def candidates(lines: DataFrame, key: str, line: str = "line", pos: str = "pos")
     words in a document the first stays.
     """
     order = Window.partitionBy(key).orderBy(pos)
-    around = F.concat(F.collect_list(line).over(order.rowsBetween(-LEAD, -1)), F.collect_list(line).over(order.rowsBetween(1, TRAIL)))
-    rows = lines.withColumn("summary", F.substring(T.normalize_line(F.col(line)), 1, 180)).withColumn("_around", around).where(F.length("summary") >= 4)
-    rows = rows.withColumn("_details", details_of(F.col("summary"), F.col("_around")))
+    # Each line is read once, and its neighbours take what was found: a frame of marks, not of texts.
+    rows = lines.withColumn("_mark", _marked(F.col(line)))
+    around = F.concat(F.collect_list("_mark").over(order.rowsBetween(-LEAD, -1)), F.collect_list("_mark").over(order.rowsBetween(1, TRAIL)))
+    rows = rows.withColumn("_around", around).withColumn("summary", F.substring("_mark.x", 1, 180)).where(F.length("summary") >= 4)
+    rows = rows.withColumn("_details", _details(F.col("summary"), F.col("_around")))
     rows = rows.withColumn("text", T.normalize_line(F.concat_ws(" ", "summary", "_details"))).withColumn("tags", T.detect_tags(F.col("text")))
     good = (F.size("tags") > 0) & T.is_quality_candidate(F.col("text"), F.col("summary"), F.col("tags"), dates.extract_days(F.col("summary")))
     rows = rows.where(good).withColumn("_n", F.row_number().over(Window.partitionBy(key, T.word_key(F.col("text"))).orderBy(pos)))
