@@ -92,7 +92,7 @@ def allocate(ends: np.ndarray, bounds: np.ndarray, rule: str = "start") -> tuple
     return counts, crossed
 
 
-SECTIONS = "doc_id long, n_chars long, n_tokens long, tokens array<double>, crossed array<long>"
+SECTIONS = "n_chars long, n_tokens long, tokens array<double>, crossed array<long>"
 
 
 def _counter(ranks: bytes, rule: str, by_line: bool):
@@ -101,7 +101,7 @@ def _counter(ranks: bytes, rule: str, by_line: bool):
         for batch in batches:
             rows = []
             starts = [None] * batch.num_rows if by_line else batch.column(2).to_pylist()
-            for doc_id, value, own in zip(batch.column(0).to_pylist(), batch.column(1), starts, strict=True):
+            for value, own in zip(batch.column(1), starts, strict=True):
                 text = value.as_py() or ""
                 raw = np.frombuffer(text.encode(), np.uint8)
                 if by_line:
@@ -111,10 +111,10 @@ def _counter(ranks: bytes, rule: str, by_line: bool):
                     cuts = byte_offsets(raw, np.array(sorted(x for x in own or [] if x is not None), np.int64))
                 ends = encoder.ends(text)
                 counts, crossed = allocate(ends, np.append(cuts, len(raw)), rule) if len(cuts) else (np.empty(0), np.empty(0, np.int64))
-                rows.append((doc_id, len(text), len(ends), counts, crossed))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_chars", "n_tokens", "tokens", "crossed"])
+                rows.append((len(text), len(ends), counts, crossed))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_chars", "n_tokens", "tokens", "crossed"])
 
     return run
 
@@ -127,17 +127,19 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     before the first belongs to none). ``tokens`` has each section's tokens by
     ``rule``, ``crossed`` those that began before it and reach into it. The
     vocabulary is read by the driver and shipped. A null text is an empty one,
-    of one empty section; a null or empty ``starts`` gives no sections; null ids
-    stay null; repeated rows stay; other columns are ignored.
+    of one empty section; a null or empty ``starts`` gives no sections; ids keep
+    their type, null ones stay null; repeated rows stay; an empty table gives no
+    rows; other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     with open(vocabulary, "rb") as file:
         ranks = file.read()
-    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
+    columns = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")]
     if starts:
         columns.append(F.col(starts).cast("array<long>").alias("starts"))
-    return docs.select(*columns).mapInArrow(_counter(ranks, rule, starts is None), SECTIONS)
+    rows = docs.select(*columns)
+    return rows.mapInArrow(_counter(ranks, rule, starts is None), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SECTIONS}")
 
 
 def field_tokens(docs: DataFrame, fields: list[str], doc_id: str = "doc_id", separator: str = "\n", rule: str = "start", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -74,3 +74,10 @@ def test_edge_rows(spark, edges, nothing):
     rows = K.section_tokens(edges).collect()
     assert len(rows) == edges.count() and all(sum(r.tokens) == r.n_tokens for r in rows)
     assert K.section_tokens(nothing).count() == 0
+
+
+def test_ids_keep_their_type(spark):
+    rows = spark.createDataFrame([("a-1", "one two\nthree"), (None, None)], "doc_id string, text string")
+    found = K.section_tokens(rows)
+    assert dict(found.dtypes)["doc_id"] == "string" and sorted((r.doc_id or "", r.n_chars) for r in found.collect()) == [("", 0), ("a-1", 13)]
+    assert K.field_tokens(rows, ["text"]).columns == ["doc_id", "n_tokens", "tokens_text"]
