@@ -527,7 +527,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     hits = texts.mapInArrow(_candidates(shared, sizes, seeded), "key string, hash long").distinct()
     pairs = written(hits.join(few(windows.where(~F.col("word")).select("hash", "item").distinct()), "hash").select("key", "item").distinct(), "pairs")
     counts = pairs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("parts"))
-    dealt = pairs.join(few(counts), "key").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).join(few(items), "item")
+    dealt = pairs.join(few(counts), "key").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).join(few(items, "text"), "item")
     dealt = written(dealt.groupBy("key", "part").agg(F.collect_list(F.struct("item", "text")).alias("items")), "dealt")
     whole = written(texts.join(few(counts.select("key")), "key").dropDuplicates(["key"]), "texts")
     rows = dealt.join(whole, "key").select("key", "text", "items")

@@ -191,9 +191,9 @@ def mix(
     laid = docs.select(pattern.alias("p"), tokens.alias("n"), _digest(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     laid = laid.withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     before = Window.partitionBy("p").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 16 ** SLICE_DIGITS rows for a pattern; the plan has a row for each.
+    # At most 16 ** SLICE_DIGITS rows for a pattern.
     starts = laid.groupBy("p", "slice").agg(F.sum("n").alias("sum")).select("p", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    starts = starts.join(F.broadcast(plan), F.col("p") == F.col("_pattern"), "left").select(F.col("p").alias("p2"), F.col("slice").alias("slice2"), "start", "_total", "_flow", "_ends")
+    starts = starts.join(few(plan), F.col("p") == F.col("_pattern"), "left").select(F.col("p").alias("p2"), F.col("slice").alias("slice2"), "start", "_total", "_flow", "_ends")
     within = Window.partitionBy("p", "slice").orderBy("h", "k", "n").rowsBetween(Window.unboundedPreceding, -1)
     laid = laid.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
     laid = laid.join(starts, (F.col("p") == F.col("p2")) & (F.col("slice") == F.col("slice2")), "left")
@@ -224,7 +224,7 @@ def by_source(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     light = written(light, "sizes").withColumn("members", F.array("source"))
     mixed, sizes, goal = mix(light, **options)
     of = docs.sparkSession.createDataFrame([(s, sizes[s], round(goal[s], 6)) for s in sizes], "_s string, source_size long, target double")
-    out = mixed.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = mixed.join(few(of), F.col("source").eqNullSafe(F.col("_s")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

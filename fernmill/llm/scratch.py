@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few ids and hashes that may be broadcast: tens of megabytes.
 FEW_ROWS = 1_000_000
+#: Bytes of texts among them.
+FEW_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +59,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """A table of short rows, marked to be broadcast if a count finds it small enough; else joins shuffle it."""
-    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
+def few(rows: DataFrame, *long: str) -> DataFrame:
+    """A table, marked to be broadcast if a count finds it small enough; else joins shuffle it.
+
+    That is at most ``FEW_ROWS`` short rows; where columns in ``long`` may hold
+    texts of any length, at most ``FEW_BYTES`` of those as well.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in long), F.lit(0).cast("long"))
+    n, held = rows.limit(FEW_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(rows) if n <= FEW_ROWS and held <= FEW_BYTES else rows
