@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import quote, urljoin, urlparse, urlsplit, urlunsplit
+from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from fernmill.functions import fixed
 from fernmill.functions.fixed import rx
-from fernmill.functions.text import some_text, text_or_empty
+from fernmill.functions.text import let, some_text, text_or_empty
 
 _AUTHORITY = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)"
 
@@ -75,24 +73,40 @@ def is_blocked(url: Column) -> Column:
     return host(url).rlike(rf"(?:^|\.)(?:{names})$")
 
 
-@F.pandas_udf(BooleanType())
-def is_safe(url: pd.Series) -> pd.Series:
-    """Web addresses outside local networks; addresses in numbers must be globally reachable."""
-
-    def safe(value: str | None) -> bool:
-        try:
-            parts = urlparse(value or "")
-            name = (parts.hostname or "").lower()
-        except ValueError:
-            return False
-        if parts.scheme not in ("http", "https") or not name or name == "localhost" or name.endswith(".local"):
-            return False
-        try:
-            return ipaddress.ip_address(name).is_global
-        except ValueError:
-            return True
-
-    return url.map(safe)
+# First and last address of networks that aren't on the public web.
+LOCAL_NETWORKS = [
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"),
+    ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"),
+]
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def _number(address: str) -> int:
+    return int.from_bytes(map(int, address.split(".")), "big")
+
+
+def is_safe(url: Column) -> Column:
+    """Web addresses outside local networks; addresses in numbers must be globally reachable.
+
+    Of version 6 only global unicast counts, without the networks for tunnels,
+    protocols and documents.
+    """
+    four = "^" + r"\.".join([_OCTET] * 4) + "$"
+    networks = F.array(*(F.struct(F.lit(_number(lo)).alias("lo"), F.lit(_number(hi)).alias("hi")) for lo, hi in LOCAL_NETWORKS))
+
+    def judged(name: Column) -> Column:
+        six = F.regexp_extract(name, r"^\[([0-9a-f:.]+)\]", 1)
+        far = six.rlike("^[23][0-9a-f]{3}:") & ~six.rlike("^(2001:(0{0,3}[0-9a-f]?:|0?[01][0-9a-f]{0,2}:|:|0?db8:)|2002:)")
+        return F.when(name.startswith("["), far).otherwise(let(F.regexp_replace(name, r":\d*$", ""), named))
+
+    def named(bare: Column) -> Column:
+        number = F.aggregate(F.split(bare, r"\."), F.lit(0).cast("long"), lambda n, part: n * 256 + part.cast("long"))
+        public = let(number, lambda n: ~F.exists(networks, lambda x: n.between(x["lo"], x["hi"])))
+        return F.when(bare.rlike(four), public).otherwise((bare != "") & (bare != "localhost") & ~bare.endswith(".local"))
+
+    name = F.regexp_replace(F.lower(authority(url)), "^.*@", "")
+    return F.coalesce(scheme(url).isin("http", "https") & let(name, judged), F.lit(False))
 
 
 def offer_id(name: Column, url: Column, text: Column) -> Column:

@@ -1,6 +1,8 @@
 """Stated results of single operators on inline values."""
 
 import datetime as dt
+import ipaddress
+import random
 
 from helpers import values
 from pyspark.sql import functions as F
@@ -226,3 +228,29 @@ def test_html_functions(spark):
     assert got["colors"] == ["#123"]
     assert urls.asset_address(base, r"\/\/cdn.example.com/Happy Hour Menu.jpg") == "https://cdn.example.com/Happy%20Hour%20Menu.jpg"
     assert html.lines_of(None) == [] and html.sitemap_locations("<broken") == []
+
+
+def test_safe_addresses_agree_with_the_standard_library(spark):
+    rng = random.Random(8)
+    names = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)]
+    for net in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "224.0.0.0/4"):
+        n = ipaddress.ip_network(net)
+        names += [str(x) for x in (n[0], n[-1], n[0] - 1 if int(n[0]) else n[0], n[-1] + 1 if int(n[-1]) < 2**32 - 1 else n[-1])]
+    names += ["192.0.0.9", "192.0.0.10", "192.0.0.170", "h.com", "localhost", "x.local", "256.1.1.1", "010.0.0.1", "1.2.3"]
+    for six in ("::1", "::", "fe80::1", "fc00::1", "2001:db8::1", "2001::1", "2001:1ff::", "2002::1", "2606:4700::1111", "2a00:1450::1", "ff02::1", "64:ff9b:1::1", "2001:4860:4860::8888"):
+        names.append(f"[{six}]")
+
+    def plain(name):
+        bare = name.strip("[]")
+        if bare == "localhost" or bare.endswith(".local"):
+            return False
+        try:
+            return ipaddress.ip_address(bare).is_global
+        except ValueError:
+            return True
+
+    rows = [{"u": f"https://user@{n}:8080/x"} for n in names]
+    got = [r["v"] for r in values(spark, rows, "u string", v=urls.is_safe(F.col("u")))]
+    # Multicast of version 6 isn't a web address, whatever its scope.
+    assert [(n, g) for n, g in zip(names, got, strict=True) if g != (plain(n) and n != "[ff02::1]")] == []
+    assert [r["v"] for r in values(spark, [{"u": u} for u in (None, "", "ftp://h.com", "h.com", "https://", "http://H.COM")], "u string", v=urls.is_safe(F.col("u")))] == [False, False, False, False, False, True]

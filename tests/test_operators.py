@@ -337,6 +337,28 @@ def test_streams(spark, tmp_path):
     assert sorted((r.id, r.value) for r in spark.read.parquet(str(tmp_path / "out/batch=0")).collect()) == [("1", 1.0), ("2", 2.5)]
 
 
+def test_a_snapshot_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    from fernmill.streaming import feed
+
+    schema = "id string, t int, v string"
+    want, rng = {}, random.Random(4)
+    (tmp_path / "in").mkdir()
+    for n in range(4):
+        rows = [(str(rng.randrange(60 if n == 0 else 6)), rng.randrange(50), rng.choice("abc")) for _ in range(200 if n == 0 else 12)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for i, t, v in rows:
+            want[i] = max(want.get(i, (t, v)), (t, v))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        feed.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "id", "t", parts=16).awaitTermination()
+        like = spark.createDataFrame([], schema)
+        got = {r.id: (r.t, r.v) for r in feed.latest(spark, str(tmp_path / "out"), like).collect()}
+        assert got == want
+    written = [len(list((tmp_path / "out" / f"batch={n}").glob("part=*"))) for n in range(4)]
+    assert written[0] <= 16 and written[3] <= 6  # small batches touch few parts, and old folders of those are gone
+    listed = json.loads((tmp_path / "out/parts-3.json").read_text())
+    assert set(listed.values()) >= {0, 3} and written[0] < 16
+
+
 def test_reports_and_summaries(spark):
     page = "struct<url:string,confidence:string,publish:boolean>"
     inv = spark.createDataFrame(
