@@ -56,7 +56,9 @@ def _pick(key: Column, *values: Column | str | None) -> Column:
     return out
 
 
-K, NAME = F.col("p_partkey"), F.col("p_name")
+def _part() -> tuple[Column, Column]:
+    """Key and name of a part."""
+    return F.col("p_partkey"), F.col("p_name")
 
 
 @query(
@@ -65,25 +67,26 @@ K, NAME = F.col("p_partkey"), F.col("p_name")
     CASE WHEN p_partkey % 2 = 0 THEN 'Uno' ELSE 'Uno - X' END AS label, 'Elm Ave' AS street FROM part"""
 )
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.array(_cat(" ", NAME, " -"), F.upper(NAME), _cat("x  ", _s(K)), F.lit("  "), _cat(NAME, "!"), _cat("X ", _s(K), "."))
-    price = _cat("$", _s(K % 20))
-    form = _cat("### Restaurant\n", NAME, "\n<!-- a hint\nCity -->\n\n### CITY\nold\n### City\n City ", _s(K), " \n")
+    k, name = _part()
+    lines = F.array(_cat(" ", name, " -"), F.upper(name), _cat("x  ", _s(k)), F.lit("  "), _cat(name, "!"), _cat("X ", _s(k), "."))
+    price = _cat("$", _s(k % 20))
+    form = _cat("### Restaurant\n", name, "\n<!-- a hint\nCity -->\n\n### CITY\nold\n### City\n City ", _s(k), " \n")
     fields = T.report_fields(form)
     return _read(spark, sf_dir, "part").select(
         "p_partkey",
         F.array_join(T.dedupe_lines(lines), "|").alias("deduped"),
-        T.starts_offer(_pick(K, _cat("$5 ", NAME), _cat("20% off ", NAME), _cat("BOGO ", NAME), NAME)).alias("starts"),
-        T.deal_text(NAME, F.array(_cat("a ", _s(K))), F.array(F.lit("b"))).alias("whole"),
-        T.clean_tier(_cat(price, ": ", price, " ", NAME, ";  ", price, " soup")).alias("tier"),
+        T.starts_offer(_pick(k, _cat("$5 ", name), _cat("20% off ", name), _cat("BOGO ", name), name)).alias("starts"),
+        T.deal_text(name, F.array(_cat("a ", _s(k))), F.array(F.lit("b"))).alias("whole"),
+        T.clean_tier(_cat(price, ": ", price, " ", name, ";  ", price, " soup")).alias("tier"),
         F.try_element_at(fields, F.lit("restaurant")).alias("said"),
         F.try_element_at(fields, F.lit("city")).alias("town"),
-        T.city_of_address(_pick(K, _cat(_s(K), " Main St, Irvine, CA 92602"), _cat(_s(K), " Main St, Tustin, CA"), ""), F.lit("Irvine")).alias("city"),
-        dates.evidence_has_time(_pick(K, _cat(NAME, " 3 pm"), "all day long", "Tue 3-6", NAME, "3-6")).alias("timed"),
-        T.safe_filename(_cat("Fernhill.", _s(K)), F.lit("png")).alias("file"),
+        T.city_of_address(_pick(k, _cat(_s(k), " Main St, Irvine, CA 92602"), _cat(_s(k), " Main St, Tustin, CA"), ""), F.lit("Irvine")).alias("city"),
+        dates.evidence_has_time(_pick(k, _cat(name, " 3 pm"), "all day long", "Tue 3-6", name, "3-6")).alias("timed"),
+        T.safe_filename(_cat("Fernhill.", _s(k)), F.lit("png")).alias("file"),
         T.tag_label(F.lit("happy_hour")).alias("tag"),
-        T.initials(_cat("joe's & dad's", _s(K))).alias("initials"),
-        T.restaurant_label(_pick(K, "Uno - X", "Uno - X"), _pick(K, "X", "Y")).alias("label"),
-        T.street(_cat(_s(K + 1), " Elm Ave Suite ", _s(K), ", Irvine, CA")).alias("street"),
+        T.initials(_cat("joe's & dad's", _s(k))).alias("initials"),
+        T.restaurant_label(_pick(k, "Uno - X", "Uno - X"), _pick(k, "X", "Y")).alias("label"),
+        T.street(_cat(_s(k + 1), " Elm Ave Suite ", _s(k), ", Irvine, CA")).alias("street"),
     )
 
 
@@ -101,15 +104,16 @@ _TH = "CASE WHEN n BETWEEN 10 AND 20 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n
       CASE WHEN p_partkey % 3 = 0 THEN '2024-01-02 03:04:05' WHEN p_partkey % 3 = 1 THEN '0001-01-01 00:00:00' END AS parsed, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-02-29' END AS date FROM d"""
 )
 def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, h = (K % 5).cast("int"), (K % 9 + 1).cast("int")
+    k, _ = _part()
+    i, h = (k % 5).cast("int"), (k % 9 + 1).cast("int")
     short, long = (F.array(*map(F.lit, x)) for x in (dates.SHORT_DAYS, dates.DAYS))
     day, word = lambda n: F.lower(F.get(short, i + n)), lambda n: F.initcap(F.get(long, i + n))
-    n = (K % 31 + 1).cast("int")
+    n = (k % 31 + 1).cast("int")
     th = F.when(n.between(10, 20), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
     window = _cat(word(0), " - ", word(2), "  0", _s(h), ":00 PM to 0", _s(h + 2), ":00 P.M.")
     two = _cat(day(0), "-", day(2), " ", _s(h), "-", _s(h + 2))
-    seen = _pick(K, _cat("Happy: Mon-Fri ", _s(h), "pm-", _s(h + 2), "pm for all"), "Mon only", "")
-    says = _pick(K, _cat("Mon-Fri, ", _s(h), " PM - ", _s(h + 2), " PM"), _cat("Mon-Fri, ", _s(h), " PM - ", _s(h + 2), " PM"), "Check source")
+    seen = _pick(k, _cat("Happy: Mon-Fri ", _s(h), "pm-", _s(h + 2), "pm for all"), "Mon only", "")
+    says = _pick(k, _cat("Mon-Fri, ", _s(h), " PM - ", _s(h + 2), " PM"), _cat("Mon-Fri, ", _s(h), " PM - ", _s(h + 2), " PM"), "Check source")
     return _read(spark, sf_dir, "part").select(
         "p_partkey",
         F.array_join(dates.evidence_days(_cat("Served ", day(0), " - ", day(2), " only")), ",").alias("evidence"),
@@ -119,10 +123,10 @@ def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         dates.shared_schedule(_cat(word(0), " through ", word(2), " ", _s(h), "-", _s(h + 2)), F.lit("Happy Hour")).alias("shared"),
         dates.best_schedule(F.array(_cat(day(0), " ", _s(h), "-", _s(h + 2), " at the bar"), two, F.lit("whenever"))).alias("best"),
         dates.is_redundant(says, seen).alias("redundant"),
-        dates.display_date(F.to_timestamp(F.lit("2024-01-05 12:30:00")) + F.make_dt_interval(F.lit(0), (K % 200).cast("int"))).alias("shown_at"),
+        dates.display_date(F.to_timestamp(F.lit("2024-01-05 12:30:00")) + F.make_dt_interval(F.lit(0), (k % 200).cast("int"))).alias("shown_at"),
         dates.validity(F.array().cast(T.STRINGS), F.lit(None).cast("string"), F.array(n)).alias("validity"),
-        F.date_format(dates.parse_iso(_pick(K, "2024-01-02T03:04:05Z", "never", "soon"), _pick(K, _now(), dates.earliest(), F.lit(None).cast("timestamp"))), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
-        dates.parse_date(_pick(K, "2024-02-29", "2024-2-9")).alias("date"),
+        F.date_format(dates.parse_iso(_pick(k, "2024-01-02T03:04:05Z", "never", "soon"), _pick(k, _now(), dates.earliest(), F.lit(None).cast("timestamp"))), "yyyy-MM-dd HH:mm:ss").alias("parsed"),
+        dates.parse_date(_pick(k, "2024-02-29", "2024-2-9")).alias("date"),
     )
 
 
@@ -135,17 +139,18 @@ def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN a = 0 THEN '0' WHEN a % 10 = 0 THEN a // 10 || 'K' WHEN a < 10 THEN a * 100 || '' ELSE a // 10 || '.' || a % 10 || 'K' END AS compact, a >= 30 AS clear FROM k"""
 )
 def price_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = (K % 40).cast("int")
+    k, _ = _part()
+    a = (k % 40).cast("int")
     amount, n = lambda x: x.cast("decimal(18,2)"), _s(a)
     none = F.array().cast("array<decimal(18,2)>")
     worth = _pick(
-        K, _cat("now ", n, " % off"), "half price", "2-4-1 tonight", "two for one", _cat("$ ", n, " off"), _cat("$", n, " to $", _s(a + 5)), "free soup", _cat("from $", n), _cat("$", n, " or less"),
+        k, _cat("now ", n, " % off"), "half price", "2-4-1 tonight", "two for one", _cat("$ ", n, " off"), _cat("$", n, " to $", _s(a + 5)), "free soup", _cat("from $", n), _cat("$", n, " or less"),
         _cat("$", _s(a + 7), " plates, $", n, " bowls, was $99"), _cat("bowl $", n, " regularly $80"), "nothing",
     )
     spot = F.array(*(F.array(F.lit(0), F.lit(0), a * 3) for _ in range(5)))
     return _read(spark, sf_dir, "part").select(
         "p_partkey",
-        prices.price_range(_pick(K, F.array(amount(a + 5.5), amount(a)), F.array(amount(a)), none)).alias("range"),
+        prices.price_range(_pick(k, F.array(amount(a + 5.5), amount(a)), F.array(amount(a)), none)).alias("range"),
         prices.value_label(worth, F.array().cast(T.STRINGS), F.array().cast(T.STRINGS), worth).alias("label"),
         prices.distance_label(a + F.lit(0.31)).alias("distance"),
         prices.compact_number(a * 100).alias("compact"),
@@ -161,25 +166,26 @@ def price_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE k % 3 WHEN 0 THEN '#aabbcc' WHEN 1 THEN '#0a0bff' END AS color FROM k"""
 )
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _s(K)
+    k, _ = _part()
+    key = _s(k)
     asset = lambda url, digest: F.struct(url.alias("url"), digest.alias("content_hash"))
-    files = F.array(asset(_cat("u", k), F.lit("h")), asset(F.lit("v"), k))
-    scope = urls.scope(F.lit("Uno"), F.lit("X"), _cat("https://H", k, ".com/A/#top"))
-    data = _pick(K, *(F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A00", "255044462D312E34", "524946460000000057454250", "0000010000")))
+    files = F.array(asset(_cat("u", key), F.lit("h")), asset(F.lit("v"), key))
+    scope = urls.scope(F.lit("Uno"), F.lit("X"), _cat("https://H", key, ".com/A/#top"))
+    data = _pick(k, *(F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A00", "255044462D312E34", "524946460000000057454250", "0000010000")))
     return _read(spark, sf_dir, "part").select(
         "p_partkey",
-        urls.page_key(_cat("p", k), _cat("https://h", _s(K % 9), ".com/x")).alias("page_key"),
-        urls.assets_hash(_pick(K, files, F.slice(files, 1, 0))).alias("assets_hash"),
+        urls.page_key(_cat("p", key), _cat("https://h", _s(k % 9), ".com/x")).alias("page_key"),
+        urls.assets_hash(_pick(k, files, F.slice(files, 1, 0))).alias("assets_hash"),
         F.concat_ws("|", scope["restaurant"], scope["city"], scope["page"]).alias("scope"),
-        urls.homepage(_cat("http://h", k, ".com:80/x/y?z#w")).alias("homepage"),
-        urls.is_safe(_pick(K, _cat("http://10.0.0.", _s(K % 250)), _cat("https://h", k, ".com/"), "http://localhost/x", "https://box.local", _cat("ftp://h", k, ".com"), "http://8.8.8.8/")).alias("safe"),
-        urls.is_blocked(_pick(K, _cat("https://www.facebook.com/", k), _cat("https://m.yelp.com/", k), _cat("https://notyelp.com/", k), _cat("https://h.com/yelp.com/", k))).alias("blocked"),
-        urls.phone_url(_cat("+1 (555) ", k)).alias("phone"),
-        urls.map_url(_cat("Uno (", k, ")"), F.lit("Elm"), F.lit("")).alias("map"),
+        urls.homepage(_cat("http://h", key, ".com:80/x/y?z#w")).alias("homepage"),
+        urls.is_safe(_pick(k, _cat("http://10.0.0.", _s(k % 250)), _cat("https://h", key, ".com/"), "http://localhost/x", "https://box.local", _cat("ftp://h", key, ".com"), "http://8.8.8.8/")).alias("safe"),
+        urls.is_blocked(_pick(k, _cat("https://www.facebook.com/", key), _cat("https://m.yelp.com/", key), _cat("https://notyelp.com/", key), _cat("https://h.com/yelp.com/", key))).alias("blocked"),
+        urls.phone_url(_cat("+1 (555) ", key)).alias("phone"),
+        urls.map_url(_cat("Uno (", key, ")"), F.lit("Elm"), F.lit("")).alias("map"),
         urls.sniff_type(data, F.lit("text/html")).alias("sniffed"),
         urls.image_extension(data, F.lit("text/html")).alias("extension"),
-        urls.is_direct_visual(_pick(K, _cat("https://h.com/", k, ".JPG?x"), _cat("https://h.com/", k), _cat("https://h.com/pdf/", k))).alias("direct"),
-        urls.brand_color(_pick(K, "#ABC", "rgb(10, 11, 300)", "#ffffff")).alias("color"),
+        urls.is_direct_visual(_pick(k, _cat("https://h.com/", key, ".JPG?x"), _cat("https://h.com/", key), _cat("https://h.com/pdf/", key))).alias("direct"),
+        urls.brand_color(_pick(k, "#ABC", "rgb(10, 11, 300)", "#ffffff")).alias("color"),
     )
 
 
@@ -364,11 +370,12 @@ def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a link leads to specials, and whether a homepage shows too little without a browser."""
-    label = _pick(K, _cat("Happy Hour ", _s(K)), _cat("see ", _s(K)), _cat("Specials ", _s(K)), "Special menu", "About", "Gift specials")
-    path = _pick(K, "/x", "/lunch_specials", "/x", "/x", "/about", "/x")
+    k, _ = _part()
+    label = _pick(k, _cat("Happy Hour ", _s(k)), _cat("see ", _s(k)), _cat("Specials ", _s(k)), "Special menu", "About", "Gift specials")
+    path = _pick(k, "/x", "/lunch_specials", "/x", "/x", "/about", "/x")
     links = lambda n: F.array_repeat(F.lit("l"), n)
     return _read(spark, sf_dir, "part").select(
         "p_partkey",
         discovery.link_confidence(label, path).alias("confidence"),
-        discovery.is_thin(_pick(K, links(3), links(4), links(9)), _pick(K, F.repeat(F.lit("x"), 300), F.repeat(F.lit("x"), 300), F.repeat(F.lit("x"), 199))).alias("thin"),
+        discovery.is_thin(_pick(k, links(3), links(4), links(9)), _pick(k, F.repeat(F.lit("x"), 300), F.repeat(F.lit("x"), 300), F.repeat(F.lit("x"), 199))).alias("thin"),
     )
